@@ -43,15 +43,20 @@ def classification_report(
     )
     vocab = df.sparkSession.createDataFrame([(int(k), v) for k, v in sorted(names.items())], "label int, name string")
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
-    hit = F.sum(F.when((F.col("t") == F.col("label")) & (F.col("p") == F.col("label")), F.col("n")).otherwise(0))
+    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("bigint")
+    sides = cells.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("t").alias("label"), F.col("n").alias("support"), zero.alias("np"), hit.cast("bigint").alias("tp")),
+                F.struct(F.col("p").alias("label"), zero.alias("support"), F.col("n").alias("np"), zero.alias("tp")),
+            )
+        ).alias("s")
+    ).select("s.*")
+    sums = sides.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "np", "tp")])
     per = (
-        vocab.join(cells, (F.col("t") == F.col("label")) | (F.col("p") == F.col("label")), "left")
-        .groupBy("label", "name")
-        .agg(
-            hit.alias("tp"),
-            F.sum(F.when(F.col("p") == F.col("label"), F.col("n")).otherwise(0)).alias("np"),
-            F.sum(F.when(F.col("t") == F.col("label"), F.col("n")).otherwise(0)).alias("support"),
-        )
+        vocab.join(sums, "label", "left")
+        .fillna(0, subset=["support", "np", "tp"])
         .select(
             "name",
             ratio(F.col("tp"), F.col("np")).alias("precision"),
@@ -64,12 +69,7 @@ def classification_report(
     total = F.sum("support")
     macro = per.agg(*[F.avg(c).alias(c) for c in score], total.alias("support"))
     weighted = per.agg(*[ratio(F.sum(F.col(c) * F.col("support")), total).alias(c) for c in score], total.alias("support"))
-    known = F.col("t").isin([int(k) for k in names])
-    acc = cells.agg(
-        F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("h"), F.sum("n").alias("support")
-    ) if not names else cells.filter(known).agg(
-        F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("h"), F.sum("n").alias("support")
-    )
+    acc = cells.filter(F.col("t").isin([int(k) for k in names])).agg(F.sum(hit).alias("h"), F.sum("n").alias("support"))
     a = ratio(F.col("h"), F.col("support"))
     return (
         per.unionByName(acc.select(F.lit("accuracy").alias("name"), *[a.alias(c) for c in score], "support"))
