@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from undula.plans import q_scan  # noqa: F401
+from undula.plans import q_scan, q_window  # noqa: F401

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from undula.functions import scalar as S
 from undula.operators import segment, splits
-from undula.operators.energy import energy_report
 from undula.operators.encode import polarity_channels, signed_current
 from undula.operators.intervals import clear_windows
 from undula.plans.bindings import CH, EV, MR, PR, SP, WN, ev, iv, mr, pr, sp, table, with_, wn
@@ -249,12 +248,12 @@ def write_runs(spark: SparkSession, sf: str, root: str) -> None:
 @query(
     "s14_run_discovery",
     """SELECT 'RUN_' || replace(n_name, ' ', '_') AS run_name, n_nationkey AS seed, n_regionkey AS theta0
-FROM nation WHERE lower(n_name) LIKE '%an%'""",
+FROM nation WHERE contains(lower(n_name), 'n_1')""",
 )
 def s14_run_discovery(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "runs")
     write_runs(spark, sf, root)
-    runs = store.find_runs(spark, root, "an")
+    runs = store.find_runs(spark, root, "n_1")
     return runs.select("run_name", "seed", F.col("theta")[0].alias("theta0"))
 
 

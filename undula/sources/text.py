@@ -38,8 +38,8 @@ CHANNELS = ("c0", "c1", "c2", "c3", "c4", "c5")
 
 def logical_path(path: Column) -> Column:
     """Path of the file, or of the directory whose part file this is."""
-    whole = F.regexp_replace(path, r"(\.[A-Za-z]+)/part-[^/]*$", "$1")
-    return F.regexp_replace(whole, r"/[^/=]+=([^/]*)$", "/$1")
+    whole = F.regexp_replace(F.regexp_replace(path, r"(\.[A-Za-z]+)/part-[^/]*$", "$1"), r"/[^/=]+=([^/]*)$", "/$1")
+    return F.when(path.contains("/part-"), whole).otherwise(path)
 
 
 def text_lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.[tT][xX][tT]") -> DataFrame:
@@ -63,10 +63,13 @@ def number_lines(lines: DataFrame, name: str = "idx") -> DataFrame:
 
 
 def decode_name(df: DataFrame, path: Column) -> DataFrame:
-    """Adds ``file``, ``code``, ``subject``, ``trial`` (upper case) and ``y`` (null when rejected)."""
-    f = base_name(path)
-    part = lambda i: F.nullif(F.upper(F.regexp_extract(f, FILE_PATTERN, i)), F.lit(""))
-    out = df.withColumns({"file": f, "code": part(1), "subject": part(2), "trial": part(3)})
+    """Adds ``file``, ``code``, ``subject``, ``trial`` (upper case) and ``y`` (null when rejected).
+
+    The pattern has fixed widths, so one match per row is enough and the parts are substrings.
+    """
+    out = df.withColumn("file", base_name(path)).withColumn("__ok", F.col("file").rlike(FILE_PATTERN))
+    part = lambda at, size: F.when(F.col("__ok"), F.upper(F.substring("file", at, size)))
+    out = out.withColumns({"code": part(1, 3), "subject": part(5, 4), "trial": part(10, 3)}).drop("__ok")
     code = F.col("code")
     y = F.when(code.startswith("F"), 0).when(code.isin(*DYNAMIC_CODES), 1).when(code.isin(*STATIC_CODES), 2)
     return out.withColumn("y", y)
