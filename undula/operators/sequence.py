@@ -44,61 +44,71 @@ def sequence_number(
     )
 
 
-def prefix(
+def prefixes(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     bucket: Column,
-    value: Column,
-    how: str,
-    name: str,
+    specs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     descending: bool = False,
 ) -> DataFrame:
-    """Running ``sum``/``max``/``min``/``last`` (nulls ignored) of ``value`` along ``order``.
+    """Running aggregates along ``order``: ``specs`` maps name -> (how, value).
 
-    ``descending`` runs from the end of the order. ``inclusive=False`` leaves out the current row.
+    ``how`` is ``sum``, ``max``, ``min`` or ``last``; nulls are ignored. ``descending`` runs from the end
+    of the order. ``inclusive=False`` leaves out the current row. All aggregates share one shuffle.
     """
     keys = list(keys)
-    b = df.withColumn(_B, bucket).withColumn("__v", value)
 
     def asc(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    position = F.when(F.col("__v").isNotNull(), F.struct(*order))
     pick = F.min_by if descending else F.max_by
-    total = {
-        "sum": lambda c: F.sum(c),
-        "max": lambda c: F.max(c),
-        "min": lambda c: F.min(c),
-        "last": lambda c: pick(c, position),
-    }[how]
-    across = {
-        "sum": F.sum,
-        "max": F.max,
-        "min": F.min,
-        "last": lambda c: F.last(c, ignorenulls=True),
-    }[how]
-
+    fold = {"sum": F.sum, "max": F.max, "min": F.min}
+    join = {
+        "sum": lambda c, v: F.coalesce(c, F.lit(0)) + F.coalesce(v, F.lit(0)),
+        "max": F.greatest,
+        "min": F.least,
+        "last": lambda c, v: F.coalesce(v, c),
+    }
+    latest = lambda c: F.last(c, ignorenulls=True)
+    b = df.withColumn(_B, bucket)
+    totals, carries, locals_, results = [], [], {}, {}
     earlier = Window.partitionBy(*keys).orderBy(asc(_B)).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        b.groupBy(*keys, _B)
-        .agg(total("__v").alias("__total"))
-        .select(*keys, _B, across("__total").over(earlier).alias("__carry"))
-    )
-    local = (
+    inside = (
         Window.partitionBy(*keys, _B)
         .orderBy(*[asc(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    out = b.join(carry, [*keys, _B]).withColumn("__local", across("__v").over(local))
-    joined = {
-        "sum": F.coalesce("__carry", F.lit(0)) + F.coalesce("__local", F.lit(0)),
-        "max": F.greatest("__carry", "__local"),
-        "min": F.least("__carry", "__local"),
-        "last": F.coalesce("__local", "__carry"),
-    }[how]
-    return out.withColumn(name, joined).drop(_B, "__v", "__carry", "__local")
+    for i, (name, (how, value)) in enumerate(specs.items()):
+        v, c = f"__v{i}", f"__c{i}"
+        b = b.withColumn(v, value)
+        if how == "last":
+            totals.append(pick(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(c))
+        else:
+            totals.append(fold[how](v).alias(c))
+        step = latest if how == "last" else fold[how]
+        carries.append(step(c).over(earlier).alias(c))
+        locals_[v] = step(v).over(inside)
+        results[name] = join[how](F.col(c), F.col(v))
+    carry = b.groupBy(*keys, _B).agg(*totals).select(*keys, _B, *carries)
+    out = b.join(carry, [*keys, _B]).withColumns(locals_).withColumns(results)
+    return out.drop(_B, *locals_, *[f"__c{i}" for i in range(len(specs))])
+
+
+def prefix(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    value: Column,
+    how: str,
+    name: str,
+    inclusive: bool = True,
+    descending: bool = False,
+) -> DataFrame:
+    """One running aggregate, see ``prefixes``."""
+    return prefixes(df, keys, order, bucket, {name: (how, value)}, inclusive, descending)
 
 
 def with_halo(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.operators.features import column_moments, standardise
-from undula.operators.sequence import framed, prefix
+from undula.operators.sequence import framed, prefixes
 
 
 @dataclass(frozen=True)
@@ -31,24 +31,39 @@ class TagRules:
     sp_off: float = 0.40
 
 
-def moving_average(df: DataFrame, keys: Sequence[str], number: str, value: str, k: int, name: str) -> DataFrame:
-    """Centred mean over ``k`` rows, zero beyond the ends, divisor always ``k``."""
+def moving_averages(df: DataFrame, keys: Sequence[str], number: str, values: dict[str, str], k: int) -> DataFrame:
+    """Centred mean over ``k`` rows, zero beyond the ends, divisor always ``k``; ``values`` maps name -> column."""
     if k <= 1:
-        return df.withColumn(name, F.col(value))
+        return df.withColumns({n: F.col(v) for n, v in values.items()})
     back, ahead = k // 2, (k - 1) // 2
-    return framed(
-        df, keys, number, {name: lambda w: F.sum(value).over(w.rowsBetween(-back, ahead)) / k}, before=back, after=ahead
-    )
+    exprs = {n: (lambda w, v=v: F.sum(v).over(w.rowsBetween(-back, ahead)) / k) for n, v in values.items()}
+    return framed(df, keys, number, exprs, before=back, after=ahead)
+
+
+def moving_average(df: DataFrame, keys: Sequence[str], number: str, value: str, k: int, name: str) -> DataFrame:
+    return moving_averages(df, keys, number, {name: value}, k)
+
+
+def hysteresis_states(
+    df: DataFrame, keys: Sequence[str], number: str, rules: dict[str, tuple[str, float, float]], width: int = 100_000
+) -> DataFrame:
+    """0/1 states that turn on at ``value >= on`` and off at ``value <= off`` and start off.
+
+    ``rules`` maps name -> (value column, on, off). Since on > off, the state is the last of the two
+    events seen so far.
+    """
+    specs = {}
+    for name, (value, on, off) in rules.items():
+        if on <= off:
+            raise ValueError("on must be above off")
+        specs[name] = ("last", F.when(F.col(value) >= on, 1).when(F.col(value) <= off, 0))
+    return prefixes(df, keys, [number], F.floor(F.col(number) / width), specs).fillna(0, subset=list(rules))
 
 
 def hysteresis(
     df: DataFrame, keys: Sequence[str], number: str, value: str, on: float, off: float, name: str, width: int = 100_000
 ) -> DataFrame:
-    """0/1 state that turns on at ``value >= on`` and off at ``value <= off``; starts off."""
-    if on <= off:
-        raise ValueError("on must be above off")
-    turn = F.when(F.col(value) >= on, 1).when(F.col(value) <= off, 0)
-    return prefix(df, keys, [number], F.floor(F.col(number) / width), turn, "last", name).fillna(0, subset=[name])
+    return hysteresis_states(df, keys, number, {name: (value, on, off)}, width)
 
 
 def decide(p_pt: Column, p_sp: Column, h_pt: Column, h_sp: Column, r: TagRules) -> Column:
@@ -70,15 +85,15 @@ def decide(p_pt: Column, p_sp: Column, h_pt: Column, h_sp: Column, r: TagRules)
 
 def tag_windows(scored: DataFrame, keys: Sequence[str], number: str, rules: TagRules = TagRules()) -> DataFrame:
     """From raw ``p_pt``/``p_sp`` per window to smoothed probabilities, states ``h_*`` and ``y_win``."""
-    out = scored
-    for c in ("p_pt", "p_sp"):
-        out = moving_average(out, keys, number, c, rules.smooth_k, "__m").drop(c).withColumnRenamed("__m", c)
+    smooth = moving_averages(scored, keys, number, {"__pt": "p_pt", "__sp": "p_sp"}, rules.smooth_k)
+    out = smooth.drop("p_pt", "p_sp").withColumnsRenamed({"__pt": "p_pt", "__sp": "p_sp"})
     if rules.use_hysteresis:
-        out = hysteresis(out, keys, number, "p_pt", rules.pt_on, rules.pt_off, "h_pt")
-        out = hysteresis(out, keys, number, "p_sp", rules.sp_on, rules.sp_off, "h_sp")
+        states = {"h_pt": ("p_pt", rules.pt_on, rules.pt_off), "h_sp": ("p_sp", rules.sp_on, rules.sp_off)}
+        out = hysteresis_states(out, keys, number, states)
     else:
-        out = out.withColumn("h_pt", (F.col("p_pt") >= rules.th_pt).cast("int"))
-        out = out.withColumn("h_sp", (F.col("p_sp") >= rules.th_sp).cast("int"))
+        out = out.withColumns(
+            {"h_pt": (F.col("p_pt") >= rules.th_pt).cast("int"), "h_sp": (F.col("p_sp") >= rules.th_sp).cast("int")}
+        )
     return out.withColumn("y_win", decide(F.col("p_pt"), F.col("p_sp"), F.col("h_pt"), F.col("h_sp"), rules))
 
 

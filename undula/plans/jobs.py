@@ -46,13 +46,13 @@ def context_features(
 ) -> DataFrame:
     """Windows inside each recording with ``f`` = 70 context features, ``start`` and window number ``k``.
 
-    All padded windows take part in the scaling; the base features are written once, because the
-    scaling reads them several times.
+    All padded windows take part in the scaling. Recording lengths and base features are written once,
+    because later steps read them several times; pass ``samples`` staged for the same reason.
     """
     keys = list(keys)
     carry = [label] if label else []
     rec = segment.recording_lengths(samples, keys, *carry)
-    rec = segment.long_enough(rec, max(s.win, s.pad_hop)).withColumnRenamed("n", "n0")
+    rec = stage(segment.long_enough(rec, max(s.win, s.pad_hop)).withColumnRenamed("n", "n0"), "recordings")
     pad = 2 * s.pad_hop * s.pad_rep
     padded = segment.pad_edges(samples.join(rec.select(*keys), keys, "left_semi"), rec.withColumn("n", F.col("n0")), keys, s.pad_hop, s.pad_rep)
     starts = segment.window_starts(rec.withColumn("n", F.col("n0") + pad), keys, s.win, F.lit(s.hop)).drop("n")
@@ -92,7 +92,10 @@ def tag_recordings(
     label: str = "y",
     rules: tagging.TagRules = tagging.TagRules(),
 ) -> TagResult:
-    """Features, clear training rows, two models, scores, tags of static recordings, evaluation."""
+    """Features, clear training rows, two models, scores, tags of static recordings, evaluation.
+
+    ``samples`` are read several times: pass a table (or ``stage`` it first), not a long lineage.
+    """
     keys = list(keys)
     f = stage(context_features(samples, keys, channels, s, label), "context")
     ranges = intervals.sample_ranges(spans, s.fs)

@@ -252,7 +252,7 @@ SELECT rec_id, start - 410 AS start, 70 AS n_features, round(max(CASE WHEN nm =
 WHERE p IS NOT NULL AND c.n IS NOT NULL AND start - 410 >= 0 AND start <= len.n GROUP BY rec_id, start""",
 )
 def a13_context_features(spark: SparkSession, sf: str) -> DataFrame:
-    f = jobs.context_features(mr(spark, sf), ["rec_id"], CH, jobs.TagWindows(), "y")
+    f = jobs.context_features(stage(mr(spark, sf), "samples"), ["rec_id"], CH, jobs.TagWindows(), "y")
     at = features.BASE.index("acc_mean")
     v = lambda i, n: F.round(F.col("f")[i], 4).alias(n)
     return f.select("rec_id", "start", F.size("f").alias("n_features"), v(0, "energy_z"), v(22 + at, "mean_from_prev"), v(44 + at, "mean_to_next"))
@@ -302,7 +302,7 @@ def mr_annotations(samples: DataFrame) -> DataFrame:
 
 
 def tagging_result(spark: SparkSession, sf: str) -> jobs.TagResult:
-    m = mr(spark, sf)
+    m = stage(mr(spark, sf), "samples")
     return jobs.tag_recordings(m, mr_annotations(m), ["rec_id"], CH, jobs.TagWindows(steps=60), "y")
 
 
@@ -370,17 +370,15 @@ w6 AS (SELECT keep.rec_id, start, ch, list(v ORDER BY idx) AS x FROM keep JOIN (
   ON m.rec_id = keep.rec_id AND idx >= start AND idx < start + 410 GROUP BY keep.rec_id, start, ch),
 u6 AS (SELECT rec_id, start, ch, list(CAST(x[lo + 1] + CAST(a * CAST(x[hi + 1] - x[lo + 1] AS FLOAT) AS FLOAT) AS FLOAT) ORDER BY g) AS u FROM w6, p6 GROUP BY rec_id, start, ch),
 k6 AS (SELECT *, ([2.0, 5.0, 0.5, 0.5, 5.0, 0.5]::FLOAT[])[ch + 1] AS th FROM u6),
-e6 AS (SELECT rec_id, start, ch, 1 AS i, u[1] AS xh, 0 AS ev FROM k6
-  UNION ALL
-  SELECT s.rec_id, s.start, s.ch, s.i + 1, CAST(s.xh + CAST(q.ev AS FLOAT) * k.th AS FLOAT), q.ev
-  FROM e6 s JOIN k6 k ON k.rec_id = s.rec_id AND k.start = s.start AND k.ch = s.ch AND s.i < 2048,
-  LATERAL (SELECT CASE WHEN CAST(k.u[s.i + 1] - s.xh AS FLOAT) > CAST(0.5::FLOAT * k.th AS FLOAT) THEN 1
-                       WHEN CAST(k.u[s.i + 1] - s.xh AS FLOAT) < -CAST(0.5::FLOAT * k.th AS FLOAT) THEN -1 ELSE 0 END AS ev) q)"""
+r6 AS (SELECT rec_id, start, list_reduce(list_transform(u, lambda v: {'v': v, 'xh': u[1], 'up': 0, 'dn': 0}), lambda s, b: {'v': b.v,
+    'xh': CAST(s.xh + CASE WHEN CAST(b.v - s.xh AS FLOAT) > CAST(0.5::FLOAT * th AS FLOAT) THEN th WHEN CAST(b.v - s.xh AS FLOAT) < -CAST(0.5::FLOAT * th AS FLOAT) THEN -th ELSE 0::FLOAT END AS FLOAT),
+    'up': s.up + CASE WHEN CAST(b.v - s.xh AS FLOAT) > CAST(0.5::FLOAT * th AS FLOAT) THEN 1 ELSE 0 END,
+    'dn': s.dn + CASE WHEN CAST(b.v - s.xh AS FLOAT) < -CAST(0.5::FLOAT * th AS FLOAT) THEN 1 ELSE 0 END}) AS r FROM k6)"""
 
 
 @query(
     "e6_event_counts",
-    with_(MR) + MR_LEN + _KEPT + _WIDE + "SELECT rec_id, start, count_if(ev = 1) AS n_up, count_if(ev = -1) AS n_down, count_if(ev <> 0) AS n_events FROM e6 GROUP BY rec_id, start",
+    with_(MR) + MR_LEN + _KEPT + _WIDE + "SELECT rec_id, start, CAST(sum(r.up) AS BIGINT) AS n_up, CAST(sum(r.dn) AS BIGINT) AS n_down, CAST(sum(r.up) + sum(r.dn) AS BIGINT) AS n_events FROM r6 GROUP BY rec_id, start",
 )
 def e6_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Full-size windows (410 samples, six channels, 2,048 steps) encoded and counted."""
