@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from undula.operators import kernels as K
 from undula.operators.quantiles import exact_quantiles
 from undula.operators.sequence import framed
+from undula.session import stage
 
 # Frequency bands in Hz, lower edge included.
 BANDS = ((0.5, 3.0), (3.0, 8.0), (8.0, 20.0), (20.0, 50.0))
@@ -90,7 +91,10 @@ def _numbered(values: Column) -> Column:
 
 
 def robust_scale(df: DataFrame, keys: Sequence[str], column: str = "f") -> DataFrame:
-    """(f - median) / (1.4826 * (MAD + 1e-6)) per recording and entry of the array ``column``."""
+    """(f - median) / (1.4826 * (MAD + 1e-6)) per recording and entry of the array ``column``.
+
+    The two tables of one row per recording are written once, since both are read several times.
+    """
     keys = list(keys)
 
     def per_recording(long: DataFrame, name: str) -> DataFrame:
@@ -98,10 +102,10 @@ def robust_scale(df: DataFrame, keys: Sequence[str], column: str = "f") -> DataF
         lined = F.array_sort(F.collect_list(F.struct("feature", "q")))  # one entry per feature
         return q.groupBy(*keys).agg(lined.alias("__l")).select(*keys, F.col("__l.q").alias(name))
 
-    med = per_recording(df.select(*keys, _numbered(F.col(column))), "__med")
+    med = stage(per_recording(df.select(*keys, _numbered(F.col(column))), "__med"), "medians")
     centred = df.join(med, keys).withColumn("__d", F.zip_with(column, "__med", lambda a, m: a - m))
     gaps = centred.select(*keys, _numbered(F.transform("__d", F.abs)))
-    mad = per_recording(gaps, "__mad")
+    mad = stage(per_recording(gaps, "__mad"), "deviations")
     return (
         centred.join(mad, keys)
         .withColumn(column, F.zip_with("__d", "__mad", lambda d, m: d / (1.4826 * (m + 1e-6))))

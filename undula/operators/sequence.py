@@ -12,6 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.session import stage
+
+HOT_ROWS = 2_000_000  # rows of one key that a single task may order
+
 _B, _OFF, _CHUNK = "__bucket", "__offset", "__chunk"
 
 
@@ -22,12 +26,24 @@ def sequence_number(
     bucket: Column,
     name: str = "idx",
     total: str | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Zero-based row number per ``keys`` in ``order``; ``total`` names an optional row count per key.
 
-    ``bucket`` must never decrease along ``order``; one task handles one (keys, bucket).
+    ``bucket`` must never decrease along ``order``; one task handles one (keys, bucket). With
+    ``hot_rows``, keys are counted first and only those with more rows are cut into buckets; the
+    others, at most that long, take a plain window.
     """
     keys = list(keys)
+    if hot_rows is not None:
+        hot = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).select(*keys), "hot")
+        w = Window.partitionBy(*keys)
+        count = {total: F.count(F.lit(1)).over(w)} if total else {}
+        number = {name: (F.row_number().over(w.orderBy(*order)) - 1).cast("bigint"), **count}
+        if hot.isEmpty():
+            return df.withColumns(number)
+        cut = sequence_number(df.join(hot, keys, "left_semi"), keys, order, bucket, name, total)
+        return df.join(hot, keys, "left_anti").withColumns(number).unionByName(cut)
     b = df.withColumn(_B, bucket)
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     count = [F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []

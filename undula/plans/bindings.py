@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.operators.sequence import sequence_number
+from undula.operators.sequence import HOT_ROWS, sequence_number
 
 CH = [f"c{i}" for i in range(6)]
 ACC, GYR = CH[:3], CH[3:]
@@ -28,7 +28,7 @@ def ev(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("rec_id"), "ts", "event_id", "event_type", "value",
         F.col("value").cast("float").alias("c0"), k_of().alias("c1"), (F.col("user_id") % 3).cast("int").alias("y"),
     )
-    return sequence_number(e, ["rec_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
+    return sequence_number(e, ["rec_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), hot_rows=HOT_ROWS)
 
 
 EV = """ev AS (
@@ -38,9 +38,13 @@ EV = """ev AS (
   FROM events)"""
 
 
-def mr(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("rec_id"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
+_MR_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+
+
+def mr_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples without their position, for operators that need no order."""
+    return table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("rec_id"), *_MR_ORDER,
         F.col("l_quantity").cast("float").alias("c0"),
         (F.col("l_extendedprice") / 1000).cast("float").alias("c1"),
         (F.col("l_discount") * 100).cast("float").alias("c2"),
@@ -49,8 +53,11 @@ def mr(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_linenumber").cast("float").alias("c5"),
         (F.col("l_suppkey") % 3).cast("int").alias("y"),
     )
-    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
-    return sequence_number(li, ["rec_id"], order, F.col("l_shipdate")).select("rec_id", "y", "idx", *CH)
+
+
+def mr(spark: SparkSession, sf: str) -> DataFrame:
+    li = sequence_number(mr_rows(spark, sf), ["rec_id"], _MR_ORDER, F.col("l_shipdate"), hot_rows=HOT_ROWS)
+    return li.select("rec_id", "y", "idx", *CH)
 
 
 MR = """mr AS (

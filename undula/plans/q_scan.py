@@ -11,7 +11,7 @@ from undula.functions import scalar as S
 from undula.operators import segment, splits
 from undula.operators.encode import polarity_channels, signed_current
 from undula.operators.intervals import clear_windows
-from undula.plans.bindings import CH, EV, MR, PR, SP, WN, ev, iv, mr, pr, sp, table, with_, wn
+from undula.plans.bindings import CH, EV, MR, PR, SP, WN, ev, iv, mr, mr_rows, pr, sp, table, with_, wn
 from undula.plans.registry import query
 from undula.session import staging_root
 from undula.sources import annotations, store, text
@@ -344,7 +344,7 @@ def p7_four_classes(spark: SparkSession, sf: str) -> DataFrame:
     with_(MR) + "SELECT rec_id, y, count(*) AS n FROM mr GROUP BY rec_id, y HAVING count(*) >= 600",
 )
 def p8_length_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return segment.long_enough(segment.recording_lengths(mr(spark, sf), ["rec_id"], "y"), 600)
+    return segment.long_enough(segment.recording_lengths(mr_rows(spark, sf), ["rec_id"], "y"), 600)
 
 
 @query(

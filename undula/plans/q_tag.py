@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from undula.operators import features, intervals, search, segment, tagging
 from undula.operators.intervals import coverage_score
 from undula.plans import jobs
-from undula.plans.bindings import ACC, CH, EV, IV, MR, PR, WN, ev, iv, mr, pr, with_, wn
+from undula.plans.bindings import ACC, CH, EV, IV, MR, PR, WN, ev, iv, mr, mr_rows, pr, with_, wn
 from undula.plans.q_window import EV_LEN, GRID, MR_LEN, PAD_SQL, SD_SQL, padded, up_long
 from undula.plans.registry import query
 from undula.session import stage
@@ -480,5 +480,5 @@ def a19_objective(spark: SparkSession, sf: str) -> DataFrame:
 SELECT CAST(channel AS INT) AS channel, round(greatest(5.0::DOUBLE, 0.5::DOUBLE * quantile_cont(a, 0.95), 1.1::DOUBLE * 4), 6) AS theta_max FROM l GROUP BY channel""",
 )
 def a21_theta_ceiling(spark: SparkSession, sf: str) -> DataFrame:
-    c = search.theta_ceiling(mr(spark, sf), CH, [4.0] * 6, scale=0.5, floor=5.0, margin=1.1)
+    c = search.theta_ceiling(mr_rows(spark, sf), CH, [4.0] * 6, scale=0.5, floor=5.0, margin=1.1)
     return c.select("channel", F.round("theta_max", 6).alias("theta_max"))

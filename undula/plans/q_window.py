@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from undula.operators import encode, resample, search, segment, splits, tagging
 from undula.operators.features import neighbour_context
 from undula.operators.sequence import with_halo
-from undula.plans.bindings import ACC, CH, EV, MR, WN, ev, mr, with_, wn
+from undula.plans.bindings import ACC, CH, EV, MR, WN, ev, mr, mr_rows, with_, wn
 from undula.plans.registry import query
 
 EV_STRIDES = {0: 6, 1: 16, 2: 8}
@@ -230,7 +230,7 @@ up AS (SELECT win_id, y, split, g, CAST(x[lo + 1] + CAST(a * CAST(x[hi + 1] - x[
     with_(MR) + MR_LEN + "SELECT rec_id, greatest(CAST(round_even(n * 0.5::DOUBLE, 0) AS BIGINT), 300) AS out_len FROM len",
 )
 def r1_output_length(spark: SparkSession, sf: str) -> DataFrame:
-    n = segment.recording_lengths(mr(spark, sf), ["rec_id"])
+    n = segment.recording_lengths(mr_rows(spark, sf), ["rec_id"])
     return n.select("rec_id", resample.output_length(F.col("n"), 0.5, 300).alias("out_len"))
 
 
@@ -354,7 +354,7 @@ def encoded(spark: SparkSession, sf: str, **kw) -> DataFrame:
     + " FROM mr GROUP BY rec_id",
 )
 def e1_default_step(spark: SparkSession, sf: str) -> DataFrame:
-    d = encode.default_step(mr(spark, sf), ["rec_id"], CH)
+    d = encode.default_step(mr_rows(spark, sf), ["rec_id"], CH)
     return d.select("rec_id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in CH])
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from undula.functions.scalar import base_name
 from undula.operators.sequence import sequence_number
+from undula.session import stage
 
 # Sensor columns in a recording line, activity codes per class, class names.
 ACC_COLUMNS = {"ADXL345": (0, 1, 2), "MMA8451Q": (6, 7, 8)}
@@ -50,7 +51,7 @@ def text_lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.[t
         .text(path)
         .select(
             logical_path(F.col("_metadata.file_path")).alias("path"),
-            F.struct(F.col("_metadata.file_path").alias("piece"), F.col("_metadata.file_block_start").alias("at")).alias("block"),
+            F.struct(F.col("_metadata.file_name").alias("piece"), F.col("_metadata.file_block_start").alias("at")).alias("block"),
             F.monotonically_increasing_id().alias("__id"),
             "value",
         )
@@ -103,9 +104,13 @@ def pick_channels(df: DataFrame, v: str = "v", acc: str = "ADXL345") -> DataFram
 
 
 def read_recordings(spark: SparkSession, path: str, acc: str = "ADXL345") -> DataFrame:
-    """Samples of all valid recordings: path, file, code, subject, trial, y, idx, c0..c5."""
+    """Samples of all valid recordings: path, file, code, subject, trial, y, idx, c0..c5.
+
+    The parsed lines are written once: numbering reads them twice, and text is costly to parse.
+    """
     lines = decode_name(text_lines(spark, path), F.col("path")).filter("y IS NOT NULL")
-    return pick_channels(number_lines(parse_samples(lines)), "v", acc)
+    parsed = pick_channels(parse_samples(lines), "v", acc)
+    return number_lines(stage(parsed, "parsed_lines"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
