@@ -47,10 +47,7 @@ def dead_zones(dead_zone, theta: np.ndarray) -> np.ndarray:
     if dead_zone is None:
         return np.zeros_like(theta)
     a = np.asarray(dead_zone, np.float32)
-    out = a * theta if a.ndim == 0 else _per_channel(a, theta.size, "dead_zone")
-    if (out < 0).any():
-        raise ValueError("dead_zone must not be negative")
-    return out.astype(np.float32)
+    return a * theta if a.ndim == 0 else _per_channel(a, theta.size, "dead_zone")
 
 
 def _event_lists(ev: np.ndarray) -> pa.Array:
@@ -88,8 +85,8 @@ def encode_windows(
         raise ValueError("steps must be positive")
     if cap is not None and cap < 0:
         raise ValueError("cap must not be negative")
-    if kind == "sigma_delta":
-        dead_zones(dead_zone, np.atleast_1d(np.asarray(theta, np.float32)))
+    if dead_zone is not None and (np.asarray(dead_zone, np.float32) < 0).any():
+        raise ValueError("dead_zone must not be negative")
     keep = [c for c in df.columns if c != column]
     fields = [df.schema[c] for c in keep] + [
         T.StructField("events", T.ArrayType(EVENT)),
