@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from undula.operators.quantiles import exact_quantiles
-from undula.operators.sequence import explode_range, framed, prefix, sequence_number
+from undula.operators.sequence import Run, explode_range, framed, prefixes, sequence_number
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,9 @@ def test_sequence_number(rows, hot):
 @pytest.mark.parametrize("inclusive", [True, False])
 @pytest.mark.parametrize("descending", [True, False])
 def test_prefix(rows, how, inclusive, descending):
-    got = prefix(rows, ["k"], ["i"], F.floor(F.col("i") / 64), F.col("v"), how, "p", inclusive, descending)
+    runs = {"p": Run(how, F.col("v"), inclusive, descending), "q": Run("sum", F.lit(1))}
+    got = prefixes(rows, ["k"], ["i"], F.floor(F.col("i") / 64), runs)
+    assert got.filter("q <> i + 1").isEmpty()
     order = F.col("i").desc() if descending else F.col("i")
     w = Window.partitionBy("k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     fn = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}[how]
@@ -61,7 +63,8 @@ def test_explode_range(spark, spread):
     assert sorted((r.k, r.v) for r in got.collect()) == sorted(want)
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("hot", [None, 100, 200_000])
+def test_exact_quantiles(spark, hot):
     rng = np.random.default_rng(0)
     groups = {
         0: rng.normal(size=2001), 1: np.full(50, 3.5), 2: np.array([7.0]), 3: np.array([-1e-300, 0.0, 1e300, -2.0]),
@@ -69,7 +72,7 @@ def test_exact_quantiles(spark):
     }
     df = spark.createDataFrame([(k, float(v)) for k, a in groups.items() for v in a] + [(0, None)], "k int, v double")
     probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p1": 1.0}
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, hot).collect()}
     assert set(got) == set(groups)
     for k, a in groups.items():
         assert got[k].n == len(a)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.operators.sequence import explode_range, prefix
+from undula.operators.sequence import Run, explode_range, prefixes
 
 MODES = ("mean", "center", "max", "q")
 
@@ -21,14 +21,23 @@ def sample_ranges(intervals: DataFrame, fs: float) -> DataFrame:
     )
 
 
-def merge_ranges(ranges: DataFrame, keys: Sequence[str], width: int = 1_000_000) -> DataFrame:
-    """Union of overlapping or touching ranges per key: disjoint (keys, a, b)."""
-    keys = list(keys)
-    span = F.floor(F.col("a") / width)
+def _with_reach(ranges: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Distinct starts with their furthest end ``b`` and ``__reach``, the furthest end of earlier starts."""
     r = ranges.select(*keys, "a", "b").groupBy(*keys, "a").agg(F.max("b").alias("b"))
-    r = prefix(r, keys, ["a"], span, F.col("b"), "max", "__reach", inclusive=False)
+    return prefixes(r, keys, ["a"], F.floor(F.col("a") / width), {"__reach": Run("max", F.col("b"), inclusive=False)})
+
+
+def disjoint_ranges(ranges: DataFrame, keys: Sequence[str], width: int = 1_000_000) -> DataFrame:
+    """Disjoint pieces with the same union per key: each range gives what earlier ones left uncovered."""
+    r = _with_reach(ranges, keys, width)
+    return r.withColumn("a", F.greatest("a", "__reach")).drop("__reach").filter("b > a")
+
+
+def merge_ranges(ranges: DataFrame, keys: Sequence[str], width: int = 1_000_000) -> DataFrame:
+    """Union of overlapping or touching ranges per key: disjoint, maximal (keys, a, b)."""
+    r = _with_reach(ranges, keys, width)
     opens = F.when(F.col("__reach").isNull() | (F.col("a") > F.col("__reach")), F.col("a"))
-    r = prefix(r, keys, ["a"], span, opens, "last", "__island")
+    r = prefixes(r, keys, ["a"], F.floor(F.col("a") / width), {"__island": Run("last", opens)})
     return r.groupBy(*keys, "__island").agg(F.max("b").alias("b")).withColumnRenamed("__island", "a")
 
 
@@ -52,7 +61,7 @@ def window_coverage(
     range and window is formed that does not overlap.
     """
     keys = list(keys)
-    hits = _windows_touching(merge_ranges(ranges, [*keys, "kind"]), F.col("a"), F.col("b"), win, hop)
+    hits = _windows_touching(disjoint_ranges(ranges, [*keys, "kind"]), F.col("a"), F.col("b"), win, hop)
     ones = F.least(F.col("b"), F.col("start") + win) - F.greatest(F.col("a"), F.col("start"))
     mid = F.col("start") + win // 2
     covered = ((F.col("a") <= mid) & (mid < F.col("b"))).cast("int")

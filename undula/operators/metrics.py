@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from undula.functions.scalar import argmax_label, isclose
 from undula.operators.segment import STATIC
-from undula.operators.sequence import prefix
+from undula.operators.sequence import Run, prefixes
 from undula.session import stage
 
 
@@ -109,11 +109,10 @@ def dual_head_counts(df: DataFrame, logits: str = "logits", z: str = "z", by: Se
 def training_history(log: DataFrame, run: str, epoch: str, loss: str, patience: int, width: int = 100_000) -> DataFrame:
     """Adds ``best`` (lowest loss so far), ``improved``, ``bad_epochs`` and ``stop`` (first epoch at which
     ``patience`` epochs in a row brought nothing) and drops the epochs after it."""
-    span = F.floor(F.col(epoch) / width)
-    h = prefix(log, [run], [epoch], span, F.col(loss), "min", "__prev", inclusive=False)
-    h = h.withColumn("improved", F.col("__prev").isNull() | (F.col(loss) < F.col("__prev")))
-    h = h.withColumn("best", F.least("__prev", loss)).drop("__prev")
-    h = prefix(h, [run], [epoch], span, F.when(F.col("improved"), F.col(epoch)), "last", "best_epoch")
+    best = Run("min", F.struct(F.col(loss).alias("loss"), F.col(epoch).alias("epoch")))
+    h = prefixes(log, [run], [epoch], F.floor(F.col(epoch) / width), {"__b": best})
+    h = h.withColumns({"best": F.col("__b.loss"), "best_epoch": F.col("__b.epoch")}).drop("__b")
+    h = h.withColumn("improved", F.col("best_epoch") == F.col(epoch))
     h = h.withColumn("bad_epochs", F.col(epoch) - F.col("best_epoch"))
     stops = h.filter(F.col("bad_epochs") >= patience).groupBy(run).agg(F.min(epoch).alias("stop"))
     return h.join(stops, run, "left").filter(F.col("stop").isNull() | (F.col(epoch) <= F.col("stop")))

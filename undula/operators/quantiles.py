@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.session import stage
+
+HOT_ROWS = 200_000  # rows of one group that a single task may hold
 _CELLS = 65_536
 
 
@@ -20,13 +23,41 @@ def value_cell(v: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """One row per group: ``keys``, ``n`` and one column per entry of ``probs`` (name -> probability).
 
+    Groups of at most ``hot_rows`` rows use the built-in exact ``percentile``, which holds a group in
+    memory; larger ones use ``selected_quantiles``. ``hot_rows=None`` sends every group there. Nulls
+    are ignored.
+    """
+    keys = list(keys)
+    if hot_rows is None:
+        return selected_quantiles(df, keys, value, probs)
+    small, hot = df, None
+    if keys:
+        large = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        large = stage(large.filter(F.col("__n") > hot_rows).select(*keys), "hot_groups")
+        if not large.isEmpty():
+            small, hot = df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
+    elif df.count() > hot_rows:
+        return selected_quantiles(df, keys, value, probs)
+    v = F.col(value).cast("double")
+    every = F.percentile(v, F.array(*[F.lit(float(p)) for p in probs.values()]))
+    out = (
+        small.groupBy(*keys)
+        .agg(F.count(v).alias("n"), every.alias("__q"))
+        .filter("n > 0")
+        .select(*keys, "n", *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)])
+    )
+    return out if hot is None else out.unionByName(selected_quantiles(hot, keys, value, probs))
+
+
+def selected_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """The same result by rank selection, for groups of any size.
+
     Pass 1 counts rows per (group, cell) with map-side combining. The cell counts tell which cells
     hold the wanted ranks; pass 2 looks only at rows of those cells, counted by distinct value.
-    Nulls are ignored.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from undula.operators import kernels as K
-from undula.operators.sequence import explode_range, prefix
+from undula.operators.sequence import Run, explode_range, prefixes
 
 METHODS = ("linear", "zoh", "cubic")
 
@@ -68,9 +68,11 @@ def at_times(
     )
     line = src.unionByName(dst, allowMissingColumns=True)
     order = [t, "__kind", "__seq"]
-    span = F.floor(F.col(t) / width)
-    line = prefix(line, keys, order, span, F.col("__pt"), "last", "__a", inclusive=False)
-    line = prefix(line, keys, order, span, F.col("__pt"), "last", "__b", inclusive=False, descending=True)
+    runs = {
+        "__a": Run("last", F.col("__pt"), inclusive=False),
+        "__b": Run("last", F.col("__pt"), inclusive=False, descending=True),
+    }
+    line = prefixes(line, keys, order, F.floor(F.col(t) / width), runs)
     held = F.coalesce(F.col("__a.v"), F.col("__b.v"))
     if method == "linear":
         slope = (F.col("__b.v") - F.col("__a.v")) / (F.col("__b.t") - F.col("__a.t"))

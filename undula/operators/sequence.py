@@ -8,6 +8,7 @@ buckets. Results equal the plain window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,71 +61,52 @@ def sequence_number(
     )
 
 
-def prefixes(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    specs: dict[str, tuple[str, Column]],
-    inclusive: bool = True,
-    descending: bool = False,
-) -> DataFrame:
-    """Running aggregates along ``order``: ``specs`` maps name -> (how, value).
+@dataclass(frozen=True)
+class Run:
+    """A running ``sum``, ``max``, ``min`` or ``last`` of ``value``; nulls are ignored.
 
-    ``how`` is ``sum``, ``max``, ``min`` or ``last``; nulls are ignored. ``descending`` runs from the end
-    of the order. ``inclusive=False`` leaves out the current row. All aggregates share one shuffle.
+    ``descending`` runs from the end of the order. ``inclusive=False`` leaves out the current row.
     """
-    keys = list(keys)
 
-    def asc(c: str) -> Column:
-        return F.col(c).desc() if descending else F.col(c).asc()
+    how: str
+    value: Column
+    inclusive: bool = True
+    descending: bool = False
+
+
+def prefixes(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, runs: dict[str, Run]) -> DataFrame:
+    """Adds one running aggregate along ``order`` per entry of ``runs``. All share one shuffle.
 
-    pick = F.min_by if descending else F.max_by
-    fold = {"sum": F.sum, "max": F.max, "min": F.min}
-    join = {
+    ``df`` is read twice (bucket summaries and rows): pass a table or a cheap plan.
+    """
+    keys = list(keys)
+    fold = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+    combine = {
         "sum": lambda c, v: F.coalesce(c, F.lit(0)) + F.coalesce(v, F.lit(0)),
-        "max": F.greatest,
-        "min": F.least,
+        "max": lambda c, v: F.greatest(c, v),
+        "min": lambda c, v: F.least(c, v),
         "last": lambda c, v: F.coalesce(v, c),
     }
-    latest = lambda c: F.last(c, ignorenulls=True)
     b = df.withColumn(_B, bucket)
-    totals, carries, locals_, results = [], [], {}, {}
-    earlier = Window.partitionBy(*keys).orderBy(asc(_B)).rowsBetween(Window.unboundedPreceding, -1)
-    inside = (
-        Window.partitionBy(*keys, _B)
-        .orderBy(*[asc(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    for i, (name, (how, value)) in enumerate(specs.items()):
+    totals, carries, inside, results = [], [], {}, {}
+    for i, (name, r) in enumerate(runs.items()):
         v, c = f"__v{i}", f"__c{i}"
-        b = b.withColumn(v, value)
-        if how == "last":
+        b = b.withColumn(v, r.value)
+        sort = (lambda x: F.col(x).desc()) if r.descending else (lambda x: F.col(x).asc())
+        if r.how == "last":
+            pick = F.min_by if r.descending else F.max_by
             totals.append(pick(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(c))
         else:
-            totals.append(fold[how](v).alias(c))
-        step = latest if how == "last" else fold[how]
-        carries.append(step(c).over(earlier).alias(c))
-        locals_[v] = step(v).over(inside)
-        results[name] = join[how](F.col(c), F.col(v))
+            totals.append(fold[r.how](v).alias(c))
+        earlier = Window.partitionBy(*keys).orderBy(sort(_B)).rowsBetween(Window.unboundedPreceding, -1)
+        local = Window.partitionBy(*keys, _B).orderBy(*[sort(o) for o in order])
+        local = local.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
+        carries.append(fold[r.how](c).over(earlier).alias(c))
+        inside[v] = fold[r.how](v).over(local)
+        results[name] = combine[r.how](F.col(c), F.col(v))
     carry = b.groupBy(*keys, _B).agg(*totals).select(*keys, _B, *carries)
-    out = b.join(carry, [*keys, _B]).withColumns(locals_).withColumns(results)
-    return out.drop(_B, *locals_, *[f"__c{i}" for i in range(len(specs))])
-
-
-def prefix(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    value: Column,
-    how: str,
-    name: str,
-    inclusive: bool = True,
-    descending: bool = False,
-) -> DataFrame:
-    """One running aggregate, see ``prefixes``."""
-    return prefixes(df, keys, order, bucket, {name: (how, value)}, inclusive, descending)
+    out = b.join(carry, [*keys, _B]).withColumns(inside).withColumns(results)
+    return out.drop(_B, *inside, *[f"__c{i}" for i in range(len(runs))])
 
 
 def with_halo(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.operators.features import column_moments, standardise
-from undula.operators.sequence import framed, prefixes
+from undula.operators.sequence import Run, framed, prefixes
 
 
 @dataclass(frozen=True)
@@ -52,12 +52,12 @@ def hysteresis_states(
     ``rules`` maps name -> (value column, on, off). Since on > off, the state is the last of the two
     events seen so far.
     """
-    specs = {}
+    runs = {}
     for name, (value, on, off) in rules.items():
         if on <= off:
             raise ValueError("on must be above off")
-        specs[name] = ("last", F.when(F.col(value) >= on, 1).when(F.col(value) <= off, 0))
-    return prefixes(df, keys, [number], F.floor(F.col(number) / width), specs).fillna(0, subset=list(rules))
+        runs[name] = Run("last", F.when(F.col(value) >= on, 1).when(F.col(value) <= off, 0))
+    return prefixes(df, keys, [number], F.floor(F.col(number) / width), runs).fillna(0, subset=list(rules))
 
 
 def hysteresis(

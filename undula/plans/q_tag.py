@@ -339,7 +339,7 @@ def m3_scored_windows(spark: SparkSession, sf: str) -> DataFrame:
 def m9_tagging_job(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation and summary of the whole tagging job."""
     r = tagging_result(spark, sf)
-    return r.evaluation.crossJoin(r.summary)  # one row each
+    return r.evaluation.withColumn("job", F.lit(1)).join(r.summary.withColumn("job", F.lit(1)), "job").drop("job")
 
 
 _KEPT = """, amp AS (SELECT rec_id, idx, greatest(abs(c0), abs(c1), abs(c2), abs(c3), abs(c4), abs(c5)) AS a FROM mr),
