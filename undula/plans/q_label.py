@@ -537,7 +537,7 @@ s AS (SELECT *, min(CASE WHEN epoch - best_epoch >= 6 THEN epoch END) OVER (PART
 )
 def t4_best_epoch(spark: SparkSession, sf: str) -> DataFrame:
     log = ev(spark, sf).select(F.col("rec_id").alias("run"), F.col("idx").alias("epoch"), F.col("value").alias("val_loss"))
-    return metrics.training_history(log, "run", "epoch", "val_loss", 6).drop("val_loss")
+    return metrics.training_history(stage(log, "log"), "run", "epoch", "val_loss", 6).drop("val_loss")
 
 
 @query("t5_argmax_label", with_(PR) + "SELECT event_id, list_position(logits, list_max(logits)) - 1 AS label FROM pr")

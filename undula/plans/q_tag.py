@@ -42,8 +42,13 @@ def ev_grid(spark: SparkSession, sf: str) -> DataFrame:
     return segment.window_starts(rec, ["rec_id"], WIN, F.lit(HOP)).select("rec_id", "y", "start")
 
 
+def spans_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The intervals as a table: merging reads them twice."""
+    return stage(iv(spark, sf), "spans")
+
+
 def covered(spark: SparkSession, sf: str) -> DataFrame:
-    ranges = intervals.sample_ranges(iv(spark, sf), 1.0)
+    ranges = intervals.sample_ranges(spans_of(spark, sf), 1.0)
     return intervals.window_coverage(ev_grid(spark, sf), ranges, ["rec_id"], WIN, HOP, KINDS)
 
 
@@ -56,7 +61,7 @@ g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER
 SELECT rec_id, kind, min(a) AS a, max(b) AS b FROM g GROUP BY rec_id, kind, island""",
 )
 def u3_merged_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    ranges = intervals.sample_ranges(iv(spark, sf), 1.0)
+    ranges = intervals.sample_ranges(spans_of(spark, sf), 1.0)
     return intervals.merge_ranges(ranges, ["rec_id", "kind"], width=32)
 
 
@@ -114,7 +119,7 @@ def j3_label_match(spark: SparkSession, sf: str) -> DataFrame:
 FROM cov JOIN gw USING (rec_id, start) WHERE y = 2""",
 )
 def m5_manual_labels(spark: SparkSession, sf: str) -> DataFrame:
-    spans = iv(spark, sf).filter("y = 2")
+    spans = spans_of(spark, sf).filter("y = 2")
     grid = ev_grid(spark, sf).filter("y = 2")
     m = jobs.manual_tags(grid, spans, ["rec_id"], 1.0, WIN, HOP)
     return m.select("rec_id", "start", *[F.round(c, 6).alias(c) for c in ("pt", "pt_max", "sp", "amb")], "y_win")
@@ -129,7 +134,7 @@ def m5_manual_labels(spark: SparkSession, sf: str) -> DataFrame:
 SELECT * FROM c WHERE clear_pt OR clear_sp""",
 )
 def m6_training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    ranges = intervals.sample_ranges(iv(spark, sf).filter(THIN), 1.0)
+    ranges = intervals.sample_ranges(spans_of(spark, sf).filter(THIN), 1.0)
     c = intervals.window_coverage(ev_grid(spark, sf).filter("y = 2"), ranges, ["rec_id"], WIN, HOP, KINDS)
     return jobs.clear_rows(c, WIN, "q").select("rec_id", "start", "clear_pt", "clear_sp")
 
@@ -357,7 +362,7 @@ keep AS (SELECT * FROM st WHERE y <> 0 OR EXISTS (SELECT 1 FROM pk WHERE pk.rec_
   true AS has_events FROM keep JOIN mr ON mr.rec_id = keep.rec_id AND mr.idx = start""",
 )
 def e6_dual_label_events(spark: SparkSession, sf: str) -> DataFrame:
-    m = mr(spark, sf)
+    m = stage(mr(spark, sf), "samples")
     tags = m.filter("y = 2 AND idx = 0").select("rec_id", F.lit(0).cast("bigint").alias("start"), F.lit(1.0).alias("y_h2"), F.lit(0).alias("src_h2"))
     settings = jobs.EventSettings(theta=(2.0, 5.0, 0.5, 0.5, 5.0, 0.5))
     e = jobs.dual_label_events(m, tags, ["rec_id"], CH, settings, "y")
@@ -382,7 +387,7 @@ r6 AS (SELECT rec_id, start, list_reduce(list_transform(u, lambda v: {'v': v, 'x
 )
 def e6_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Full-size windows (410 samples, six channels, 2,048 steps) encoded and counted."""
-    m = mr(spark, sf)
+    m = stage(mr(spark, sf), "samples")
     none = m.filter("idx < 0").select("rec_id", F.col("idx").alias("start"), F.lit(1.0).alias("y_h2"), F.lit(0).alias("src_h2"))
     settings = jobs.EventSettings(theta=(2.0, 5.0, 0.5, 0.5, 5.0, 0.5))
     e = jobs.dual_label_events(m, none, ["rec_id"], CH, settings, "y")

@@ -10,6 +10,7 @@ from undula.operators.features import neighbour_context
 from undula.operators.sequence import with_halo
 from undula.plans.bindings import ACC, CH, EV, MR, WN, ev, mr, mr_rows, with_, wn
 from undula.plans.registry import query
+from undula.session import stage
 
 EV_STRIDES = {0: 6, 1: 16, 2: 8}
 WIN, HOP = 410, 205
@@ -44,7 +45,7 @@ pk AS (SELECT ev.rec_id, ev.idx FROM ev JOIN top USING (rec_id) WHERE greatest(a
 SELECT rec_id, start FROM st WHERE y = 0 AND EXISTS (SELECT 1 FROM pk WHERE pk.rec_id = st.rec_id AND idx >= start AND idx < start + 16)""",
 )
 def w2_global_peak_windows(spark: SparkSession, sf: str) -> DataFrame:
-    e = ev(spark, sf).filter("y = 0")
+    e = stage(ev(spark, sf).filter("y = 0"), "ev")
     return segment.global_peak_starts(e, ev_lengths(e), ["rec_id"], ["c0", "c1"], 16, ev_stride()).select("rec_id", "start")
 
 
@@ -59,7 +60,7 @@ SELECT rec_id, greatest(0, least(p - 8, n - 16)) FROM len JOIN pk USING (rec_id)
 WHERE y = 0 AND n >= 16 AND rec_id NOT IN (SELECT rec_id FROM cov)""",
 )
 def w3_first_peak_windows(spark: SparkSession, sf: str) -> DataFrame:
-    e = ev(spark, sf).filter("y = 0")
+    e = stage(ev(spark, sf).filter("y = 0"), "ev")
     return segment.first_peak_starts(e, ev_lengths(e), ["rec_id"], ["c0", "c1"], 16, ev_stride()).select("rec_id", "start")
 
 
@@ -105,7 +106,7 @@ pst AS (SELECT rec_id, y, n, CAST(unnest(range(0, n + 820 - 409, 205)) AS BIGINT
 
 def padded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Samples with repeated edges, their recordings, and window starts on the padded axis."""
-    m = mr(spark, sf)
+    m = stage(mr(spark, sf), "mr")
     rec = segment.long_enough(segment.recording_lengths(m, ["rec_id"], "y"), WIN)
     p = segment.pad_edges(m, rec, ["rec_id"], HOP, 2)
     starts = segment.window_starts(
@@ -184,7 +185,7 @@ HYST_SQL = """, hy AS (
 
 @query("w10_hysteresis", with_(EV) + HYST_SQL + "SELECT rec_id, idx, h FROM hy")
 def w10_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
-    e = ev(spark, sf).select("rec_id", "idx", "c1")
+    e = stage(ev(spark, sf).select("rec_id", "idx", "c1"), "ev")
     return tagging.hysteresis(e, ["rec_id"], "idx", "c1", 60, 40, "h", width=32).select("rec_id", "idx", "h")
 
 
@@ -287,7 +288,7 @@ nxt AS (SELECT p.*, s.t AS t1, s.v AS v1 FROM pre p ASOF LEFT JOIN src s ON p.re
 
 
 def times(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = ev(spark, sf)
+    e = stage(ev(spark, sf).select("rec_id", "idx", "ts", "c0"), "ev")
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     src = e.select("rec_id", "idx", t.alias("t"), F.col("c0").cast("double").alias("v"))
     dst = e.select("rec_id", F.col("idx").alias("target"), (t + (F.col("idx") % 7 - 3) * 5000.0).alias("t"))
