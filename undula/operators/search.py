@@ -103,19 +103,30 @@ def event_statistics(per_window: DataFrame, names: dict[int, str], label: str =
     )
 
 
+def channel_values(df: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
+    """Long rows (channel, |value|) from sample columns, or from packed windows ``x`` without ``channels``."""
+    if channels is not None:
+        values = F.array(*[F.abs(F.col(c).cast("double")) for c in channels])
+        return df.select(F.posexplode(values).alias("channel", "a"))
+    per = df.select(F.posexplode("x").alias("channel", "v"))
+    return per.select("channel", F.explode("v").alias("v")).select("channel", F.abs(F.col("v").cast("double")).alias("a"))
+
+
 def theta_ceiling(
-    samples: DataFrame, channels: Sequence[str], theta0: Sequence[float], scale: float, floor: float = 0.0,
-    margin: float = 1.0, pct: float = 95.0, override: Sequence[float] | None = None,
+    values: DataFrame, theta0: Sequence[float], scale: float, floor: float = 0.0, margin: float = 1.0, pct: float = 95.0,
+    override: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Largest threshold per channel: max(floor, scale * p95(|x|), margin * theta0), or the override."""
-    spark = samples.sparkSession
+    """Largest threshold per channel: max(floor, scale * p95(|x|), margin * theta0), or the override.
+
+    ``values`` comes from ``channel_values``. A channel holds a share of all samples, so the quantile is
+    found by rank selection.
+    """
     if override is not None:
-        return spark.createDataFrame([(i, float(v)) for i, v in enumerate(override)], "channel int, theta_max double")
-    long = samples.select(F.posexplode(F.array(*[F.abs(F.col(c).cast("double")) for c in channels])).alias("channel", "a"))
+        rows = [(i, float(v)) for i, v in enumerate(override)]
+        return values.sparkSession.createDataFrame(rows, "channel int, theta_max double")
     t0 = F.element_at(F.array(*[F.lit(float(t)) for t in theta0]), F.col("channel") + 1)
-    return exact_quantiles(long, ["channel"], "a", {"amp": pct / 100.0}).select(
-        "channel", F.greatest(F.lit(float(floor)), scale * F.col("amp"), margin * t0).alias("theta_max")
-    )
+    amp = exact_quantiles(values, ["channel"], "a", {"amp": pct / 100.0}, hot_rows=None)
+    return amp.select("channel", F.greatest(F.lit(float(floor)), scale * F.col("amp"), margin * t0).alias("theta_max"))
 
 
 def clip_theta(theta: float, lo: float, hi: float, decimals: int) -> float:

@@ -86,11 +86,12 @@ def balanced_sample(df: DataFrame, label: str, key: str, per_class: int, seed: i
     return order_in_class(df, label, key, seed, "__rn").filter(F.col("__rn") < per_class).drop("__rn")
 
 
-def balanced_draws(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
+def balanced_draws(df: DataFrame, label: str, key: str, seed: int = 0, n_classes: int | None = None) -> DataFrame:
     """As many draws with replacement as rows, each row with probability proportional to 1/n_class.
 
     That is: a uniform class, then a uniform position inside it. Each input row stands for one draw,
-    which becomes an equi join on (class, position). Adds ``draw`` (key of the drawing row).
+    which becomes an equi join on (class, position). Adds ``draw`` (key of the drawing row). With
+    ``n_classes``, a missing class is an error.
     """
     numbered = order_in_class(df, label, key, seed, "__rn")
     w = Window.orderBy(label)
@@ -101,6 +102,8 @@ def balanced_draws(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFr
         "classes",
     )
     k = classes.agg(F.max("__k")).first()[0]
+    if not k or (n_classes is not None and k < n_classes):
+        raise ValueError("cannot draw from empty classes")
     draws = (
         df.select(F.col(key).alias("draw"))
         .withColumn("__ord", F.floor(hash_uniform(F.col("draw"), f"{seed}:class") * k).cast("int"))

@@ -23,11 +23,17 @@ def class_counts(df: DataFrame, label: str, names: dict[int, str] | None = None)
     return vocabulary(df, names, label).join(counts, label, "left").fillna(0, subset=["n"])
 
 
+def _counts_to_largest(df: DataFrame, label: str, n_classes: int = 0) -> DataFrame:
+    """Rows for every id from 0 to the largest label (at least n_classes - 1), 0 where absent."""
+    counts = stage(class_counts(df, label), "class_counts")
+    top = F.greatest(F.max(label).cast("int"), F.lit(n_classes - 1))
+    ids = counts.agg(top.alias("m")).filter("m >= 0").select(F.explode(F.sequence(F.lit(0), F.col("m"))).alias(label))
+    return ids.join(counts, label, "left").fillna(0, subset=["n"])
+
+
 def balanced_class_weights(df: DataFrame, label: str, n_classes: int) -> DataFrame:
-    """N / (n_classes * n_c) for class ids 0..n_classes-1; an empty class is an error."""
-    names = {i: str(i) for i in range(n_classes)}
-    counts = class_counts(df.filter(F.col(label).between(0, n_classes - 1)), label, names).drop("name")
-    counts = stage(counts, "class_counts")
+    """N / (n_classes * n_c) per class id; an empty class is an error."""
+    counts = stage(_counts_to_largest(df, label, n_classes), "class_counts")
     total, empty = counts.agg(F.sum("n"), F.count_if(F.col("n") == 0)).first()
     if empty:
         raise ValueError("cannot weight empty classes")
@@ -36,11 +42,8 @@ def balanced_class_weights(df: DataFrame, label: str, n_classes: int) -> DataFra
 
 def inverse_frequency_weights(df: DataFrame, label: str, scale: float = 100.0) -> DataFrame:
     """scale / n_c for every id up to the largest label; ids without rows get 0."""
-    counts = stage(class_counts(df, label), "class_counts")
-    ids = counts.agg(F.max(label).alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m").cast("int"))).alias(label))
-    return ids.join(counts, label, "left").select(
-        label, F.coalesce(F.lit(float(scale)) / F.col("n"), F.lit(0.0)).alias("weight")
-    )
+    weight = F.when(F.col("n") > 0, F.lit(float(scale)) / F.nullif(F.col("n"), F.lit(0))).otherwise(0.0)
+    return _counts_to_largest(df, label).select(label, weight.alias("weight"))
 
 
 def sample_weights(df: DataFrame, label: str, weights: DataFrame) -> DataFrame:

@@ -545,12 +545,27 @@ def t5_argmax_label(spark: SparkSession, sf: str) -> DataFrame:
     return pr(spark, sf).select("event_id", S.argmax_label(F.col("logits")).cast("bigint").alias("label"))
 
 
-@query("a29_run_comparison")
+@query(
+    "a29_run_comparison",
+    with_(PR)
+    + LAYERS
+    + REPORT
+    + """, acc AS (SELECT user_id AS run, avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS a FROM pr GROUP BY user_id)
+SELECT n_nationkey AS run, n_nationkey AS seed, '[' || n_regionkey || ',' || n_nationkey || ']' AS theta, round(a, 6) AS test_acc, rep.n AS n_samples,
+  round(rep.compute / rep.n, 4) AS energy_compute_per_sample, round(b.compute / b.n, 4) AS backbone_compute, round(h.total / h.n, 4) AS head_total
+FROM nation LEFT JOIN acc ON acc.run = n_nationkey LEFT JOIN rep ON rep.run = n_nationkey AND rep.level = 'run'
+LEFT JOIN (SELECT run, n, compute FROM rep WHERE level = 'group' AND grp = 'backbone') b ON b.run = n_nationkey
+LEFT JOIN (SELECT run, n, total FROM rep WHERE level = 'group' AND grp = 'head') h ON h.run = n_nationkey""",
+)
 def a29_run_comparison(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "runs")
     write_runs(spark, sf, root)
-    nation = F.regexp_extract("run_name", r"(\d+)$", 1).cast("bigint")
-    config = store.find_runs(spark, root).withColumn("run", nation)
-    report = energy.energy_report(layers(spark, sf), run_samples(spark, sf))
+    number = F.regexp_extract("run_name", r"(\d+)$", 1).cast("bigint")
+    config = store.find_runs(spark, root).withColumn("run", number)
+    report = stage(energy.energy_report(layers(spark, sf), run_samples(spark, sf)), "report")
     test = pr(spark, sf).groupBy(F.col("user_id").alias("run")).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("acc"))
-    return energy.run_comparison(report, config, test, ["seed", "theta"])
+    c = energy.run_comparison(report, config, test, ["seed", "theta"])
+    return c.select(
+        "run", "seed", "theta", F.round("test_acc", 6).alias("test_acc"), "n_samples",
+        *[F.round(v, 4).alias(v) for v in ("energy_compute_per_sample", "backbone_compute", "head_total")],
+    )

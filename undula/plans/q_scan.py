@@ -13,7 +13,7 @@ from undula.operators.encode import polarity_channels, signed_current
 from undula.operators.intervals import clear_windows
 from undula.plans.bindings import CH, EV, MR, PR, SP, WN, ev, iv, mr, mr_rows, pr, sp, table, with_, wn
 from undula.plans.registry import query
-from undula.session import staging_root
+from undula.session import stage, staging_root
 from undula.sources import annotations, store, text
 
 
@@ -53,7 +53,7 @@ FROM mr WHERE rec_id % 39 < 19 OR rec_id % 39 >= 24 GROUP BY rec_id""",
 )
 def s1_text_recordings(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "recordings")
-    write_recordings(mr(spark, sf), path)
+    write_recordings(stage(mr(spark, sf), "samples"), path)
     r = text.read_recordings(spark, path)
     n = F.substring("code", 2, 2).cast("bigint")
     code_id = F.when(F.col("code").startswith("D"), n - 1).otherwise(n + 23)

@@ -485,5 +485,5 @@ def a19_objective(spark: SparkSession, sf: str) -> DataFrame:
 SELECT CAST(channel AS INT) AS channel, round(greatest(5.0::DOUBLE, 0.5::DOUBLE * quantile_cont(a, 0.95), 1.1::DOUBLE * 4), 6) AS theta_max FROM l GROUP BY channel""",
 )
 def a21_theta_ceiling(spark: SparkSession, sf: str) -> DataFrame:
-    c = search.theta_ceiling(mr_rows(spark, sf), CH, [4.0] * 6, scale=0.5, floor=5.0, margin=1.1)
+    c = search.theta_ceiling(search.channel_values(mr_rows(spark, sf), CH), [4.0] * 6, scale=0.5, floor=5.0, margin=1.1)
     return c.select("channel", F.round("theta_max", 6).alias("theta_max"))
