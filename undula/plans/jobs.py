@@ -146,11 +146,19 @@ def event_starts(samples: DataFrame, keys: Sequence[str], channels: Sequence[str
 
 
 def dual_label_events(
-    samples: DataFrame, tags: DataFrame, keys: Sequence[str], channels: Sequence[str], s: EventSettings = EventSettings(), label: str = "y"
+    samples: DataFrame, tags: DataFrame, keys: Sequence[str], channels: Sequence[str], s: EventSettings = EventSettings(), label: str = "y",
+    parts: DataFrame | None = None,
 ) -> DataFrame:
-    """Segment, resample, encode and label. ``tags`` come from ``fusion.merge_tags``."""
+    """Segment, resample, encode and label. ``tags`` come from ``fusion.merge_tags``.
+
+    ``parts`` (keys, split) gives each window the split of its recording.
+    """
     keys = list(keys)
+    if len(s.theta) != len(channels):
+        raise ValueError("theta needs one value per channel")
     starts = event_starts(samples, keys, channels, label, s.win, s.fall_policy).drop("n").withColumnRenamed(label, "y_h1")
+    if parts is not None:
+        starts = starts.join(parts, keys)
     starts = fusion.window_targets(starts, tags, keys, s.manual_weight, s.auto_weight, s.ambiguous_weight, s.ignore_ambiguous)
     windows = segment.materialise(samples, starts, keys, channels, s.win)
     return encode.encode_windows(windows, s.theta, s.dead_zone, s.init, resample=(s.win, s.out_len, "linear"))
@@ -173,7 +181,11 @@ def search_data(windows: DataFrame, d: SearchData, length: int) -> DataFrame:
     """
     size = F.size(F.col("x")[0])
     ok = F.when(size == length, True).otherwise(F.raise_error(F.lit("unexpected window length")).cast("boolean"))
-    w = splits.prepare_case(windows.filter(ok), d.case, seed=d.seed)
+    return balanced_parts(splits.prepare_case(windows.filter(ok), d.case, seed=d.seed), d)
+
+
+def balanced_parts(w: DataFrame, d: SearchData) -> DataFrame:
+    """Balanced samples of windows that carry their final ``split``."""
     part = lambda s: w.filter(F.col("split") == s)
     sample = lambda s, n, k: splits.balanced_sample(part(s), "y", "win_id", n, d.seed + k)
     test = sample("test", d.test_per_class, 333)
@@ -221,17 +233,32 @@ def recording_search_data(
     return segment.materialise(samples, out, keys, channels, win)
 
 
-def search_thresholds(windows: DataFrame, d: SearchData, theta0: Sequence[float], in_len: int, out_len: int, **settings) -> dict:
-    """Run the search and score the best thresholds on all four parts."""
-    data = stage(search_data(windows, d, in_len), "search_data")
+def run_search(data: DataFrame, s: search.SearchSettings, names: dict[int, str] | None = None) -> dict:
+    """Search on the parts ``train`` and ``val`` and score the best thresholds on all four parts.
+
+    ``data`` has ``part``, ``y`` and ``x``; it is read by every search job, so pass a table.
+    """
     part = lambda n: data.filter(F.col("part") == n).select("y", "x")
-    wide = [settings.pop("theta_max", [10.0 * t for t in theta0])][0]
-    s = search.SearchSettings(theta0=theta0, theta_max=wide, in_len=in_len, out_len=out_len, **settings)
     result = search.ThetaSearch(part("train"), part("val"), s).run()
     grid = {c: [t] for c, t in enumerate(result["theta"])}
-    result["scores"] = {}
+    result |= {"scores": {}, "rel_err": {}, "n_windows": {}, "event_stats": {}}
     for name in ("train", "val", "test_sampled", "test_full"):
-        g = search.grid_errors(part(name), grid, in_len, out_len, s.dead_zone, s.method, s.init)
-        whole = g.groupBy("y").agg(F.sum("err").alias("err"), F.sum("eng").alias("eng"), F.max("n").alias("n"))
+        g = search.grid_errors(part(name), grid, s.in_len, s.out_len, s.dead_zone, s.method, s.init)
+        whole = g.groupBy("y").agg(F.sum("err").alias("err"), F.sum("eng").alias("eng"), F.max("n").alias("n")).persist()
         result["scores"][name] = search.objective(whole, s.alpha).first()["score"]
+        rows = whole.orderBy("y").collect()  # one row per class
+        whole.unpersist()
+        result["rel_err"][name] = {r.y: r.err / max(r.eng, 1e-12) for r in rows}
+        result["n_windows"][name] = {r.y: r.n for r in rows}
+        labels = names or {r.y: str(r.y) for r in rows}
+        coded = encode.encode_windows(part(name), result["theta"], s.dead_zone, s.init, resample=(s.in_len, s.out_len, s.method))
+        stats = search.event_statistics(coded.select("y", "n_events"), labels)
+        result["event_stats"][name] = {r.name: {"mean": r.mean, "std": r.std, "n": r.n} for r in stats.collect()}
     return result
+
+
+def search_thresholds(windows: DataFrame, d: SearchData, theta0: Sequence[float], in_len: int, out_len: int, **settings) -> dict:
+    """Prepare the parts of a window table and run the search."""
+    data = stage(search_data(windows, d, in_len), "search_data")
+    settings.setdefault("theta_max", [10.0 * t for t in theta0])
+    return run_search(data, search.SearchSettings(theta0=theta0, in_len=in_len, out_len=out_len, **settings))

@@ -51,7 +51,7 @@ def read_json(spark: SparkSession, path: str) -> Any:
     return json.loads(spark.read.text(path).first()["value"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -61,17 +61,17 @@ def save_splits(df: DataFrame, path: str, config: Any, by: str = "split") -> Non
     never counts as valid."""
     path = path.rstrip("/")
     spark = df.sparkSession
-    if _exists(spark, f"{path}/{MANIFEST}"):
+    if exists(spark, f"{path}/{MANIFEST}"):
         p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     df.write.mode("overwrite").partitionBy(by).parquet(f"{path}/data")
     parts = [r[0] for r in spark.read.parquet(f"{path}/data").select(by).distinct().collect()]  # a few splits
-    write_json(spark, {"config": config, "splits": sorted(parts), "columns": df.columns}, f"{path}/{MANIFEST}")
+    write_json(spark, {"config": config, "by": by, "splits": sorted(parts), "columns": df.columns}, f"{path}/{MANIFEST}")
 
 
-def load_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+def load_splits(spark: SparkSession, path: str, split: str | None = None, by: str = "split") -> DataFrame:
     df = spark.read.parquet(f"{path.rstrip('/')}/data")
-    return df.filter(F.col("split") == split) if split else df
+    return df.filter(F.col(by) == split) if split else df
 
 
 def is_current(
@@ -83,7 +83,7 @@ def is_current(
     compared; with more than ``config``, pass a dict that holds all of them.
     """
     path = path.rstrip("/")
-    if not _exists(spark, f"{path}/{MANIFEST}"):
+    if not exists(spark, f"{path}/{MANIFEST}"):
         return False
     try:
         have = _comparable(read_json(spark, f"{path}/{MANIFEST}"))
@@ -94,7 +94,7 @@ def is_current(
     if any(stored.get(k) != want.get(k) for k in keys):
         return False
     return set(columns) <= set(have["columns"]) and all(
-        s in have["splits"] and _exists(spark, f"{path}/data/split={s}") for s in splits
+        s in have["splits"] and exists(spark, f"{path}/data/{have['by']}={s}") for s in splits
     )
 
 
