@@ -26,7 +26,7 @@ def recordings(tmp_path_factory):
             spans = {"transition": [{"t0": 2.5, "t1": 5.2}], "no_transition": [{"t0": 0, "t1": 2.5}, {"t0": 5.2, "t1": 7.5}]}
             write(root / "labels" / f"{name}.json", json.dumps({"fs": 200, "labels": spans}))
     write(root / "labels" / "D07_SA99_R01.json", json.dumps({"transition": []}))
-    write(root / "config.json", json.dumps({"steps": 7, "smooth_k": 5, "posture_tagging": {"steps": 80, "pca_k": 4}}))
+    write(root / "config.json", json.dumps({"steps": 7, "smooth_k": 5, "th_pt_on": 0.65, "posture_tagging": {"steps": 80, "pca_k": 4}}))
     return root
 
 
@@ -35,6 +35,7 @@ def test_tagging_and_events(spark, recordings, tmp_path):
     args = ["tag", "--data", str(recordings / "data"), "--labels", str(recordings / "labels"), "--out", tags, "--config", str(recordings / "config.json"), "--smooth-k", "3"]
     s = main(args, spark)
     assert s["config"]["windows"]["steps"] == 80 and s["config"]["windows"]["pca_k"] == 4 and s["config"]["rules"]["smooth_k"] == 3
+    assert s["config"]["rules"]["pt_on"] == 0.65
     assert s["raw_data"]["recordings"] == 24 and s["manual_annotations"] == {"files": 5, "skipped": {"not_found": 1}}
     assert s["autotagged_records"]["files"] == 8 and s["manual_records"]["files"] == 4
     e = s["evaluation"]

@@ -79,6 +79,16 @@ def test_materialise_any_start(recs, spark):
         assert np.array_equal(np.array(r.x).T, data[r.rec][r.start : r.start + 8]) and r.tag == f"t{r.start}"
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 16])
+def test_regular_windows(recs, chunk):
+    data, df = recs
+    out = segment.regular_windows(df, ["rec"], ["a", "b"], 8, stride(), ["y"], chunk).collect()
+    want = sorted((k, s) for k, x in data.items() for s in starts_of(len(x), k % 3))
+    assert sorted((r.rec, r.start) for r in out) == want
+    for r in out:
+        assert r.y == r.rec % 3 and np.array_equal(np.array(r.x).T, data[r.rec][r.start : r.start + 8])
+
+
 def test_pad_edges(recs):
     data, df = recs
     df = df.filter("rec >= 3")

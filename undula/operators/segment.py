@@ -85,46 +85,62 @@ def first_peak_starts(
     )
 
 
-def materialise(
-    samples: DataFrame,
-    starts: DataFrame,
-    keys: Sequence[str],
-    channels: Sequence[str],
-    win: int,
-    chunk_windows: int = 16,
-) -> DataFrame:
-    """Attach ``x`` = array<array<float>> (channel-major, ``win`` samples) to every (keys, start).
+def _packed(samples: DataFrame, keys: Sequence[str], channels: Sequence[str], win: int, size: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Samples as one row per (keys, chunk) of ``size`` samples plus a border of ``win - 1``.
 
-    Samples are packed once into chunks of a fixed number of samples plus a border of ``win - 1``, so
-    the shuffle moves each sample about once and no packed row grows with the recording. Starts of a
-    chunk are joined on the same keys, which keeps the packed side in place.
+    A packed row starts at sample ``chunk * size``, so positions follow without a search, and it never
+    grows with the recording. The shuffle moves each sample about once.
     """
-    keys = list(keys)
-    size = win * chunk_windows
     packed = (
-        with_halo(samples.select(*keys, "idx", *channels), "idx", size, after=win - 1)
+        with_halo(samples.select(*keys, "idx", *carry, *channels), "idx", size, after=win - 1)
         .groupBy(*keys, _CHUNK)
-        .agg(F.array_sort(F.collect_list(F.struct("idx", *channels))).alias("__rows"))
+        .agg(F.array_sort(F.collect_list(F.struct("idx", *channels))).alias("__rows"), *[F.first(c).alias(c) for c in carry])
     )
+    return packed.select(*keys, _CHUNK, *carry, *[F.col(f"__rows.{c}").cast("array<float>").alias(f"__{c}") for c in channels])
+
+
+def _cut(channels: Sequence[str], start: Column, win: int, size: int) -> Column:
+    at = (start - F.col(_CHUNK) * size + 1).cast("int")
+    return F.array(*[F.slice(F.col(f"__{c}"), at, win) for c in channels])
+
+
+def regular_windows(
+    samples: DataFrame, keys: Sequence[str], channels: Sequence[str], win: int, stride: Column, carry: Sequence[str] = (),
+    chunk_windows: int = 16,
+) -> DataFrame:
+    """All windows at 0, stride, 2*stride, ... with ``x``, from a single shuffle of the samples.
+
+    Neither recording lengths nor a table of starts is needed: a chunk knows which of its windows are
+    complete. ``carry`` columns are constant per recording; ``stride`` may use them.
+    """
+    keys, size = list(keys), win * chunk_windows
+    base = F.col(_CHUNK) * size
+    p = _packed(samples, keys, channels, win, size, carry).withColumn("__s", stride.cast("bigint")).filter("__s > 0")
+    p = p.withColumn("__lo", (F.ceil(base / F.col("__s")) * F.col("__s")).cast("bigint"))
+    p = p.withColumn("__hi", F.least(base + size - 1, base + F.size(f"__{channels[0]}") - win).cast("bigint")).filter("__hi >= __lo")
+    out = p.withColumn("start", F.explode(F.sequence("__lo", "__hi", "__s")))
+    return out.select(*keys, *carry, "start", _cut(channels, F.col("start"), win, size).alias("x"))
+
+
+def materialise(
+    samples: DataFrame, starts: DataFrame, keys: Sequence[str], channels: Sequence[str], win: int, chunk_windows: int = 16
+) -> DataFrame:
+    """Attach ``x`` = array<array<float>> (channel-major, ``win`` samples) to every (keys, start).
+
+    For selected or irregular starts. The starts of a chunk are joined on the chunk's own keys, which
+    keeps the packed side in place. Incomplete windows are left out.
+    """
+    keys, size = list(keys), win * chunk_windows
+    extra = [c for c in starts.columns if c not in {*keys, "start"}]
     per_chunk = (
         starts.withColumn(_CHUNK, F.floor(F.col("start") / size))
         .groupBy(*keys, _CHUNK)
-        .agg(F.collect_list(F.struct("start", *[c for c in starts.columns if c not in {*keys, "start"}])).alias("__starts"))
-    )
-    out = (
-        packed.select(*keys, _CHUNK, *[F.col(f"__rows.{c}").cast("array<float>").alias(f"__{c}") for c in channels])
-        .join(per_chunk, [*keys, _CHUNK])
-        .withColumn("__st", F.explode("__starts"))
-    )
-    at = (F.col("__st.start") - F.col(_CHUNK) * size + 1).cast("int")
-    return (
-        out.filter(F.size(f"__{channels[0]}") >= at + (win - 1))
-        .select(
-            *keys,
-            "__st.*",
-            F.array(*[F.slice(F.col(f"__{c}"), at, win) for c in channels]).alias("x"),
-        )
+        .agg(F.collect_list(F.struct("start", *extra)).alias("__starts"))
     )
+    out = _packed(samples, keys, channels, win, size).join(per_chunk, [*keys, _CHUNK]).withColumn("__st", F.explode("__starts"))
+    start = F.col("__st.start")
+    complete = F.size(f"__{channels[0]}") >= start - F.col(_CHUNK) * size + win
+    return out.filter(complete).select(*keys, "__st.*", _cut(channels, start, win, size).alias("x"))
 
 
 def pad_edges(

@@ -36,11 +36,24 @@ CONFIG_KEYS = (
 )
 
 
+# Configuration keys accepted under another name.
+ALIASES = {
+    "ds_grav": "tilt_every", "ywin_mode": "mode", "ywin_q": "q", "use_hyst": "use_hysteresis", "th_pt_on": "pt_on", "th_pt_off": "pt_off",
+    "th_sp_on": "sp_on", "th_sp_off": "sp_off", "theta_sd": "theta", "sd_init": "init", "interp_method": "method",
+    "autotag_weight": "auto_weight", "window_stride": "stride", "acc_sensor": "acc",
+}
+
+
 def resolve(defaults: Any, config: dict, section: str | None = None, given: dict | None = None) -> Any:
     """Settings object with values from, in rising order: defaults, JSON root, JSON section, arguments."""
     names = {f.name for f in dataclasses.fields(defaults)}
     layers = [config, config.get(section, {}) if section else {}, {k: v for k, v in (given or {}).items() if v is not None}]
-    values = {k: v for layer in layers for k, v in layer.items() if k in names}
+    values = {}
+    for layer in layers:
+        for k, v in layer.items():
+            k = k if k in names else ALIASES.get(k, k)
+            if k in names:
+                values[k] = tuple(v) if isinstance(v, list) else v
     return dataclasses.replace(defaults, **values)
 
 

@@ -53,12 +53,10 @@ def context_features(
     carry = [label] if label else []
     rec = segment.recording_lengths(samples, keys, *carry)
     rec = stage(segment.long_enough(rec, max(s.win, s.pad_hop)).withColumnRenamed("n", "n0"), "recordings")
-    pad = 2 * s.pad_hop * s.pad_rep
-    padded = segment.pad_edges(samples.join(rec.select(*keys), keys, "left_semi"), rec.withColumn("n", F.col("n0")), keys, s.pad_hop, s.pad_rep)
-    starts = segment.window_starts(rec.withColumn("n", F.col("n0") + pad), keys, s.win, F.lit(s.hop)).drop("n")
-    starts = starts.withColumn("k", F.expr(f"start div {s.hop}"))
-    packed = segment.materialise(padded, starts, keys, channels, s.win)
-    base = features.tilt_step(features.window_features(packed, s.fs, s.tilt_every), keys)
+    padded = segment.pad_edges(samples.join(rec.select(*keys), keys, "left_semi"), rec.withColumnRenamed("n0", "n"), keys, s.pad_hop, s.pad_rep)
+    windows = segment.regular_windows(padded, keys, channels, s.win, F.lit(s.hop), carry)
+    windows = windows.withColumn("k", F.expr(f"start div {s.hop}"))
+    base = features.tilt_step(features.window_features(windows, s.fs, s.tilt_every), keys).join(rec.select(*keys, "n0"), keys)
     base = stage(base.select(*keys, *carry, "start", "k", "n0", F.array(*features.BASE).alias("f")), "base_features")
     scaled = features.robust_scale(base, keys)
     ctx = features.neighbour_context(scaled, keys).withColumn("start", F.col("start") - s.pad_hop * s.pad_rep)

@@ -148,8 +148,8 @@ mg AS (SELECT *, sqrt(aa + 1e-8::DOUBLE) AS am, sqrt(bb + 1e-8::DOUBLE) AS gm FR
 
 
 def mr_features(spark: SparkSession, sf: str) -> DataFrame:
-    p, rec, starts = padded(spark, sf)
-    w = segment.materialise(p, starts.select("rec_id", "start", "k", "n0", "y"), ["rec_id"], CH, 410)
+    p, _, _ = padded(spark, sf)
+    w = segment.regular_windows(p, ["rec_id"], CH, 410, F.lit(205)).withColumn("k", F.expr("start div 205"))
     return features.window_features(w, fs=200.0)
 
 

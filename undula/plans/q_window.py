@@ -73,10 +73,8 @@ def w4_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ev_lengths(ev(spark, sf)).groupBy("y").agg(F.sum(n).alias("windows"))
 
 
-def mr_windows(spark: SparkSession, sf: str, hop: int = HOP) -> DataFrame:
-    m = mr(spark, sf)
-    starts = segment.window_starts(segment.recording_lengths(m, ["rec_id"], "y"), ["rec_id"], WIN, F.lit(hop))
-    return segment.materialise(m, starts, ["rec_id"], CH, WIN)
+def mr_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.regular_windows(mr(spark, sf), ["rec_id"], CH, WIN, F.lit(HOP))
 
 
 @query(
@@ -124,8 +122,8 @@ def padded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
 FROM pst JOIN pad ON pst.rec_id = pad.rec_id AND p >= start AND p < start + 410 GROUP BY pst.rec_id, start""",
 )
 def w6_padded_windows(spark: SparkSession, sf: str) -> DataFrame:
-    p, _, starts = padded(spark, sf)
-    w = segment.materialise(p, starts.select("rec_id", "start"), ["rec_id"], ["c4"], WIN)
+    p, _, _ = padded(spark, sf)
+    w = segment.regular_windows(p, ["rec_id"], ["c4"], WIN, F.lit(HOP))
     c4 = F.col("x")[0]
     ordered = F.aggregate(F.transform(c4, lambda v, i: v.cast("bigint") * i), F.lit(0).cast("bigint"), lambda a, v: a + v)
     return w.select("rec_id", (F.col("start") - 2 * HOP).alias("start"), ordered.alias("ordered"), F.size(c4).cast("bigint").alias("n"))
