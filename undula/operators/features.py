@@ -99,7 +99,7 @@ def robust_scale(df: DataFrame, keys: Sequence[str], column: str = "f") -> DataF
 
     def per_recording(long: DataFrame, name: str) -> DataFrame:
         q = exact_quantiles(long, [*keys, "feature"], "value", {"q": 0.5})
-        lined = F.array_sort(F.collect_list(F.struct("feature", "q")))  # one entry per feature
+        lined = F.sort_array(F.collect_list(F.struct("feature", "q")))  # one entry per feature
         return q.groupBy(*keys).agg(lined.alias("__l")).select(*keys, F.col("__l.q").alias(name))
 
     med = stage(per_recording(df.select(*keys, _numbered(F.col(column))), "__med"), "medians")

@@ -126,7 +126,7 @@ def gaussian_scores(
         F.max(F.when(F.col("__j") == F.col("start") + win // 2, F.col("__g"))).alias("__mid"),
     ]
     if "q" in modes.values():
-        aggs.append(F.array_sort(F.collect_list("__g")).alias("__all"))  # at most ``win`` values
+        aggs.append(F.sort_array(F.collect_list("__g")).alias("__all"))  # at most ``win`` values
     per = hits.groupBy(*keys, "start").agg(*aggs)
 
     h = min(max(q, 0.0), 1.0) * (win - 1)

@@ -94,7 +94,7 @@ def _packed(samples: DataFrame, keys: Sequence[str], channels: Sequence[str], wi
     packed = (
         with_halo(samples.select(*keys, "idx", *carry, *channels), "idx", size, after=win - 1)
         .groupBy(*keys, _CHUNK)
-        .agg(F.array_sort(F.collect_list(F.struct("idx", *channels))).alias("__rows"), *[F.first(c).alias(c) for c in carry])
+        .agg(F.sort_array(F.collect_list(F.struct("idx", *channels))).alias("__rows"), *[F.first(c).alias(c) for c in carry])
     )
     return packed.select(*keys, _CHUNK, *carry, *[F.col(f"__rows.{c}").cast("array<float>").alias(f"__{c}") for c in channels])
 

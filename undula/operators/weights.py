@@ -85,6 +85,6 @@ def window_split_summary(df: DataFrame, by: str = "split", label: str = "y", dom
     classes = per.groupBy(by, label).agg(F.sum("c").alias("c"))
     as_map = classes.groupBy(by).agg(
         F.sum("c").alias("n"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "c")))).alias("class_counts"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(label, "c")))).alias("class_counts"),
     )
     return as_map.join(per.groupBy(by).agg(F.countDistinct(domain).alias("domain_count")), by)

@@ -469,7 +469,7 @@ lif AS (
 def ev_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Complete runs of 16 samples per recording as packed rows."""
     e = ev(spark, sf)
-    x = F.array_sort(F.collect_list(F.struct("idx", (F.col("c1") / 100.0).cast("float").alias("v"))))
+    x = F.sort_array(F.collect_list(F.struct("idx", (F.col("c1") / 100.0).cast("float").alias("v"))))
     b = e.groupBy("rec_id", F.expr("idx div 16").alias("block")).agg(x.alias("s")).filter(F.size("s") == 16)
     return b.select("rec_id", "block", F.array(F.col("s.v")).alias("x"))
 
