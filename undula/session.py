@@ -28,13 +28,17 @@ def build_session(app: str = "undula", master: str | None = None, **conf: str) -
     return b.getOrCreate()
 
 
+_own_roots: dict[str, str] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where none is set (tests)."""
-    conf = spark.sparkContext.getConf()
-    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="undula-staging-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_roots:
+            _own_roots[app] = tempfile.mkdtemp(prefix="undula-staging-")
+        root = _own_roots[app]
     return root.rstrip("/")
 
 
