@@ -13,7 +13,7 @@ def write(path, body):
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
-    root = tmp_path_factory.mktemp("set")
+    root = tmp_path_factory.mktemp("set") / "with space"
     nine = "1, -2,+3,4, 5,6, 7,8,-9"
     write(root / "SA01" / "D01_SA01_R01.txt", f"{nine};\n\n 1,2,3\n{nine},10;\nnothing\n9,9,9,9,9,9,9,9,9\n")
     write(root / "SA01" / "f05_sa01_r02.TXT", "\n".join(",".join(str(i * j) for j in range(9)) for i in range(1000)))

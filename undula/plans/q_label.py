@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from undula.functions import scalar as S
 from undula.operators import energy, fusion, losses, metrics, splits, tagging, weights
 from undula.operators.segment import recording_lengths
-from undula.plans.bindings import EV, EVENT_TYPES, IV, MR, PR, WN, ev, mr, pr, table, with_, wn
+from undula.plans.bindings import EV, EVENT_TYPES, PR, WN, ev, pr, table, with_, wn
 from undula.plans.q_scan import scratch, write_runs
 from undula.plans.registry import query
 from undula.session import stage

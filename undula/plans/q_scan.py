@@ -11,7 +11,7 @@ from undula.functions import scalar as S
 from undula.operators import segment, splits
 from undula.operators.encode import polarity_channels, signed_current
 from undula.operators.intervals import clear_windows
-from undula.plans.bindings import CH, EV, MR, PR, SP, WN, ev, iv, mr, mr_rows, pr, sp, table, with_, wn
+from undula.plans.bindings import EV, MR, PR, SP, WN, iv, mr, mr_rows, pr, sp, table, with_, wn
 from undula.plans.registry import query
 from undula.session import stage, staging_root
 from undula.sources import annotations, store, text

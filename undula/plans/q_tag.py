@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from undula.operators import features, intervals, search, segment, tagging
 from undula.operators.intervals import coverage_score
 from undula.plans import jobs
-from undula.plans.bindings import ACC, CH, EV, IV, MR, PR, WN, ev, iv, mr, mr_rows, pr, with_, wn
-from undula.plans.q_window import EV_LEN, GRID, MR_LEN, PAD_SQL, SD_SQL, padded, up_long
+from undula.plans.bindings import CH, EV, IV, MR, PR, WN, ev, iv, mr, mr_rows, pr, with_, wn
+from undula.plans.q_window import EV_LEN, GRID, MR_LEN, PAD_SQL, padded
 from undula.plans.registry import query
 from undula.session import stage
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.operators import encode, resample, search, segment, splits, tagging
 from undula.operators.features import neighbour_context
-from undula.operators.sequence import with_halo
-from undula.plans.bindings import ACC, CH, EV, MR, WN, ev, mr, mr_rows, with_, wn
+from undula.plans.bindings import CH, EV, MR, WN, ev, mr, mr_rows, with_, wn
 from undula.plans.registry import query
 from undula.session import stage
 

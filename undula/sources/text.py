@@ -116,16 +116,14 @@ def read_recordings(spark: SparkSession, path: str, acc: str = "ADXL345") -> Dat
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """All files below ``path`` (only names and sizes are read)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return decode_name(files.select("path", "length"), F.col("path"))
+    named = files.select(logical_path(F.col("_metadata.file_path")).alias("path"), "length")
+    return decode_name(named.groupBy("path").agg(F.sum("length").alias("length")), F.col("path"))
 
 
 def file_report(spark: SparkSession, path: str) -> DataFrame:
     """Every file with its number of samples and its reject reason."""
-    lines = text_lines(spark, path)
-    got = parse_samples(lines).groupBy(base_name(F.col("path")).alias("__f"), "path").agg(F.count(F.lit(1)).alias("samples"))
-    strip = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-    files = list_files(spark, path).withColumn("path", strip(F.col("path")))
-    joined = files.join(got.select(strip(F.col("path")).alias("path"), "samples"), "path", "left")
+    got = parse_samples(text_lines(spark, path)).groupBy("path").agg(F.count(F.lit(1)).alias("samples"))
+    joined = list_files(spark, path).join(got, "path", "left")
     return joined.withColumn("reject", reject_reason(joined, F.col("samples")))
 
 
