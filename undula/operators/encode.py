@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from undula.operators import kernels as K
+from undula.session import ship_package
 
 EVENT = T.StructType(
     [
@@ -123,6 +124,7 @@ def encode_windows(
                 cols.append(K.numpy_to_packed(tr))
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + cols, names=schema.names)
 
+    ship_package(df.sparkSession)
     return df.select(*keep, column).mapInArrow(run, schema)
 
 
@@ -154,6 +156,7 @@ def leaky_accumulate(
                 names=schema.names,
             )
 
+    ship_package(df.sparkSession)
     return df.select(*keep, column).mapInArrow(run, schema)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from undula.operators import kernels as K
 from undula.operators.quantiles import exact_quantiles
 from undula.operators.sequence import framed
-from undula.session import stage
+from undula.session import ship_package, stage
 
 # Frequency bands in Hz, lower edge included.
 BANDS = ((0.5, 3.0), (3.0, 8.0), (8.0, 20.0), (20.0, 50.0))
@@ -72,6 +72,7 @@ def window_features(df: DataFrame, fs: float = 200.0, tilt_every: int = 16, colu
                 names=schema.names,
             )
 
+    ship_package(df.sparkSession)
     return df.select(*keep, column).mapInArrow(run, schema)
 
 

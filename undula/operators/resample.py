@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from undula.operators import kernels as K
 from undula.operators.sequence import Run, explode_range, prefixes
+from undula.session import ship_package
 
 METHODS = ("linear", "zoh", "cubic")
 
@@ -38,6 +39,7 @@ def resample_windows(df: DataFrame, in_len: int, out_len: int, method: str = "li
                 [part.column(c) for c in keep] + [K.numpy_to_packed(f(x))], names=[*keep, column]
             )
 
+    ship_package(df.sparkSession)
     return df.select(*keep, column).mapInArrow(run, T.StructType(fields))
 
 

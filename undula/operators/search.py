@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from undula.operators import kernels as K
 from undula.operators.quantiles import exact_quantiles
+from undula.session import ship_package
 
 GRID_SCHEMA = "y int, channel int, theta float, err double, eng double, n bigint, events bigint"
 
@@ -66,6 +67,7 @@ def grid_errors(
                 preserve_index=False,
             )
 
+    ship_package(windows.sparkSession)
     parts = windows.select(F.col(label).cast("int").alias("y"), "x").mapInArrow(run, GRID_SCHEMA)
     return parts.groupBy("y", "channel", "theta").agg(
         F.sum("err").alias("err"), F.sum("eng").alias("eng"), F.sum("n").alias("n"), F.sum("events").alias("events")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,18 @@ def build_session(app: str = "undula", master: str | None = None, **conf: str) -
 
 
 _own_roots: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package (once per application), wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='undula-package-')}/undula", "zip", here.parent, here.name)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
 
 
 def staging_root(spark: SparkSession) -> str:

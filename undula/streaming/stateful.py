@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from undula.operators import kernels as K
+from undula.session import ship_package
 
 
 def _keyed(df: DataFrame, keys: Sequence[str], seq: str, step, out: str) -> DataFrame:
@@ -31,6 +32,7 @@ def _keyed(df: DataFrame, keys: Sequence[str], seq: str, step, out: str) -> Data
         state.update((float(after),))
         yield pd.DataFrame({**{k: key[i] for i, k in enumerate(names)}, seq: rows[seq].to_numpy(), column: result})
 
+    ship_package(df.sparkSession)
     return (
         df.select(*names, F.col(seq).cast("bigint").alias(seq), F.col("value").cast("float").alias("value"))
         .groupBy(*names)
