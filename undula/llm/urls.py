@@ -9,7 +9,7 @@ is explicitly allowed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,19 +47,27 @@ RULES = (
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the optimizer moves the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _after_scheme(url: Column) -> Column:
     at = F.instr(url, "://")
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
-def host_of(url: Column) -> Column:
-    """Between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    return F.coalesce(F.translate(F.regexp_extract(_after_scheme(url), r"^([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
+def url_parts(url: Column) -> Column:
+    """Struct of host, path and query.
 
+    Host: between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there
+    up to ``?``, ``#`` or the end; query: after the first ``?`` up to ``#``. Null or no ``://``: all empty.
+    """
+    def cut(rest: Column) -> Column:
+        host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
+        return F.struct(host.alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1).alias("query"))
 
-def path_of(url: Column) -> Column:
-    """From the host's end up to ``?``, ``#`` or the end; else empty."""
-    return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
+    return _let(_after_scheme(F.coalesce(url, F.lit(""))), cut)
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule] = RULES, limit: int = 1000) -> tuple[Column, Column]:
@@ -73,17 +81,11 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule] = RULES, limi
     return text, verdict
 
 
-def with_parts(df: DataFrame, url: str) -> DataFrame:
-    """Adds host, path and key of ``url``, one step after the other so that no expression is repeated.
-
-    ``key`` is what aliases by form share; null where there is no host.
-    """
-    u = F.col(url)
-    query = F.regexp_replace(F.regexp_extract(_after_scheme(u), r"^[^?#]*\?([^#]*)", 1), TRACKING, "")
-    df = df.withColumns({"host": host_of(u), "path": path_of(u), "__q": F.regexp_replace(query, "^&", "")})
-    bare = F.regexp_replace(F.regexp_replace("path", r"(?i)(/index)?\.html?$", ""), "/+$", "")
-    key = F.concat("host", bare, F.when(F.col("__q") != "", F.concat(F.lit("?"), "__q")).otherwise(""))
-    return df.withColumn("key", F.when(F.col("host") != "", key)).drop("__q")
+def alias_key(parts: Column) -> Column:
+    """What aliases by form share, from the parts of a URL; null where there is no host."""
+    query = F.regexp_replace(F.regexp_replace(parts["query"], TRACKING, ""), "^&", "")
+    bare = F.regexp_replace(F.regexp_replace(parts["path"], r"(?i)(/index)?\.html?$", ""), "/+$", "")
+    return F.when(parts["host"] != "", _let(query, lambda q: F.concat(parts["host"], bare, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))))
 
 
 def absolute(link: Column, host: Column, path: Column) -> Column:
@@ -103,9 +105,9 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     h = F.col(html)
     found = F.array(F.regexp_extract(F.regexp_extract(h, CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract(h, REFRESH, 0), TARGET, 1))
     e = pages.select(F.col(url).alias("u"), F.explode(found).alias("link")).filter("link <> ''")
-    e = with_parts(e.withColumn("link", F.replace("link", F.lit("&amp;"), F.lit("&"))), "u")
-    e = e.select(F.col("key").alias("a"), absolute(F.col("link"), F.col("host"), F.col("path")).alias("u"))
-    return with_parts(e, "u").select("a", F.col("key").alias("b")).filter("a <> b").distinct()
+    here = url_parts(F.col("u"))
+    to = _let(here, lambda p: absolute(F.replace("link", F.lit("&amp;"), F.lit("&")), p["host"], p["path"]))
+    return e.select(_let(here, alias_key).alias("a"), _let(url_parts(to), alias_key).alias("b")).distinct()
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -117,7 +119,8 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, page_id: str = "page
     URLs are counted once per alias key before anything is joined, so a URL with a third of all rows
     costs one row in the components; the last join is one that adaptive execution can split.
     """
-    p = with_parts(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("__url")), "__url").drop("__url")
+    p = pages.select(F.col(page_id).alias("page_id"), url_parts(F.col(url)).alias("u"))
+    p = p.select("page_id", "u.host", "u.path", _let(F.col("u"), alias_key).alias("key"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     p = p.select("*", rule.alias("rule"), verdict.alias("own"))
     classes = components(links(pages, url, html))
