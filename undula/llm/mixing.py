@@ -84,7 +84,7 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, piece: int = PIECE
     A hot source's slots unfold from many rows, which are dealt to all tasks first.
     """
     p = sources.filter("slots > 0").select("sidx", "blocks", "slots", "first_slot", "all_slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {piece})")).alias("p"))
-    p = p.repartition(F.col("sidx"), F.col("p"))
+    p = p.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sidx", "p")  # a fixed number: few rows, much work
     s = p.withColumn("j", F.explode(F.expr(f"sequence(p * {piece}, least(slots, (p + 1) * {piece}) - 1)")))
     s = s.select("sidx", "blocks", "all_slots", (F.col("first_slot") + F.col("j")).alias("g"), F.expr("j div blocks").alias("epoch"), F.expr("j % blocks").alias("i"))
     s = s.withColumn("k", F.col("sidx") * 4 + F.col("epoch")).withColumn("block", permuted("i", "blocks", "k")).withColumn("q", permuted("g", "all_slots", "0L"))
@@ -129,7 +129,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, block
     placed = stage(laid_out(sizes, sources), "placed")
     used = slots(sources).groupBy("sidx", "block").agg(F.count(F.lit(1)).alias("times"))
     keys = ["sidx", "first_word", "doc_id", "size", "source_size", "target"]
-    taken = block_parts(placed, block).join(used, ["sidx", "block"], "left").groupBy(*keys).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    taken = block_parts(placed, block).join(used.hint("merge"), ["sidx", "block"], "left").groupBy(*keys).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
     none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return taken.select(*out).unionByName(none.select(*out))
