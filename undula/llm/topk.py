@@ -110,7 +110,7 @@ def _cell(k: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if left.num_rows and right.num_rows:
-            q, qids = _matrix(right, "v"), right.column("query_id").to_numpy()
+            q, qids = _matrix(right, "qv"), right.column("query_id").to_numpy()
             row, vec, score = search(left.column("vec_id").to_numpy(), _matrix(left, "v"), qids, q, right.column("kth").to_numpy(), k)
             out = (qids[row], vec, score)
         return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block")
     c = vectors.select("vec_id", "v", dim, shard)
     every = c.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    q = queries.select(F.col("vec_id").alias("query_id"), "v", dim, shard, block)
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), dim, shard, block)
     home = stage(_searched(every, q.withColumn("kth", F.lit(LOWEST)), k), "home")
     kth = _best(home, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     q = q.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(LOWEST)))
