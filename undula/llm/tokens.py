@@ -29,9 +29,9 @@ from undula.session import ship_package
 
 CHUNK = 64  # characters of a splitter chunk
 BLOCK_CHARS = 1_000_000  # characters that are split at once
-KNOWN = 400_000  # pretokens whose counts a worker remembers
+KNOWN = 300_000  # pretokens whose counts a worker remembers
 LONG = 48  # bytes of the longest pretoken that is remembered
-STATES = 1_000_000  # merger states that a worker keeps before it starts anew
+STATES = 400_000  # merger states that a worker keeps before it starts anew
 
 # Symbols of the splitter; a white space character or a contraction's letter depends on its successor too.
 L, C1, C2, N, O, A, SP_LAST, SP_MORE, WS_LAST, WS_MORE = range(10)
@@ -66,7 +66,24 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
     return to, new
 
 
-def character_classes() -> np.ndarray:
+def changed_characters() -> dict[int, int]:
+    """Classes of the characters that the tokenizer library's Unicode version classes otherwise than this Python's."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    joins = lambda head, c: len(cut(head + chr(c))) == 1
+    kinds = {c: unicodedata.category(chr(c)) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000}
+    out = {c: O for c, k in kinds.items() if k[0] in "LN" and not joins("a" if k[0] == "L" else "1", c)}
+    unknown = [c for c, k in kinds.items() if k == "Cn"]
+    for i in range(0, len(unknown), 256):
+        some = unknown[i : i + 256]
+        for head, kind in (("a", L), ("1", N)):
+            if len(cut("".join(head + chr(c) for c in some))) < 2 * len(some):
+                out |= {c: kind for c in some if joins(head, c)}
+    return out
+
+
+def character_classes(changed: dict[int, int] | None = None) -> np.ndarray:
     """L, N, O, A, SP_MORE or WS_MORE of every code point, before successors are looked at."""
     out = np.full(0x110000, O, np.uint8)
     for c in range(0x110000):
@@ -75,6 +92,8 @@ def character_classes() -> np.ndarray:
             out[c] = L
         elif kind == "N":
             out[c] = N
+    for c, kind in (changed or {}).items():
+        out[c] = kind
     out[WHITE] = WS_MORE
     out[0x20], out[0x27] = SP_MORE, A
     return out
@@ -215,10 +234,10 @@ def read_tokenizer(path: str) -> tuple[list[tuple[bytes, bytes]], list[str]]:
 class Counter:
     """Token counts of whole texts; one per worker."""
 
-    def __init__(self, merges: list[tuple[bytes, bytes]], special: list[str]):
+    def __init__(self, merges: list[tuple[bytes, bytes]], special: list[str], changed: dict[int, int] | None = None):
         self.merger = Merger({m: i for i, m in enumerate(merges)})
         self.special = [s for s in special if s]
-        self.classes = character_classes()
+        self.classes = character_classes(changed)
         self.to, self.new = splitter()
         self.known: dict[bytes, int] = {}
 
@@ -306,7 +325,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, doc_id: str
     """
     spark = docs.sparkSession
     ship_package(spark)
-    model = spark.sparkContext.broadcast(read_tokenizer(tokenizer))
+    model = spark.sparkContext.broadcast((*read_tokenizer(tokenizer), changed_characters()))
     kind = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     d = d.mapInArrow(_counted(tokenizer, model), f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
