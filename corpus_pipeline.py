@@ -1,17 +1,71 @@
-"""A corpus from raw documents: every stage is written as Parquet and reread as the next one's input."""
+"""A corpus from raw documents: every stage is written as Parquet and reread as the next one's input.
+
+1. toxicity: documents that the toxicity model rejects go.
+2. near_duplicates: of each SimHash component, the document with the smallest id stays.
+3. repeated_passages: bytes that repeat an earlier document go; so does a document of which nothing is left.
+4. decontamination: documents that hold a passage of the benchmark go.
+5. mixing: documents that the mix takes, with the words taken from each (repeats counted).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from undula.llm import decontaminate, mixing, simhash, substrings, toxicity
 from undula.session import stage
 
-STAGES: list = []
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that are predicted ordinary."""
+    fitted = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.with_scores(docs, fitted).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document that its component is named after; rows that repeat an id stay together, and rows
+    without an id stay."""
+    gone = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL")).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(stage(gone, "near_duplicates"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated bytes out of the texts; what is left of a character that was cut through goes too."""
+    d = substrings.without_repeats(docs, as_text=True).filter("n_removed = 0 OR n_removed < n_bytes")
+    d = d.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("bigint"))
+    return d.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents without a word inside a benchmark window."""
+    return decontaminate.annotated(docs, _table(spark, sf_dir, "benchmark")).filter("n_hit = 0").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target and taken."""
+    m = mixing.mixed(docs).filter("taken > 0").withColumnRenamed("doc_id", "__d")
+    m = m.groupBy("__d").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
+    return docs.join(m, F.col("doc_id").eqNullSafe(F.col("__d"))).drop("__d")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+]
+#: None: a trained model, XXH64 and byte strings over all documents are not for SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over the table ``documents``."""
+    docs = _table(spark, sf_dir, "documents")
     for name, fn in STAGES:
         docs = stage(fn(spark, docs, sf_dir), name)
     return docs

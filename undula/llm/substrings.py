@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -376,11 +377,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         t = pa.Table.from_batches([b])
-        plain = t.filter(pa.compute.is_null(t.column("context")))
+        plain = t.filter(pc.is_null(t.column("context")))
         if plain.num_rows:
             doc, row, n, first = (plain.column(i).to_numpy() for i in (1, 2, 3, 4))
             yield spans(doc, row, first, first + n)
-        t = t.filter(pa.compute.is_valid(t.column("context")))
+        t = t.filter(pc.is_valid(t.column("context")))
         rest = t if rest is None else pa.concat_tables([rest, t])
         if rest.num_rows - carried >= CHUNK:
             done, rest = chunk(rest, carried, False)
@@ -432,8 +433,12 @@ def repeats(docs: DataFrame, hot_docs: int = HOT_DOCS, bucket_bytes: int = BUCKE
     return out.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def _cut(as_text: bool):
+    return lambda batches: (t for b in batches for t in _cut_batch(b, as_text))
+
+
+def _cut_batch(b: pa.RecordBatch, as_text: bool) -> Iterator[pa.RecordBatch]:
+    if b.num_rows:
         kept, n, removed, count = [], [], [], []
         for text, spans in zip(b.column("__text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
             text = text or b""
@@ -444,14 +449,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(sum(z - a for a, z in gone))
             count.append(len(gone))
         t = pa.Table.from_batches([b]).drop_columns(["__text", "spans"])
-        for name, v, kind in (("kept", kept, pa.binary()), ("n_bytes", n, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", count, pa.int64())):
+        if as_text:
+            kept = [x.decode("utf-8", "ignore") for x in kept]
+        for name, v, kind in (("kept", kept, pa.string() if as_text else pa.binary()), ("n_bytes", n, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", count, pa.int64())):
             t = t.append_column(name, pa.array(v, kind))
         yield from t.to_batches()
 
 
-def without_repeats(docs: DataFrame, text: str = "text", **settings: int) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", as_text: bool = False, **settings: int) -> DataFrame:
     """``docs`` with ``kept`` (the remaining bytes), n_bytes, n_removed and n_spans in place of ``text``.
 
+    With ``as_text``, ``kept`` is a string without what is left of characters that were cut through.
+
     Null and empty texts keep zero bytes; texts under ``WINDOW`` bytes are kept. Repeated rows and rows that share a
     doc_id never remove each other's bytes; a row with a null doc_id is kept whole and removes nothing.
     An empty table gives no rows. Columns named like the new ones are replaced.
@@ -461,4 +470,4 @@ def without_repeats(docs: DataFrame, text: str = "text", **settings: int) -> Dat
     spans = spans.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), "spans")
     d = d.join(spans, (F.col("doc_id") == F.col("__d")) & (F.col("row") == F.col("__r")), "left").drop("__d", "__r", "row").withColumnRenamed(text, "__text")
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name not in ("__text", "spans")]
-    return d.mapInArrow(_cut, ", ".join([*columns, "kept binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint"]))
+    return d.mapInArrow(_cut(as_text), ", ".join([*columns, "kept string" if as_text else "kept binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint"]))
