@@ -139,37 +139,35 @@ def _unpacked(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     return h, doc + b.column("base")[i].as_py()
 
 
-def _shared(hot_docs: int):
-    """Rows of one bucket, gathered, give (doc, hash, hot) of the anchors that several rows have."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one bucket, gathered, give (doc_id, h) of the anchors that several rows have."""
 
-    def of(h: np.ndarray, doc: np.ndarray, known: bool) -> pa.RecordBatch:
+    def of(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(doc), pa.array(h)], names=["doc_id", "h"])
+
+    def several(hs: list[np.ndarray], ds: list[np.ndarray]) -> pa.RecordBatch:
+        h, doc = np.concatenate(hs), np.concatenate(ds)
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
-        same = np.concatenate(([False], h[1:] == h[:-1])) if len(h) else np.zeros(0, bool)
-        both = same | np.append(same[1:], False) if len(h) else same
-        start = np.flatnonzero(~same)
-        size = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
-        keep = np.ones(len(h), bool) if known else both
-        return pa.record_batch([pa.array(doc[keep]), pa.array(h[keep]), pa.array(size[keep] > hot_docs)], names=["doc_id", "h", "hot"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, hs, ds = None, [], []
-        for b in batches:
-            for i, bucket in enumerate(b.column("bucket").to_pylist()):
-                h, doc = _unpacked(b, i)
-                if bucket < 0:
-                    yield of(h, doc, True)
-                    continue
-                if bucket != now and hs:
-                    yield of(np.concatenate(hs), np.concatenate(ds), False)
-                    hs, ds = [], []
-                now = bucket
-                hs.append(h)
-                ds.append(doc)
-        if hs:
-            yield of(np.concatenate(hs), np.concatenate(ds), False)
+        same = np.concatenate(([False], h[1:] == h[:-1]))
+        both = same | np.append(same[1:], False)
+        return of(h[both], doc[both])
 
-    return run
+    now, hs, ds = None, [], []
+    for b in batches:
+        for i, bucket in enumerate(b.column("bucket").to_pylist()):
+            h, doc = _unpacked(b, i)
+            if bucket < 0:
+                yield of(h, doc)
+                continue
+            if bucket != now and hs:
+                yield several(hs, ds)
+                hs, ds = [], []
+            now = bucket
+            hs.append(h)
+            ds.append(doc)
+    if hs:
+        yield several(hs, ds)
 
 
 # 2. contexts
@@ -421,9 +419,15 @@ def repeats(docs: DataFrame, hot_docs: int = HOT_DOCS, bucket_bytes: int = BUCKE
     blobs = d.select("doc_id", "text").mapInArrow(_blobs(buckets), "bucket bigint, hashes binary, docs binary, base bigint")
     key = F.when(F.col("bucket") < 0, F.xxhash64("hashes")).otherwise(F.col("bucket"))
     blobs = blobs.withColumn("key", key).repartition(buckets, "key").sortWithinPartitions("bucket").drop("key")
-    found = stage(blobs.mapInArrow(_shared(hot_docs), "doc_id bigint, h bigint, hot boolean"), "anchors")
+    found = stage(blobs.mapInArrow(_shared, "doc_id bigint, h bigint"), "anchors")
     del blobs
     _free(spark)
+    # anchors in very many documents, by one count for all, so that everywhere the same is done with them
+    hot = stage(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_docs).select("h", F.lit(True).alias("hot")), "hot")
+    if not hot.isEmpty():
+        found = found.join(hot, "h", "left")
+    else:
+        found = found.withColumn("hot", F.lit(False))
     hs = found.groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     c = d.join(hs.hint("merge"), "doc_id").select("doc_id", "row", "text", "hs", "hot").mapInArrow(_contexts, _ROWS)
     c = c.repartition(parts, "h").sortWithinPartitions("h", "doc_id")
@@ -440,7 +444,7 @@ def _cut(as_text: bool):
 def _cut_batch(b: pa.RecordBatch, as_text: bool) -> Iterator[pa.RecordBatch]:
     if b.num_rows:
         kept, n, removed, count = [], [], [], []
-        for text, spans in zip(b.column("__text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(b.column("__text").cast(pa.binary()).to_pylist(), b.column("__spans").to_pylist(), strict=True):
             text = text or b""
             gone = merged([(s["start"], s["stop"]) for s in spans or []])
             edges = [0, *(x for s in gone for x in s), len(text)]
@@ -448,7 +452,7 @@ def _cut_batch(b: pa.RecordBatch, as_text: bool) -> Iterator[pa.RecordBatch]:
             n.append(len(text))
             removed.append(sum(z - a for a, z in gone))
             count.append(len(gone))
-        t = pa.Table.from_batches([b]).drop_columns(["__text", "spans"])
+        t = pa.Table.from_batches([b]).drop_columns(["__text", "__spans"])
         if as_text:
             kept = [x.decode("utf-8", "ignore") for x in kept]
         for name, v, kind in (("kept", kept, pa.string() if as_text else pa.binary()), ("n_bytes", n, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", count, pa.int64())):
@@ -465,9 +469,9 @@ def without_repeats(docs: DataFrame, text: str = "text", as_text: bool = False,
     doc_id never remove each other's bytes; a row with a null doc_id is kept whole and removes nothing.
     An empty table gives no rows. Columns named like the new ones are replaced.
     """
-    d = docs.drop("kept", "n_bytes", "n_removed", "n_spans").withColumn("row", F.xxhash64(text))
-    spans = repeats(d.select(F.col("doc_id").cast("bigint").alias("doc_id"), "row", F.col(text).alias("text")), **settings)
-    spans = spans.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), "spans")
-    d = d.join(spans, (F.col("doc_id") == F.col("__d")) & (F.col("row") == F.col("__r")), "left").drop("__d", "__r", "row").withColumnRenamed(text, "__text")
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name not in ("__text", "spans")]
+    d = docs.drop("kept", "n_bytes", "n_removed", "n_spans").withColumn("__row", F.xxhash64(text))
+    spans = repeats(d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__row").alias("row"), F.col(text).alias("text")), **settings)
+    spans = spans.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), F.col("spans").alias("__spans"))
+    d = d.join(spans, (F.col("doc_id") == F.col("__d")) & (F.col("__row") == F.col("__r")), "left").drop("__d", "__r", "__row").withColumnRenamed(text, "__text")
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name not in ("__text", "__spans")]
     return d.mapInArrow(_cut(as_text), ", ".join([*columns, "kept string" if as_text else "kept binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint"]))

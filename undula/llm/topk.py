@@ -21,7 +21,7 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 4096
 LEAF = 256
 SCALE = 64
-LOWEST = -(2**62)  # below any score, and still negatable
+LOWEST = -(2**63) + 1  # below any score, and still negatable
 
 
 def integer_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:

@@ -3,9 +3,11 @@
 Texts are sequences of 32 symbols: the letters a-z in either case, five classes of other bytes from 0x80,
 and one symbol for all that separates words. Two models of order 5, one of toxic and one of ordinary
 labelled texts, share their backoff: below the highest order, continuation counts come from both classes
-together, so an expression that one class has rarely or never seen is smoothed alike in both. A text's raw
-score is the difference of the two log-likelihoods divided by its length; a logistic curve, fitted on
-labelled rows that were not counted, makes it a probability.
+together, so an expression that one class has rarely or never seen is smoothed alike in both. A text is
+compared by the difference of the two log-likelihoods divided by its length: over the whole text, and over
+stretches of 8 and 16 symbols by how far they exceed what is usual in that text (its median and three median
+deviations), which takes out what a language or a style does to all of a text. A logistic curve, fitted on
+labelled rows that were not counted, makes a probability of the three.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ ORDER, BITS = 5, 5
 DISCOUNT = 0.75
 PIECE = 1 << 20  # bytes of a text in memory at once
 FOLDS = 5  # fold 0 is held out, the last is for the curve, the others are counted
-BIN = 4096  # bins per unit of the raw score in the curve's histogram
+STRETCHES = (8, 16)  # symbols
 CODE = np.array([b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 + b % 5 if b >= 128 else 0 for b in range(256)], np.int32)
 
 
@@ -95,10 +97,18 @@ class Model:
             at = np.repeat(np.arange(1, n + 1), np.diff(code.offsets.to_numpy()))
             self.table[at, code.flatten().to_numpy()] = rows["ratio"].chunk(0).flatten().to_numpy()
 
-    def raw(self, data: bytes) -> float:
-        total = 0.0
+    def raw(self, data: bytes) -> np.ndarray:
+        """Log-likelihood ratio per symbol: of the whole text, then the excess of each length of stretches."""
+        total = np.zeros(1 + len(STRETCHES))
         for k in grams(data):
-            total += float(self.table[self.row[k >> BITS], k & ((1 << BITS) - 1)].sum(dtype=np.float64))
+            v = self.table[self.row[k >> BITS], k & ((1 << BITS) - 1)]
+            sums = np.concatenate(([0.0], np.cumsum(v, dtype=np.float64)))
+            total[0] += sums[-1]
+            for i, n in enumerate(STRETCHES, 1):
+                s = ((sums[n:] - sums[:-n]) / n if len(v) >= n else np.array([v.mean()])).astype(np.float32)
+                usual = np.median(s)
+                s -= usual + 3 * np.median(np.abs(s - usual))
+                total[i] += float(np.maximum(s, 0).mean(dtype=np.float64)) * len(v)
         return total / max(1, len(data))
 
 
@@ -106,40 +116,38 @@ def _raw_scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            raw = np.array([m.raw(t.as_py() or b"") for t in b.column("__text").cast(pa.binary())], np.float64)
-            t = pa.Table.from_batches([b]).drop_columns(["__text"]).append_column("raw", pa.array(raw))
+            raw = [m.raw(t.as_py() or b"") for t in b.column("__text").cast(pa.binary())]
+            t = pa.Table.from_batches([b]).drop_columns(["__text"]).append_column("raw", pa.array(raw, pa.list_(pa.float64())))
             yield from t.to_batches()
 
     return run
 
 
 def with_raw(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """``docs`` with the raw score of each text; ``model`` is a broadcast Model."""
+    """``docs`` with the raw scores of each text; ``model`` is a broadcast Model."""
     d = docs.drop("raw").withColumn("__text", F.col(text))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "__text"] + ["raw double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "__text"] + ["raw array<double>"])
     return d.mapInArrow(_raw_scores(model), schema)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """(slope, offset) of the logistic curve over weighted rows, by Newton steps with a small penalty."""
-    if not n.sum():
-        return 1.0, -1.0  # nothing is known: unlikely to be toxic
-    x = x * 100.0
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(w[0] * x + w[1], -30, 30)))
-        g = np.array([((p - y) * n * x).sum() + 1e-3 * w[0], ((p - y) * n).sum() + 1e-3 * w[1]])
-        r = p * (1 - p) * n
-        h = np.array([[(r * x * x).sum(), (r * x).sum()], [(r * x).sum(), r.sum()]]) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
+def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes and, last, the offset of the logistic curve, by Newton steps with a small penalty."""
+    if not len(y):
+        return np.append(np.zeros(1 + len(STRETCHES)), -1.0)  # nothing is known: unlikely to be toxic
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    w = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(w)), z.T @ (p - y) + 0.1 * w)
         w -= step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-    return float(w[0] * 100), float(w[1])
+    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS):
-    """(broadcast Model, slope, offset) from the labelled rows whose fold is not 0, at most ``rows`` of them.
+    """(broadcast Model, curve) from the labelled rows whose fold is not 0, at most ``rows`` of them.
 
-    The labelled ids go to the texts, never the texts to the labels: a scan with one broadcast join.
+    Only the raw scores of the last fold, three numbers a row, come to the driver. The labelled ids go to the texts, never the texts to the labels: a scan with one broadcast join.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -148,23 +156,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     counted = seen.filter(F.col("fold") < FOLDS - 1).select("text", "y").mapInArrow(_count, "key int, toxic bigint, ordinary bigint")
     counts = stage(counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
     model = spark.sparkContext.broadcast(Model(log_ratios(counts)))
-    bins = with_raw(seen.filter(F.col("fold") == FOLDS - 1).select("text", "y"), model).groupBy(F.round(F.col("raw") * BIN).alias("bin"), "y").count().collect()
-    h = np.array([(r["bin"] / BIN, r["y"], r["count"]) for r in bins]).reshape(-1, 3)
-    return model, *fit_curve(h[:, 0], h[:, 1], h[:, 2])
+    rest = with_raw(seen.filter(F.col("fold") == FOLDS - 1).select("text", "y"), model).toArrow()
+    x = np.array(rest["raw"].to_pylist()).reshape(-1, 1 + len(STRETCHES))
+    order = np.lexsort(x.T)  # rows come in any order; sums must not depend on it
+    return model, fit_curve(x[order], rest["y"].to_numpy()[order].astype(float))
 
 
 def with_scores(docs: DataFrame, fitted) -> DataFrame:
     """``docs`` with ``score``, the probability of label 1, and ``predicted`` (1 from 0.5 on)."""
-    model, slope, offset = fitted
+    model, curve = fitted
     d = with_raw(docs.drop("score", "predicted"), model)
-    d = d.withColumn("score", 1 / (1 + F.exp(-(F.col("raw") * slope + offset)))).drop("raw")
+    z = sum((F.col("raw")[i] * float(c) for i, c in enumerate(curve[:-1])), F.lit(float(curve[-1])))
+    d = d.withColumn("score", 1 / (1 + F.exp(-z))).drop("raw")
     return d.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    Null and empty texts have raw score 0 and take what the curve gives there. Without usable labels the
+    Null and empty texts have raw scores of 0 and take what the curve gives there. Without usable labels the
     score is the same low value for all rows. Repeated rows score alike; an empty table gives no rows.
     """
     d = with_scores(docs.select("doc_id", "text"), fit(docs, labels, label))
