@@ -79,7 +79,7 @@ def test_small_memories_change_nothing(spark, monkeypatch):
     t = t.take(pa.array(np.argsort(t["bucket"].to_numpy(), kind="stable")))
     found = pa.Table.from_batches(list(substrings._shared(t.combine_chunks().to_batches())))
     by = {}
-    for d, h in zip(found["doc_id"].to_pylist(), found["h"].to_pylist(), strict=True):
+    for d, h in zip(found["row"].to_pylist(), found["h"].to_pylist(), strict=True):
         by.setdefault(d, []).append(h)
     with_h = [(i, t, by[i]) for i, t in rows if i in by]
     c = pa.record_batch([pa.array([x[0] for x in with_h]), pa.array([0] * len(with_h)), pa.array([x[1] for x in with_h]), pa.array([x[2] for x in with_h]), pa.array([[]] * len(with_h), pa.list_(pa.int64()))], names=["doc_id", "row", "text", "hs", "hot"])

@@ -4,8 +4,9 @@ A byte goes where a string of ``WINDOW`` bytes that covers it also starts in a d
 doc_id. Equal windows contain equal anchors: a window's anchor is its ``GRAM``-byte string with the least
 hash, so only strings around anchors that two documents share can repeat.
 
-1. Each document's anchors are sent to buckets by hash; those of several documents are candidates. Anchors
-   that a task has seen in several documents are candidates at once, and one of them is sent.
+1. Copies of a whole text (same SHA-256) go but for the smallest doc_id. Each different text's anchors are sent
+   to buckets by hash; those of several texts are candidates. Anchors that a task has seen in several texts
+   are candidates at once, and one of them is sent.
 2. Candidates go back to their texts. Around each, the windows that it is the anchor of form a context.
    Of equal contexts in a task only the first goes on; the others are repeats.
 3. Contexts meet by anchor. Of equal ones the smallest document stays. The windows of the remaining ones are
@@ -31,11 +32,11 @@ from undula.session import ship_package, stage
 WINDOW, GRAM = 50, 16
 SPAN = WINDOW - GRAM + 1  # anchors that compete in a window
 PIECE = 1 << 19  # bytes of a text that are hashed at once
-FLUSH = 2_000_000  # anchors that a task gathers before it sends them
+FLUSH = 1_000_000  # anchors that a task gathers before it sends them
 BUCKET_BYTES = 24_000_000  # bytes of text whose anchors share a bucket, about
 HOT_DOCS = 50_000  # anchors in more documents are resolved window by window
-SEEN = 300_000  # contexts that a task remembers
-CHUNK = 60_000  # contexts that are resolved at once
+SEEN = 150_000  # contexts that a task remembers
+CHUNK = 25_000  # contexts that are resolved at once
 
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
@@ -87,8 +88,8 @@ def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _blobs(buckets: int):
-    """Anchors of a task's documents as (bucket, hashes, documents, candidate) rows: one row per bucket and
-    flush, and rows with bucket -1 for anchors already known as candidates."""
+    """Anchors of a task's texts as (bucket, hashes, texts) rows: one row per bucket and flush, and rows with
+    bucket -1 for anchors already known as candidates. A text is named by its hash, so copies are one text."""
 
     def flush(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((doc, h))
@@ -104,16 +105,10 @@ def _blobs(buckets: int):
         h, doc, bucket = h[order], doc[order], bucket[order]
         edge = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)]))
         rows += [(int(bucket[a]), h[a:b], doc[a:b]) for a, b in zip(edge, edge[1:], strict=False) if b > a]
-        base = [int(d.min()) if len(d) else 0 for _, _, d in rows]
-        wide = any(len(d) and int(d.max()) - m >= 1 << 32 for (_, _, d), m in zip(rows, base, strict=True))
-        kind = np.uint64 if wide else np.uint32
         return pa.record_batch(
-            [
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()),
-                pa.array([(r[2] - m).astype(kind).tobytes() for r, m in zip(rows, base, strict=True)], pa.binary()), pa.array(base, pa.int64()),
-            ],
-            names=["bucket", "hashes", "docs", "base"],
-        )
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
+            names=["bucket", "hashes", "rows"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, ds, n = [], [], 0
@@ -132,23 +127,18 @@ def _blobs(buckets: int):
     return run
 
 
-def _unpacked(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(b.column("hashes")[i].as_py(), np.int64)
-    raw = b.column("docs")[i].as_py()
-    doc = np.frombuffer(raw, np.uint32 if len(raw) == 4 * len(h) else np.uint64).astype(np.int64)
-    return h, doc + b.column("base")[i].as_py()
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one bucket, gathered, give (doc_id, h) of the anchors that several rows have."""
+    """Rows of one bucket, gathered, give (row, h) of the anchors that several texts have."""
 
     def of(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(doc), pa.array(h)], names=["doc_id", "h"])
+        return pa.record_batch([pa.array(doc), pa.array(h)], names=["row", "h"])
 
     def several(hs: list[np.ndarray], ds: list[np.ndarray]) -> pa.RecordBatch:
         h, doc = np.concatenate(hs), np.concatenate(ds)
-        order = np.argsort(h, kind="stable")
+        order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
+        keep = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
+        h, doc = h[keep], doc[keep]
         same = np.concatenate(([False], h[1:] == h[:-1]))
         both = same | np.append(same[1:], False)
         return of(h[both], doc[both])
@@ -156,7 +146,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, hs, ds = None, [], []
     for b in batches:
         for i, bucket in enumerate(b.column("bucket").to_pylist()):
-            h, doc = _unpacked(b, i)
+            h, doc = (np.frombuffer(b.column(c)[i].as_py(), np.int64) for c in ("hashes", "rows"))
             if bucket < 0:
                 yield of(h, doc)
                 continue
@@ -414,27 +404,29 @@ def repeats(docs: DataFrame, hot_docs: int = HOT_DOCS, bucket_bytes: int = BUCKE
     ship_package(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
-    size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ids = stage(d.select("doc_id", "row", F.octet_length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("sha")), "texts")
+    first = stage(ids.groupBy("sha").agg(F.min("doc_id").alias("first"), F.first("row").alias("row"), F.first("n").alias("n")), "first")
+    copies = ids.join(first.select("sha", "first"), "sha").filter("doc_id > first")
+    copies = copies.select("doc_id", "row", F.lit(0).cast("bigint").alias("start"), F.col("n").alias("stop"))
+    size = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(parts, -(-size // bucket_bytes))
-    blobs = d.select("doc_id", "text").mapInArrow(_blobs(buckets), "bucket bigint, hashes binary, docs binary, base bigint")
+    blobs = d.select("row", "text").mapInArrow(_blobs(buckets), "bucket bigint, hashes binary, rows binary")
     key = F.when(F.col("bucket") < 0, F.xxhash64("hashes")).otherwise(F.col("bucket"))
     blobs = blobs.withColumn("key", key).repartition(buckets, "key").sortWithinPartitions("bucket").drop("key")
-    found = stage(blobs.mapInArrow(_shared, "doc_id bigint, h bigint"), "anchors")
+    found = stage(blobs.mapInArrow(_shared, "row bigint, h bigint"), "anchors")
     del blobs
     _free(spark)
-    # anchors in very many documents, by one count for all, so that everywhere the same is done with them
+    # anchors in very many texts, by one count for all, so that everywhere the same is done with them
     hot = stage(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_docs).select("h", F.lit(True).alias("hot")), "hot")
-    if not hot.isEmpty():
-        found = found.join(hot, "h", "left")
-    else:
-        found = found.withColumn("hot", F.lit(False))
-    hs = found.groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
-    c = d.join(hs.hint("merge"), "doc_id").select("doc_id", "row", "text", "hs", "hot").mapInArrow(_contexts, _ROWS)
+    found = found.withColumn("hot", F.lit(False)) if hot.isEmpty() else found.join(hot, "h", "left")
+    hs = found.groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    hs = hs.join(first.select("row", F.col("first").alias("doc_id")), "row")
+    c = d.join(hs.hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "text", "hs", "hot").mapInArrow(_contexts, _ROWS)
     c = c.repartition(parts, "h").sortWithinPartitions("h", "doc_id")
     out = stage(c.mapInArrow(_resolve, "doc_id bigint, row bigint, start bigint, stop bigint"), "repeats")
     del c
     _free(spark)
-    return out.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return out.unionByName(copies).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _cut(as_text: bool):
