@@ -14,12 +14,18 @@ _CELLS = 65_536
 
 
 def value_cell(v: Column) -> Column:
-    """Integer that never decreases with ``v``: sign, power of two, and 65,536 steps inside it."""
-    a = F.abs(v.cast("double"))
+    """Integer that never decreases with ``v``: sign, power of two, and 65,536 steps inside it.
+
+    The infinities have the end cells and NaN, which sorts above all numbers, the one after them.
+    """
+    v = v.cast("double")
+    a = F.abs(v)
+    end = 4 * _CELLS * 4096
     e = F.floor(F.log2(a))
     m = F.floor(a / F.pow(F.lit(2.0), e) * _CELLS)
     c = (e + 1100) * (4 * _CELLS) + m
-    return F.when(a == 0, F.lit(0)).when(v < 0, -c).otherwise(c).cast("bigint")
+    special = F.when(F.isnan(v), end + 1).when(v == float("inf"), end).when(v == float("-inf"), -end).when(a == 0, 0)
+    return special.when(v < 0, -c.cast("bigint")).otherwise(c.cast("bigint")).cast("bigint")
 
 
 def exact_quantiles(
@@ -28,8 +34,8 @@ def exact_quantiles(
     """One row per group: ``keys``, ``n`` and one column per entry of ``probs`` (name -> probability).
 
     Groups of at most ``hot_rows`` rows use the built-in exact ``percentile``, which holds a group in
-    memory; larger ones use ``selected_quantiles``. ``hot_rows=None`` sends every group there. Nulls
-    are ignored.
+    memory; larger ones use ``selected_quantiles``, whose results are the same for every value, NaN and
+    infinities included. ``hot_rows=None`` sends every group there. Nulls are ignored.
     """
     keys = list(keys)
     if hot_rows is None:
@@ -99,5 +105,7 @@ def selected_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: di
         h = F.lit(float(p)) * (F.first("n") - 1)
         v0 = F.max(F.when((F.col("q") == name) & (F.col("side") == 0), F.col("__v")))
         v1 = F.max(F.when((F.col("q") == name) & (F.col("side") == 1), F.col("__v")))
-        out.append((v0 + (h - F.floor(h)) * (v1 - v0)).alias(name))
+        # weights as in the built-in percentile, which never subtracts the two values
+        between = (F.ceil(h) - h) * v0 + (h - F.floor(h)) * v1
+        out.append(F.when((F.floor(h) == F.ceil(h)) | (v0 == v1), v0).otherwise(between).alias(name))
     return picked.groupBy(*keys).agg(F.first("n").alias("n"), *out)
