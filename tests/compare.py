@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import math
 import sys
+import tempfile
 import time
 from collections import Counter
 from pathlib import Path
@@ -66,7 +67,8 @@ def main() -> None:
     wanted = sys.argv[2:]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     sqls, bad = entry.oracle_sql(), 0

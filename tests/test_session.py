@@ -13,6 +13,12 @@ class Fake:
 
     class sparkContext:
         applicationId = "app-1"
+        master = "local[1]"
+
+        class _jsc:
+            @staticmethod
+            def hadoopConfiguration():
+                return Conf()
 
         @staticmethod
         def getConf():

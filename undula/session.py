@@ -32,6 +32,7 @@ def build_session(app: str = "undula", master: str | None = None, **conf: str) -
 
 _own_roots: dict[str, str] = {}
 _shipped: set[str] = set()
+_staged: dict[str, list[str]] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -46,22 +47,49 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else a folder on the default file system.
+
+    A machine's own temporary folder is used only by a local master, where all tasks run on that machine;
+    elsewhere, executors could not read each other's files, so a missing shared folder is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own_roots:
-            _own_roots[app] = tempfile.mkdtemp(prefix="undula-staging-")
-        root = _own_roots[app]
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_roots:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        fs = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        _own_roots[app] = own_root(local, fs, app)
+    return _own_roots[app]
+
+
+def own_root(local: bool, default_fs: str, app: str) -> str:
+    """Where an application stages without a configured folder."""
+    if not default_fs.startswith("file:"):
+        return f"{default_fs.rstrip('/')}/tmp/undula-staging-{app}"
+    if not local:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="undula-staging-")
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Used where a costly result feeds several later branches: the lineage is cut, an executor loss
-    costs only a re-read, and later branches still prune columns.
+    costs only a re-read, and later branches still prune columns. ``clear_staged`` deletes what is no
+    longer needed.
     """
     path = f"{staging_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete all tables that ``stage`` has written in this application; tables read from them become unusable."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
