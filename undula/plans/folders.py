@@ -73,29 +73,29 @@ def tag_folder(
     config = {"windows": windows, "rules": rules, "acc": acc, "data": data, "labels": labels}
     if not refresh and store.is_current(spark, out, config, ("auto",)):
         return store.read_json(spark, f"{out}/summary")
-    keys = ["file"]
+    # a recording is its path; annotations name files, and go to every recording of that name
+    keys = ["path"]
     samples = stage(text.read_recordings(spark, data, acc), "samples")
     docs = stage(annotations.read_annotations(spark, labels), "labels")
-    spans = stage(annotations.intervals(docs), "spans")
+    rec = stage(segment.recording_lengths(samples, keys, "file", "code", "subject", "trial", "y"), "recordings")
+    spans = stage(annotations.intervals(docs).join(rec.select("path", "file"), "file").drop("file"), "spans")
     result = jobs.tag_recordings(samples, spans, keys, text.CHANNELS, windows, "y", rules)
 
-    rec = segment.recording_lengths(samples, keys, "code", "subject", "trial", "y")
-    rec = stage(rec, "recordings")
     matched = intervals.match_labels(rec, docs.select("file"), windows.win, static=segment.STATIC)
-    used = matched.filter("reject IS NULL").select("file", "n")
+    used = matched.filter("reject IS NULL").select("path", "n")
     grid = segment.window_starts(used, keys, windows.win, F.lit(windows.hop)).drop("n")
     manual = jobs.manual_tags(grid, spans, keys, windows.fs, windows.win, windows.hop, windows.mode, windows.q, windows.sigma_frac)
-    manual = stage(manual.select("file", "start", "pt", "pt_max", "sp", "amb", "y_win"), "manual")
+    manual = stage(manual.select("path", "start", "pt", "pt_max", "sp", "amb", "y_win"), "manual")
 
     both = result.tags.withColumn("kind", F.lit("auto")).unionByName(manual.withColumn("kind", F.lit("manual")), allowMissingColumns=True)
-    named = both.join(rec.select("file", "code", "subject", "trial"), "file")
+    named = both.join(rec.select("path", "file", "code", "subject", "trial"), "path")
     rejects = text.reject_counts(text.file_report(spark, data))
     reasons = matched.filter("reject IS NOT NULL").groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
     summary = {
         "config_id": store.config_id(config),
         "raw_data": {"recordings": rec.count(), "rejected": {r.reject: r.n for r in rejects.collect()}},
         "manual_annotations": {"files": docs.count(), "skipped": {r.reject: r.n for r in reasons.collect()}},
-        "manual_records": one_row(tagging.tag_summary(manual, "file")),
+        "manual_records": one_row(tagging.tag_summary(manual, "path")),
         "autotagged_records": one_row(result.summary),
         "training_windows": result.model.training_windows,
         "evaluation": one_row(result.evaluation),
@@ -120,12 +120,13 @@ def recording_events_folder(
 
     def build() -> DataFrame:
         samples = stage(text.read_recordings(spark, data, acc), "samples")
-        seen = store.load_splits(spark, tags).select("file", "start", "y_win", "kind").withColumn("seq", F.lit(0))
+        seen = store.load_splits(spark, tags).select("path", "start", "y_win", "kind").withColumn("seq", F.lit(0))
         kind = lambda k: seen.filter(F.col("kind") == k).drop("kind")
-        merged = fusion.merge_tags(kind("auto"), kind("manual"), ["file"])
-        rec = segment.recording_lengths(samples, ["file"], "y")
-        parts = stage(splits.stratified_split(rec.select("file", "y"), "y", "file", fractions, seed).select("file", "split"), "parts")
-        return jobs.dual_label_events(samples, merged, ["file"], text.CHANNELS, settings, "y", parts)
+        merged = fusion.merge_tags(kind("auto"), kind("manual"), ["path"])
+        rec = stage(segment.recording_lengths(samples, ["path"], "file", "y"), "recordings")
+        parts = stage(splits.stratified_split(rec.select("path", "y"), "y", "path", fractions, seed).select("path", "split"), "parts")
+        out = jobs.dual_label_events(samples, merged, ["path"], text.CHANNELS, settings, "y", parts)
+        return out.join(rec.select("path", "file"), "path")
 
     return store.load_or_build(spark, out, config, splits.PARTS, build, refresh)
 
@@ -232,7 +233,7 @@ def search_folder(spark: SparkSession, data: str, out: str, job: SearchJob, refr
     d = jobs.SearchData(v["train_per_class"], v["val_per_class"], v["test_per_class"], job.final_test_all, job.seed, job.case)
     if job.dataset == "recordings":
         samples = stage(text.read_recordings(spark, data, job.acc), "samples")
-        parts = jobs.recording_search_data(samples, ["file"], text.CHANNELS, d, v["in_len"], job.stride, job.fall_policy)
+        parts = jobs.recording_search_data(samples, ["path"], text.CHANNELS, d, v["in_len"], job.stride, job.fall_policy)
     else:
         w = stage(text.read_official(spark, data, length=v["in_len"]), "windows")
         w = splits.prepare_case(w, job.case, "y", "win_id", job.target_domain, job.split, job.val_ratio, job.seed)
