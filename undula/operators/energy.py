@@ -61,7 +61,7 @@ TOTALS = ("dense_macs", "effective_sops", "lif_ops", "energy_compute", "energy_d
 def energy_report(layers: DataFrame, samples: DataFrame, run: str = "run") -> DataFrame:
     """Totals per layer, per group and per run from one pass (grouping sets), per sample as well.
 
-    ``samples`` has (run, n_samples); fewer than one sample counts as one. ``level`` is layer, group or
+    ``samples`` has (run, n_samples); fewer than one sample, or none known, counts as one. ``level`` is layer, group or
     run. Reductions compare with the dense total and are NaN when that is 0.
     """
     g = F.grouping_id()
@@ -70,7 +70,7 @@ def energy_report(layers: DataFrame, samples: DataFrame, run: str = "run") -> Da
         F.col(run), F.col("group"), F.col("layer"),
     ).agg(g.alias("__g"), *[F.sum(c).alias(c) for c in TOTALS])
     out = out.withColumn("level", F.when(F.col("__g") == 0, "layer").when(F.col("__g") == 1, "group").otherwise("run")).drop("__g")
-    out = out.join(samples.select(run, F.greatest("n_samples", F.lit(1)).alias("n_samples")), run)
+    out = out.join(samples.select(run, "n_samples"), run, "left").withColumn("n_samples", F.greatest(F.coalesce("n_samples", F.lit(1)), F.lit(1)))
     for c in TOTALS:
         out = out.withColumn(f"{c}_per_sample", F.col(c) / F.col("n_samples"))
     for c in ("energy_compute", "energy_total"):

@@ -41,6 +41,12 @@ def merge_ranges(ranges: DataFrame, keys: Sequence[str], width: int = 1_000_000)
     return r.groupBy(*keys, "__island").agg(F.max("b").alias("b")).withColumnRenamed("__island", "a")
 
 
+def _on_grid(windows: DataFrame, hop: int) -> DataFrame:
+    """``windows`` as they are; a start that is no multiple of ``hop`` stops the job instead of scoring 0."""
+    wrong = F.raise_error(F.format_string("window start %s is no multiple of %s", F.col("start"), F.lit(hop)))
+    return windows.withColumn("start", F.when(F.col("start") % hop == 0, F.col("start")).otherwise(wrong.cast("bigint")))
+
+
 def _windows_touching(df: DataFrame, a: Column, b: Column, win: int, hop: int) -> DataFrame:
     """One row per window [k*hop, k*hop + win) that shares a sample with [a, b): adds ``start``."""
     first = F.greatest(F.floor((a - win) / hop) + 1, F.lit(0))
@@ -61,6 +67,7 @@ def window_coverage(
     range and window is formed that does not overlap.
     """
     keys = list(keys)
+    windows = _on_grid(windows, hop)
     hits = _windows_touching(disjoint_ranges(ranges, [*keys, "kind"]), F.col("a"), F.col("b"), win, hop)
     ones = F.least(F.col("b"), F.col("start") + win) - F.greatest(F.col("a"), F.col("start"))
     mid = F.col("start") + win // 2
@@ -103,18 +110,22 @@ def gaussian_scores(
     """Adds one column per entry of ``modes`` (name -> mode) to windows at multiples of ``hop``.
 
     Every sample inside an interval gets exp(-((t - centre)/s)^2 / 2), s = max(length*sigma_frac,
-    1/fs); overlapping intervals keep the larger value, all other samples are 0.
+    1/fs); overlapping intervals keep the larger value, all other samples are 0. Samples behind the last
+    window of a key are not looked at, however long an interval is.
     """
     keys = list(keys)
+    windows = _on_grid(windows, hop)
+    ends = windows.groupBy(*keys).agg((F.max("start") + win - 1).alias("__end"))
     iv = (
         intervals.filter("t1 > t0")
         .select(*keys, "t0", "t1")
         .withColumn("__c", (F.col("t0") + F.col("t1")) * 0.5)
         .withColumn("__s", F.greatest((F.col("t1") - F.col("t0")) * sigma_frac, F.lit(1.0 / fs)))
+        .join(ends, keys)
     )
     t = F.col("__j") / F.lit(float(fs))
     per_sample = (
-        explode_range(iv, F.greatest(F.floor(F.col("t0") * fs), F.lit(0)), F.ceil(F.col("t1") * fs), "__j")
+        explode_range(iv, F.greatest(F.floor(F.col("t0") * fs), F.lit(0)), F.least(F.ceil(F.col("t1") * fs), F.col("__end")), "__j")
         .filter((t >= F.col("t0")) & (t <= F.col("t1")))
         .groupBy(*keys, "__j")
         .agg(F.max(F.exp(-0.5 * F.pow((t - F.col("__c")) / F.col("__s"), 2))).alias("__g"))

@@ -108,16 +108,19 @@ def dual_head_counts(df: DataFrame, logits: str = "logits", z: str = "z", by: Se
 
 def training_history(log: DataFrame, run: str, epoch: str, loss: str, patience: int, width: int = 100_000) -> DataFrame:
     """Adds ``best`` (lowest loss so far), ``improved``, ``bad_epochs`` and ``stop`` (first epoch at which
-    ``patience`` epochs in a row brought nothing) and drops the epochs after it."""
-    best = Run("min", F.struct(F.col(loss).alias("loss"), F.col(epoch).alias("epoch")))
-    h = prefixes(log, [run], [epoch], F.floor(F.col(epoch) / width), {"__b": best})
+    ``patience`` logged epochs in a row brought nothing) and drops the epochs after it.
+
+    A loss that is NaN or null never improves; before the first real loss ``best`` is null. Epochs are
+    counted as rows, so a log with gaps counts what it holds.
+    """
+    real = F.when(F.col(loss).isNotNull() & ~F.isnan(F.col(loss).cast("double")), F.struct(F.col(loss).alias("loss"), F.col(epoch).alias("epoch")))
+    bucket = F.floor(F.col(epoch) / width)
+    h = prefixes(log, [run], [epoch], bucket, {"__b": Run("min", real), "__n": Run("sum", F.lit(1))})
     h = h.withColumns({"best": F.col("__b.loss"), "best_epoch": F.col("__b.epoch")}).drop("__b")
-    h = h.withColumn("improved", F.col("best_epoch") == F.col(epoch))
-    h = h.withColumn("bad_epochs", F.col(epoch) - F.col("best_epoch"))
+    h = h.withColumn("improved", F.coalesce(F.col("best_epoch") == F.col(epoch), F.lit(False)))
+    at = Run("max", F.when(F.col("improved"), F.col("__n")))
+    h = prefixes(h, [run], [epoch], bucket, {"__at": at})
+    h = h.withColumn("bad_epochs", (F.col("__n") - F.coalesce("__at", F.lit(0))).cast(log.schema[epoch].dataType)).drop("__n", "__at")
     stops = h.filter(F.col("bad_epochs") >= patience).groupBy(run).agg(F.min(epoch).alias("stop"))
     return h.join(stops, run, "left").filter(F.col("stop").isNull() | (F.col(epoch) <= F.col("stop")))
 
-
-def rates(df: DataFrame, by: Sequence[str], value: Column, name: str = "rate") -> DataFrame:
-    """Mean over time per unit (firing rate)."""
-    return df.groupBy(*by).agg(F.avg(value).alias(name))

@@ -51,6 +51,12 @@ def _covering_starts(at: DataFrame, win: int) -> DataFrame:
     return explode_range(at, first, last, "__k").withColumn("start", (F.col("__k") * F.col("__s")).cast("bigint")).drop("__k")
 
 
+def _amplitude(channels: Sequence[str]) -> Column:
+    """Largest |value| of the channels; one channel is enough."""
+    a = [F.abs(F.col(c)) for c in channels]
+    return F.greatest(*a) if len(a) > 1 else a[0]
+
+
 def global_peak_starts(
     samples: DataFrame, recordings: DataFrame, keys: Sequence[str], channels: Sequence[str], win: int, stride: Column
 ) -> DataFrame:
@@ -58,7 +64,7 @@ def global_peak_starts(
 
     Ties all count; a recording whose peaks lie behind the last window keeps none.
     """
-    amp = samples.select(*keys, "idx", F.greatest(*[F.abs(F.col(c)) for c in channels]).alias("__amp"))
+    amp = samples.select(*keys, "idx", _amplitude(channels).alias("__amp"))
     top = amp.groupBy(*keys).agg(F.max("__amp").alias("__top"))
     rec = recordings.withColumn("__s", stride).filter(F.col("__s").isNotNull() & (F.col("n") >= win)).join(top, list(keys))
     at = amp.join(rec, list(keys)).filter("__amp = __top").withColumnRenamed("idx", "peak").drop("__amp", "__top")
@@ -69,7 +75,7 @@ def first_peak_starts(
     samples: DataFrame, recordings: DataFrame, keys: Sequence[str], acc: Sequence[str], win: int, stride: Column
 ) -> DataFrame:
     """Starts whose window covers the first largest |acc|; one centred start where there is none."""
-    amp = F.greatest(*[F.abs(F.col(c)) for c in acc])
+    amp = _amplitude(acc)
     peaks = samples.groupBy(*keys).agg((-F.max(F.struct(amp.alias("a"), (-F.col("idx")).alias("i")))["i"]).alias("peak"))
     at = (
         recordings.withColumn("__s", stride)

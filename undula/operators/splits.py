@@ -74,15 +74,7 @@ def train_val_split(df: DataFrame, label: str, key: str, val_ratio: float = 0.1,
 
 
 def balanced_sample(df: DataFrame, label: str, key: str, per_class: int, seed: int = 0) -> DataFrame:
-    """At most ``per_class`` rows per class, without replacement.
-
-    Small samples use a per-class rank filter, which Spark cuts to ``per_class`` rows per class in
-    every task before it shuffles; larger ones use the parallel row number.
-    """
-    if per_class <= 1000:
-        h = df.withColumn("__h", hash_text(F.col(key), seed))
-        w = Window.partitionBy(label).orderBy("__h", key)
-        return h.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= per_class).drop("__rn", "__h")
+    """At most ``per_class`` rows per class, without replacement, by the parallel row number."""
     return order_in_class(df, label, key, seed, "__rn").filter(F.col("__rn") < per_class).drop("__rn")
 
 

@@ -104,6 +104,8 @@ def fit_weighted_logistic(train: DataFrame, label: str, l2: float, steps: int, f
     division by the weight sum.
     """
     n, pos = train.agg(F.count(F.lit(1)), F.sum(label)).first()
+    if not n or pos in (0, n):
+        raise ValueError(f"training rows of both classes are needed for {label}; {n} rows, {pos or 0} of them positive")
     cw = (n - pos) / (pos + 1e-6)
     weight_sum = (n - pos) + cw * pos
     weighted = train.withColumn("__w", 1.0 + (cw - 1.0) * F.col(label))

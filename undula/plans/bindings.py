@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.operators.sequence import HOT_ROWS, sequence_number
+from undula.operators.sequence import sequence_number
 
 CH = [f"c{i}" for i in range(6)]
 ACC, GYR = CH[:3], CH[3:]
@@ -28,7 +28,7 @@ def ev(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("rec_id"), "ts", "event_id", "event_type", "value",
         F.col("value").cast("float").alias("c0"), k_of().alias("c1"), (F.col("user_id") % 3).cast("int").alias("y"),
     )
-    return sequence_number(e, ["rec_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), hot_rows=HOT_ROWS)
+    return sequence_number(e, ["rec_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
 
 
 EV = """ev AS (
@@ -56,7 +56,7 @@ def mr_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mr(spark: SparkSession, sf: str) -> DataFrame:
-    li = sequence_number(mr_rows(spark, sf), ["rec_id"], _MR_ORDER, F.col("l_shipdate"), hot_rows=HOT_ROWS)
+    li = sequence_number(mr_rows(spark, sf), ["rec_id"], _MR_ORDER, F.col("l_shipdate"))
     return li.select("rec_id", "y", "idx", *CH)
 
 

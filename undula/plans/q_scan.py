@@ -180,10 +180,19 @@ def s9_read_split_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return store.load_splits(spark, path, "test").select("win_id", "y")
 
 
-@query("s10_reuse_check")
+_REUSE = {"root": "data\\set\\", "win": 64}
+_REUSE_CASES = {"same": True, "same path, other notation": True, "other window": False, "missing part": False, "nothing stored": False}
+
+
+@query(
+    "s10_reuse_check",
+    with_(WN)
+    + f"""SELECT c AS "case", v AS current, '{store.config_id(_REUSE)}' AS config_id, n AS rows
+FROM (VALUES {", ".join(f"('{k}', {str(v).lower()})" for k, v in _REUSE_CASES.items())}) t(c, v), (SELECT count(*) AS n FROM wn)""",
+)
 def s10_reuse_check(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "cache")
-    config = {"root": "data\\set\\", "win": 64}
+    config = _REUSE
     store.save_splits(wn(spark, sf).select("win_id", "y", "split"), path, config)
     both = ("train", "test")
     checks = {

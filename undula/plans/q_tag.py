@@ -308,7 +308,7 @@ def mr_annotations(samples: DataFrame) -> DataFrame:
 
 def tagging_result(spark: SparkSession, sf: str) -> jobs.TagResult:
     m = stage(mr(spark, sf), "samples")
-    return jobs.tag_recordings(m, mr_annotations(m), ["rec_id"], CH, jobs.TagWindows(steps=60), "y")
+    return jobs.tag_recordings(m, mr_annotations(m), ["rec_id"], CH, jobs.TagWindows(), "y")
 
 
 @query("m1_logistic_fit")
@@ -429,10 +429,10 @@ def m7_theta_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m7_threshold_search")
 def m7_threshold_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Epoch history of a short search on balanced samples."""
+    """Epoch history of a search on balanced samples."""
     w = stage(wn(spark, sf), "windows")
     r = jobs.search_thresholds(
-        w, jobs.SearchData(train_per_class=1000, val_per_class=1000), theta0=[0.2], in_len=64, out_len=320, max_epochs=6, init_step=0.02
+        w, jobs.SearchData(train_per_class=1000, val_per_class=1000), theta0=[0.2], in_len=64, out_len=320, init_step=0.02
     )
     return spark.createDataFrame(
         [(e, s, t, a, b, c, st) for e, s, t, a, b, c, st in r["history"]],
