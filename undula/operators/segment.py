@@ -154,28 +154,18 @@ def pad_edges(
 ) -> DataFrame:
     """Repeat the first and last ``pad_hop`` samples ``pad_rep`` times at both ends.
 
-    ``idx`` becomes the position in the padded recording (offset ``pad_hop * pad_rep``).
+    ``idx`` becomes the position in the padded recording (offset ``pad_hop * pad_rep``). One pass: each
+    sample gives all its positions. Samples of keys that ``recordings`` lacks are left out.
     """
     off = pad_hop * pad_rep
-    reps = F.array(*[F.lit(r) for r in range(pad_rep)])
-    body = samples.withColumn("__p", F.col("idx") + off)
-    head = samples.filter(F.col("idx") < pad_hop).withColumn("__r", F.explode(reps)).withColumn(
-        "__p", F.col("idx") + F.col("__r") * pad_hop
-    )
-    tail = (
-        samples.join(recordings.select(*keys, "n"), list(keys))
-        .filter(F.col("idx") >= F.col("n") - pad_hop)
-        .withColumn("__r", F.explode(reps))
-        .withColumn("__p", F.col("idx") + pad_hop + off + F.col("__r") * pad_hop)
-        .drop("n")
-    )
-    return (
-        body.unionByName(head.drop("__r"))
-        .unionByName(tail.drop("__r"))
-        .drop("idx")
-        .withColumn("idx", F.col("__p").cast("bigint"))
-        .drop("__p")
-    )
+    idx, reps = F.col("idx"), F.array(*[F.lit(r * pad_hop) for r in range(pad_rep)])
+    none = F.array().cast("array<bigint>")
+    head = F.when(idx < pad_hop, F.transform(reps, lambda r: idx + r)).otherwise(none)
+    tail = F.when(idx >= F.col("__n") - pad_hop, F.transform(reps, lambda r: idx + pad_hop + off + r)).otherwise(none)
+    at = F.explode(F.concat(F.array(idx + off), head, tail))
+    rows = samples.join(recordings.select(*keys, F.col("n").alias("__n")), list(keys))
+    return rows.withColumn("__p", at).drop("idx", "__n").withColumn("idx", F.col("__p").cast("bigint")).drop("__p")
+
 
 
 def inside_signal(windows: DataFrame, win: int, n: Column) -> DataFrame:

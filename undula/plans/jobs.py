@@ -53,7 +53,7 @@ def context_features(
     carry = [label] if label else []
     rec = segment.recording_lengths(samples, keys, *carry)
     rec = stage(segment.long_enough(rec, max(s.win, s.pad_hop)).withColumnRenamed("n", "n0"), "recordings")
-    padded = segment.pad_edges(samples.join(rec.select(*keys), keys, "left_semi"), rec.withColumnRenamed("n0", "n"), keys, s.pad_hop, s.pad_rep)
+    padded = segment.pad_edges(samples, rec.withColumnRenamed("n0", "n"), keys, s.pad_hop, s.pad_rep)
     windows = segment.regular_windows(padded, keys, channels, s.win, F.lit(s.hop), carry)
     windows = windows.withColumn("k", F.expr(f"start div {s.hop}"))
     base = features.tilt_step(features.window_features(windows, s.fs, s.tilt_every), keys).join(rec.select(*keys, "n0"), keys)
@@ -95,6 +95,7 @@ def tag_recordings(
     ``samples`` are read several times: pass a table (or ``stage`` it first), not a long lineage.
     """
     keys = list(keys)
+    spans = stage(spans, "spans")  # read four times below
     f = stage(context_features(samples, keys, channels, s, label), "context")
     ranges = intervals.sample_ranges(spans, s.fs)
     labelled = f.join(spans.select(*keys).distinct(), keys, "left_semi")

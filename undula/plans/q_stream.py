@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from undula.plans.bindings import EV, ev, table, with_
 from undula.plans.q_scan import scratch
 from undula.plans.registry import query
+from undula.session import stage
 from undula.streaming import stateful
 
 
@@ -19,6 +20,7 @@ def drain(spark: SparkSession, rows: DataFrame, order: str, run: Callable[[DataF
     After each slice the query is started again from its checkpoint, so the state survives restarts.
     """
     source, sink, state = (scratch(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    rows = stage(rows, "stream-rows")
     lo, hi = rows.agg(F.min(order), F.max(order)).first()
     cut = [lo + (hi - lo) * i / 3 for i in range(1, 3)]
     part = F.when(F.col(order) < F.lit(cut[0]), 0).when(F.col(order) < F.lit(cut[1]), 1).otherwise(2)
