@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undula.llm.batches import bound_batches
 from undula.session import ship_package
 
 #: Header and end marker by role (fixed values).
@@ -134,6 +135,7 @@ def formatted(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     form one conversation; repeated rows are turns of their own; an empty table gives no rows.
     """
     ship_package(rows.sparkSession)
+    bound_batches(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = rows.select(F.col(conv_id).alias("conv_id"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"), F.col(turn).alias("turn"))
     r = r.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undula.llm.batches import bound_batches
 from undula.session import ship_package, stage
 
 WIDTH = 10
@@ -142,6 +143,7 @@ def annotated(docs: DataFrame, items: DataFrame, width: int = WIDTH, slice_bytes
     """
     spark = docs.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     docs = docs.drop("n_words", "n_hit", "spans", "items")
     p = stage(item_patterns(items, width=width), "patterns")
     size = p.agg(F.coalesce(F.sum(F.length("pattern") + 64), F.lit(0))).first()[0]

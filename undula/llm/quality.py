@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undula.llm.batches import bound_batches
 from undula.llm.labelled import fold, sample
 from undula.session import ship_package
 
@@ -127,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     gives every text the same score, 0.5.
     """
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     ids = F.broadcast(sample(labels, label, fold(F.col("doc_id"), FOLDS) != HELD, rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = docs.select("doc_id", "text", F.col("n_chars").cast("bigint").alias("n_chars")).join(ids, "doc_id").select("doc_id", "text", "n_chars", "y")

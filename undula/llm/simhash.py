@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undula.llm.batches import bound_batches
 from undula.llm.components import components
 from undula.session import ship_package, stage
 
@@ -65,6 +66,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_prints, f"doc_id {kind}, fp bigint")
 

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undula.llm.batches import bound_batches
 from undula.session import ship_package, stage
 
 WINDOW, GRAM = 50, 16
@@ -402,6 +403,7 @@ def repeats(docs: DataFrame, hot_docs: int = HOT_DOCS, bucket_bytes: int = BUCKE
     """(doc_id, row, spans) of the documents (doc_id, row, text) that have repeats; spans may overlap."""
     spark = docs.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
     ids = stage(d.select("doc_id", "row", F.octet_length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("sha")), "texts")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undula.llm.batches import bound_batches
 from undula.session import ship_package
 
 CHUNK = 64  # characters of a splitter chunk
@@ -325,6 +326,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, doc_id: str
     """
     spark = docs.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     model = spark.sparkContext.broadcast((*read_tokenizer(tokenizer), changed_characters()))
     kind = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undula.llm.batches import bound_batches
 from undula.llm.labelled import SAMPLE_ROWS, fold, sample
 from undula.session import ship_package, stage
 
@@ -151,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     """
     spark = docs.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     ids = F.broadcast(sample(labels, label, fold(F.col("doc_id"), FOLDS) != 0, rows))
     seen = docs.select("doc_id", "text").join(ids, "doc_id").select("text", "y", fold(F.col("doc_id"), FOLDS).alias("fold"))
     counted = seen.filter(F.col("fold") < FOLDS - 1).select("text", "y").mapInArrow(_count, "key int, toxic bigint, ordinary bigint")
