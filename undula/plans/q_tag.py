@@ -306,9 +306,74 @@ def mr_annotations(samples: DataFrame) -> DataFrame:
     return at.select("rec_id", span.alias("s")).select("rec_id", "s.*")
 
 
+_results: dict[tuple[str, str], jobs.TagResult] = {}
+
+
 def tagging_result(spark: SparkSession, sf: str) -> jobs.TagResult:
-    m = stage(mr(spark, sf), "samples")
-    return jobs.tag_recordings(m, mr_annotations(m), ["rec_id"], CH, jobs.TagWindows(), "y")
+    """The whole tagging job; its staged tables serve all queries of one application on the same input."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _results:
+        m = stage(mr(spark, sf), "samples")
+        _results[key] = jobs.tag_recordings(m, mr_annotations(m), ["rec_id"], CH, jobs.TagWindows(), "y")
+    return _results[key]
+
+
+# annotated spans as sample ranges, and the tagged windows with their covered samples
+_SPANS_SQL = MR_LEN + """, an AS (SELECT rec_id, idx / 200.0::DOUBLE AS sec, c4, (rec_id // 3) % 2 = 0 AS move FROM mr WHERE idx % 450 = 0),
+sp AS (SELECT rec_id, CASE WHEN move THEN 'pt' ELSE 'sp' END AS kind, CASE WHEN move THEN sec + 0.1::DOUBLE ELSE sec END AS t0,
+       CASE WHEN move THEN sec + 1.2::DOUBLE + c4::DOUBLE / 200.0::DOUBLE ELSE sec + 1.9::DOUBLE END AS t1 FROM an),
+rg AS (SELECT rec_id, kind, greatest(0, floor(t0 * 200.0::DOUBLE)) AS a, ceil(t1 * 200.0::DOUBLE) AS b FROM sp),
+ps AS (SELECT rec_id, y, n, CAST(unnest(range(205, n + 820 - 410 - 204, 205)) AS BIGINT) - 410 AS start FROM len WHERE n >= 410),
+tw AS (SELECT * FROM ps WHERE start >= 0 AND start + 410 <= n),
+cv AS (SELECT tw.rec_id, tw.y, tw.start, coalesce(sum(CASE WHEN kind = 'pt' THEN least(b, start + 410) - greatest(a, start) END), 0) AS pt,
+       coalesce(sum(CASE WHEN kind = 'sp' THEN least(b, start + 410) - greatest(a, start) END), 0) AS sp
+       FROM tw LEFT JOIN rg ON rg.rec_id = tw.rec_id AND a < start + 410 AND b > start GROUP BY tw.rec_id, tw.y, tw.start)
+"""
+
+
+@query(
+    "m1_training_rows",
+    with_(MR) + _SPANS_SQL + "SELECT m AS model, count(*) AS training_windows, count_if(CASE WHEN m = 'transition' THEN pt >= 83 ELSE sp >= 83 END) > 0 AS has_positives, 86 AS inputs "
+    "FROM cv, (VALUES ('transition'), ('stable')) v(m) WHERE (pt >= 83 AND sp < 82) OR (sp >= 83 AND pt < 82) GROUP BY m",
+)
+def m1_training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that the models are fitted on, and the number of their inputs."""
+    r = tagging_result(spark, sf).model
+    rows = [(name, r.training_windows, bool(abs(m.intercept) < float("inf")), int(m.coefficients.size)) for name, m in (("transition", r.pt), ("stable", r.sp))]
+    return spark.createDataFrame(rows, "model string, training_windows bigint, has_positives boolean, inputs int")
+
+
+@query("m2_orthonormal", "SELECT CAST(a.i AS INT) AS a, CAST(b.i AS INT) AS b, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS product FROM range(16) a(i), range(16) b(i)")
+def m2_orthonormal(spark: SparkSession, sf: str) -> DataFrame:
+    """Inner products of the projection's directions."""
+    pc = tagging_result(spark, sf).model.pca.pc.toArray()
+    p = pc.T @ pc
+    rows = [(i, j, abs(round(float(p[i, j]), 6))) for i in range(len(p)) for j in range(len(p))]
+    return spark.createDataFrame(rows, "a int, b int, product double")
+
+
+@query("m3_decided_windows", with_(MR) + _SPANS_SQL + "SELECT rec_id, start, true AS agrees FROM tw WHERE y = 2")
+def m3_decided_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Tagged windows, and whether the tag follows from the stored probabilities and states."""
+    from undula.operators.tagging import TagRules, decide
+
+    t = tagging_result(spark, sf).tags
+    again = decide(F.col("p_pt"), F.col("p_sp"), F.col("h_pt"), F.col("h_sp"), TagRules())
+    inside = F.col("p_pt").between(0, 1) & F.col("p_sp").between(0, 1)
+    return t.select("rec_id", "start", ((again == F.col("y_win")) & inside).alias("agrees"))
+
+
+@query(
+    "m9_tagging_counts",
+    with_(MR) + _SPANS_SQL + """SELECT count(DISTINCT rec_id) AS files, count(*) AS windows,
+  count_if((pt / 410.0::DOUBLE >= 0.5 AND sp / 410.0::DOUBLE <= 0.05) OR (sp / 410.0::DOUBLE >= 0.6 AND pt / 410.0::DOUBLE <= 0.05)) AS judged,
+  count_if(pt / 410.0::DOUBLE >= 0.5 AND sp / 410.0::DOUBLE <= 0.05) AS positives FROM cv WHERE y = 2""",
+)
+def m9_tagging_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Files and windows tagged, and the clear ones that they are judged by."""
+    r = tagging_result(spark, sf)
+    judged = r.evaluation.select(F.col("n").alias("judged"), (F.col("tp") + F.col("fn")).alias("positives"))
+    return r.summary.select(F.lit(1).alias("job"), "files", "windows").join(judged.withColumn("job", F.lit(1)), "job").drop("job")
 
 
 @query("m1_logistic_fit")
