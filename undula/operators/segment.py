@@ -51,6 +51,20 @@ def _covering_starts(at: DataFrame, win: int) -> DataFrame:
     return explode_range(at, first, last, "__k").withColumn("start", (F.col("__k") * F.col("__s")).cast("bigint")).drop("__k")
 
 
+def window_statistics(samples: DataFrame, keys: Sequence[str], value: str, win: int, hop: int) -> DataFrame:
+    """Mean, population deviation and maximum of ``value`` in every full window [k * hop, k * hop + win).
+
+    Samples are sent straight to the windows that hold them, and the aggregates combine before the shuffle.
+    """
+    first = F.greatest(F.floor((F.col("idx") - win) / hop) + 1, F.lit(0))
+    hit = samples.select(*keys, value, F.explode(F.sequence(first, F.floor(F.col("idx") / hop))).alias("__k"))
+    c = F.col(value).cast("double")
+    stats = hit.groupBy(*keys, (F.col("__k") * hop).cast("bigint").alias("start")).agg(
+        F.count(F.lit(1)).alias("__n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.max(value).alias("top")
+    )
+    return stats.filter(F.col("__n") == win).drop("__n")
+
+
 def _amplitude(channels: Sequence[str]) -> Column:
     """Largest |value| of the channels; one channel is enough."""
     a = [F.abs(F.col(c)) for c in channels]

@@ -109,32 +109,39 @@ def s4_channel_selection(spark: SparkSession, sf: str) -> DataFrame:
     return text.pick_channels(v, "v", "MMA8451Q")
 
 
+def write_matrices(spark: SparkSession, sf: str, root: str, width: int = 11) -> None:
+    """Both splits as signal, label and subject files; the 64 values and two zeros fill six signals."""
+    rows = wn(spark, sf).withColumn("v", F.concat(F.col("x")[0], F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>")))
+    for split in ("train", "test"):
+        part = rows.filter(F.col("split") == split).repartitionByRange("win_id").sortWithinPartitions("win_id")
+        folder = f"{root}/{split}"
+        for i, s in enumerate(text.SIGNALS):
+            line = F.concat_ws(" ", F.slice("v", width * i + 1, width).cast("array<string>"))
+            part.select(F.concat(F.lit("  "), line)).write.text(f"{folder}/Inertial Signals/{s}{split}.txt")
+        part.select((F.col("y") + 1).cast("string")).write.text(f"{folder}/y_{split}.txt")
+        part.select((F.col("domain") + 1).cast("string")).write.text(f"{folder}/subject_{split}.txt")
+
+
+_LINES = ", ln AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY win_id) - 1 AS line FROM wn)\n"
+
+
 @query(
     "s5_window_matrices",
-    with_(WN)
-    + """SELECT row_number() OVER (ORDER BY win_id) - 1 AS win_id, split, y, domain,
-  round(list_sum([CAST(v AS DOUBLE) FOR v IN x[1:60]]), 6) AS total, x[11] AS first_of_second FROM wn WHERE split = 'train'""",
+    with_(WN) + _LINES + """SELECT line AS win_id, split, y, domain, round(list_sum([CAST(v AS DOUBLE) FOR v IN x]), 6) AS total, x[12] AS first_of_second FROM ln""",
 )
 def s5_window_matrices(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "matrices")
-    rows = wn(spark, sf).filter("split = 'train'")
-    rows = rows.repartitionByRange("win_id").sortWithinPartitions("win_id")
-    folder = f"{root}/train"
-    for i, s in enumerate(text.SIGNALS):
-        part = F.slice(F.col("x")[0], 10 * i + 1, 10).cast("array<string>")
-        rows.select(F.concat(F.lit("  "), F.concat_ws(" ", part))).write.text(f"{folder}/Inertial Signals/{s}train.txt")
-    rows.select((F.col("y") + 1).cast("string")).write.text(f"{folder}/y_train.txt")
-    rows.select((F.col("domain") + 1).cast("string")).write.text(f"{folder}/subject_train.txt")
-    w = text.read_window_set(spark, root, "train", length=10)
+    write_matrices(spark, sf, root)
+    w = text.read_window_set(spark, root, "train", length=11).unionByName(text.read_window_set(spark, root, "test", length=11))
     total = F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, v: a + v.cast("double"))
     return w.select("win_id", "split", "y", "domain", F.round(total, 6).alias("total"), F.col("x")[1][0].alias("first_of_second"))
 
 
-@query("s6_official_union", with_(WN) + "SELECT win_id, split, y, domain, x[1] AS first FROM wn")
+@query("s6_official_union", with_(WN) + _LINES + "SELECT split || ':' || CAST(line AS VARCHAR) AS win_id, split, y, domain, x[1] AS first FROM ln")
 def s6_official_union(spark: SparkSession, sf: str) -> DataFrame:
-    w = wn(spark, sf)
-    parts = [w.filter(F.col("split") == s).drop("split").withColumn("split", F.lit(s)) for s in ("train", "test")]
-    return parts[0].unionByName(parts[1]).select("win_id", "split", "y", "domain", F.col("x")[0][0].alias("first"))
+    root = scratch(spark, "matrices")
+    write_matrices(spark, sf, root)
+    return text.read_official(spark, root, length=11).select("win_id", "split", "y", "domain", F.col("x")[0][0].alias("first"))
 
 
 @query(
@@ -209,7 +216,7 @@ def s10_reuse_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "s11_prepared_archive",
-    with_(WN) + "SELECT domain, count(*) AS n FROM wn WHERE split = 'train' GROUP BY domain",
+    with_(WN) + "SELECT split, domain, count(*) AS n, round(sum(list_sum([CAST(v AS DOUBLE) FOR v IN x])), 4) AS total FROM wn GROUP BY split, domain",
 )
 def s11_prepared_archive(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "prepared")
@@ -217,7 +224,8 @@ def s11_prepared_archive(spark: SparkSession, sf: str) -> DataFrame:
     build = lambda: wn(spark, sf)
     store.load_or_build(spark, path, config, ("train", "test"), build)
     again = store.load_or_build(spark, path, config, ("train", "test"), lambda: spark.range(0))
-    return again.filter("split = 'train'").groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum(F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, v: a + v.cast("double")))
+    return again.groupBy("split", "domain").agg(F.count(F.lit(1)).alias("n"), F.round(total, 4).alias("total"))
 
 
 @query(
@@ -236,11 +244,11 @@ def s12_csv_report(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.option("header", True).option("escape", "\\").schema("run string, rows string, parts string").csv(path)
 
 
-@query("s13_json_rows", with_(WN) + "SELECT win_id, y, x[1:3] AS head FROM wn")
+@query("s13_json_rows", with_(WN) + "SELECT win_id, y, x AS v FROM wn")
 def s13_json_rows(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "json")
-    store.save_rows_json(wn(spark, sf).select("win_id", "y", F.slice(F.col("x")[0], 1, 3).alias("head")), path)
-    return spark.read.schema("win_id bigint, y int, head array<float>").json(path)
+    store.save_rows_json(wn(spark, sf).select("win_id", "y", F.col("x")[0].alias("v")), path)
+    return spark.read.schema("win_id bigint, y int, v array<float>").json(path)
 
 
 def write_runs(spark: SparkSession, sf: str, root: str) -> None:

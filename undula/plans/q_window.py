@@ -194,17 +194,8 @@ def w10_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
 FROM st JOIN mr ON st.rec_id = mr.rec_id AND idx >= start AND idx < start + 410 GROUP BY st.rec_id, start""",
 )
 def w11_window_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples are sent straight to the (at most two) windows that hold them; aggregates combine map-side."""
-    m = mr(spark, sf).select("rec_id", "idx", "c1")
-    first = F.greatest(F.floor((F.col("idx") - WIN) / HOP) + 1, F.lit(0))
-    hit = m.withColumn("k", F.explode(F.sequence(first, F.floor(F.col("idx") / HOP))))
-    c = F.col("c1").cast("double")
-    return (
-        hit.groupBy("rec_id", (F.col("k") * HOP).cast("bigint").alias("start"))
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"), F.max("c1").alias("top"))
-        .filter(F.col("n") == WIN)
-        .drop("n")
-    )
+    w = segment.window_statistics(mr(spark, sf), ["rec_id"], "c1", WIN, HOP)
+    return w.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 @query(
@@ -263,17 +254,16 @@ def r4_hold_resample(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "r5_cubic_resample",
     with_(WN)
-    + """, z AS (SELECT win_id, unnest([0, 21, 42, 63]) AS i, x FROM wn)
-SELECT win_id, CAST(i // 21 AS INT) AS knot, x[i + 1] AS sample, 0.0::DOUBLE AS off FROM z""",
+    + """, z AS (SELECT win_id, unnest(range(64)) AS i, x FROM wn)
+SELECT win_id, CAST(i AS INT) AS knot, x[i + 1] AS sample, 0.0::DOUBLE AS off FROM z""",
 )
 def r5_cubic_resample(spark: SparkSession, sf: str) -> DataFrame:
-    """The spline at out_len 64 must return the samples themselves; the values between knots are tested
+    """The spline at out_len 64 must return all samples themselves; the values between knots are tested
     against polynomials in the test suite."""
     w = wn(spark, sf).select("win_id", F.col("x").alias("raw"), "x")
     c = resample.resample_windows(w, 64, 64, "cubic")
-    knots = F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("knot")
-    at = F.col("knot") * 21
-    k = c.select("win_id", "raw", "x", knots)
+    k = c.select("win_id", "raw", "x", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("knot"))
+    at = F.col("knot")
     off = F.round(F.abs(F.col("x")[0][at] - F.col("raw")[0][at]).cast("double"), 5)
     return k.select("win_id", "knot", F.col("raw")[0][at].alias("sample"), off.alias("off"))
 
@@ -390,8 +380,8 @@ def e4_level_crossing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e5_window_offset", with_(WN) + "SELECT win_id, x[1] AS off FROM wn")
 def e5_window_offset(spark: SparkSession, sf: str) -> DataFrame:
-    """Read by projection; the encoder also emits it as ``offset``."""
-    return wn(spark, sf).select("win_id", F.col("x")[0][0].alias("off"))
+    """The offset that the encoder emits with its events."""
+    return encode.encode_windows(wn(spark, sf).select("win_id", "x"), 0.05).select("win_id", F.col("offset")[0].alias("off"))
 
 
 @query(
