@@ -41,6 +41,17 @@ def test_runs_without_sample_counts_stay(spark):
     assert {(r.run, r.n_samples, r.dense_macs_per_sample) for r in rep.filter("level = 'run'").collect()} == {("a", 4, 2.5), ("b", 1, 10.0)}
 
 
+def test_comparison_has_groups_rates_and_dataset(spark):
+    calls = [("a", "l1", "g", "spiking_conv1d", 10.0, 1, 2, 3, 4), ("a", "l2", "h", "dense_linear", 6.0, 1, 2, 1, 4), ("b", "l2", "h", "dense_linear", 8.0, 1, 2, 0, 0)]
+    c = spark.createDataFrame(calls, "run string, layer string, group string, kind string, macs double, input_nonzero long, input_numel long, lif_nonzero long, lif_numel long")
+    lay = energy.with_energy(energy.layer_totals(c))
+    rep = energy.energy_report(lay, spark.createDataFrame([("a", 2)], "run string, n_samples long"))
+    conf = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z")], "run string, seed int, dataset string")
+    got = {r.run: r for r in energy.run_comparison(rep, conf, spark.createDataFrame([("a", 0.5)], "run string, acc double"), ["seed"], layers=lay).collect()}
+    assert (got["a"].dataset, got["a"].test_acc, got["a"].g_dense_macs, got["a"].h_dense_macs, got["a"].h_compute, got["a"].l1_rate) == ("x", 0.5, 10.0, 6.0, 3.0, 0.75)
+    assert (got["b"].n_samples, got["b"].h_dense_macs, got["b"].g_dense_macs) == (1, 8.0, None) and got["c"].dense_macs is None
+
+
 def test_starts_off_the_grid_are_refused(spark):
     w = spark.createDataFrame([("r", 3)], "k string, start long")
     spans = spark.createDataFrame([("r", "transition", 0.0, 9.0)], "k string, kind string, t0 double, t1 double")

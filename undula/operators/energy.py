@@ -84,14 +84,21 @@ def ranked_runs(report: DataFrame, by: str = "energy_compute_per_sample") -> Dat
     return report.orderBy(F.when(F.isnan(by), None).otherwise(F.col(by)).asc_nulls_last(), "run")
 
 
-def run_comparison(reports: DataFrame, config: DataFrame, metrics: DataFrame, config_keys: Sequence[str], run: str = "run") -> DataFrame:
-    """One row per run: chosen config keys, ``test_`` metrics, run totals, and totals per group."""
+def run_comparison(
+    reports: DataFrame, config: DataFrame, metrics: DataFrame, config_keys: Sequence[str], run: str = "run", layers: DataFrame | None = None, dataset: str = "dataset"
+) -> DataFrame:
+    """One row per run: chosen config keys, ``test_`` metrics, run totals, and all totals per group
+    (``<group>_<total>``; ``<group>_compute`` and ``<group>_total`` are energies per sample).
+
+    With ``layers`` (rows of ``with_energy``), also ``<layer>_rate``, the layer's output rate. The
+    configuration's ``dataset`` comes along where it has one.
+    """
 
     def plain(df: DataFrame, c: str) -> Column:
         nested = df.schema[c].dataType.typeName() in ("array", "struct", "map")
         return F.to_json(c).alias(c) if nested else F.col(c)
 
-    have = [c for c in config_keys if c in config.columns]
+    have = [c for c in dict.fromkeys([*config_keys, dataset]) if c in config.columns]
     conf = config.select(run, *[plain(config, c) for c in have])
     test = metrics.select(run, *[plain(metrics, c).alias(c if c.startswith("test_") else f"test_{c}") for c in metrics.columns if c != run])
     totals = reports.filter("level = 'run'").drop("level", "group", "layer")
@@ -99,6 +106,10 @@ def run_comparison(reports: DataFrame, config: DataFrame, metrics: DataFrame, co
         reports.filter("level = 'group'")
         .groupBy(run)
         .pivot("group")
-        .agg(F.first("energy_compute_per_sample").alias("compute"), F.first("energy_total_per_sample").alias("total"))
+        .agg(F.first("energy_compute_per_sample").alias("compute"), F.first("energy_total_per_sample").alias("total"), *[F.first(c).alias(c) for c in TOTALS])
     )
-    return conf.join(test, run, "left").join(totals, run, "left").join(groups, run, "left")
+    out = conf.join(test, run, "left").join(totals, run, "left").join(groups, run, "left")
+    if layers is not None:
+        rates = layers.withColumn("__name", F.concat("layer", F.lit("_rate"))).groupBy(run).pivot("__name").agg(F.first("lif_output_rate"))
+        out = out.join(rates, run, "left")
+    return out
