@@ -94,9 +94,10 @@ def st3_hysteresis_stream(spark: SparkSession, sf: str) -> DataFrame:
     "st4_event_time_counts",
     """WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * k AS start, event_type FROM events, range(2) r(k)),
 c AS (SELECT start, start + INTERVAL 12 HOUR AS stop, event_type, count(*) AS n FROM w GROUP BY ALL)
-SELECT CAST(epoch_us(start) AS BIGINT) AS start_us, event_type, n FROM c WHERE stop <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+SELECT CAST(epoch_us(start) AS BIGINT) AS start_us, event_type, n FROM c""",
 )
 def st4_event_time_counts(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    e = e.unionByName(stateful.closing_row(e, "ts", "13 hours"))
     c = drain(spark, e, "ts", lambda s: stateful.windowed_counts(s, "ts", ["event_type"], "12 hours", "6 hours"))
     return c.select(F.unix_micros("start").alias("start_us"), "event_type", "n")

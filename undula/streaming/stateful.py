@@ -80,6 +80,15 @@ def hysteresis_stream(df: DataFrame, keys: Sequence[str], seq: str, on: float, o
     return _keyed(df, keys, seq, step, "state int")
 
 
+def closing_row(df: DataFrame, ts: str, wait: str) -> DataFrame:
+    """One row ``wait`` after the last one, all else null: at the end of a bounded run it moves the watermark
+    past all windows that hold rows, so these are emitted. ``wait`` is the window's length plus the lateness
+    allowed; the row's own windows stay open and never appear."""
+    last = df.agg(F.max(F.col(ts)).alias(ts)).withColumn(ts, F.col(ts) + F.expr(f"INTERVAL {wait}"))
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != ts]
+    return last.select(ts, *others).select(*df.columns)
+
+
 def windowed_counts(
     df: DataFrame, ts: str, by: Sequence[str], length: str, slide: str | None = None, late: str = "10 minutes"
 ) -> DataFrame:
