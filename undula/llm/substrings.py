@@ -33,8 +33,10 @@ from undula.session import ship_package, stage
 WINDOW, GRAM = 50, 16
 SPAN = WINDOW - GRAM + 1  # anchors that compete in a window
 PIECE = 1 << 19  # bytes of a text that are hashed at once
-FLUSH = 1_000_000  # anchors that a task gathers before it sends them
-BUCKET_BYTES = 24_000_000  # bytes of text whose anchors share a bucket, about
+FLUSH = 500_000  # anchors that a task gathers before it sends them
+BUCKET_BYTES = 6_000_000  # bytes of text whose anchors share a bucket, about
+PARTITIONS = 20_000  # most tasks of the bucket step; beyond, a task streams through several buckets
+ROW_ANCHORS = 16_384  # anchors in one row between tasks
 HOT_DOCS = 50_000  # anchors in more documents are resolved window by window
 SEEN = 150_000  # contexts that a task remembers
 CHUNK = 25_000  # contexts that are resolved at once
@@ -99,13 +101,13 @@ def _blobs(buckets: int):
         h, doc = h[keep], doc[keep]
         same = np.concatenate(([False], h[1:] == h[:-1]))
         both = same | np.append(same[1:], False)
-        rows = [(-1, h[both], doc[both])]
+        rows = [(-1, h[both][i : i + ROW_ANCHORS], doc[both][i : i + ROW_ANCHORS]) for i in range(0, int(both.sum()), ROW_ANCHORS)]
         h, doc = h[~same], doc[~same]
         bucket = ((h.view(np.uint64) >> np.uint64(33)).astype(np.int64) * buckets) >> 31
         order = np.lexsort((h, bucket))
         h, doc, bucket = h[order], doc[order], bucket[order]
         edge = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)]))
-        rows += [(int(bucket[a]), h[a:b], doc[a:b]) for a, b in zip(edge, edge[1:], strict=False) if b > a]
+        rows += [(int(bucket[a]), h[i : min(b, i + ROW_ANCHORS)], doc[i : min(b, i + ROW_ANCHORS)]) for a, b in zip(edge, edge[1:], strict=False) for i in range(a, b, ROW_ANCHORS)]
         return pa.record_batch(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
             names=["bucket", "hashes", "rows"],
@@ -414,7 +416,7 @@ def repeats(docs: DataFrame, hot_docs: int = HOT_DOCS, bucket_bytes: int = BUCKE
     buckets = max(parts, -(-size // bucket_bytes))
     blobs = d.select("row", "text").mapInArrow(_blobs(buckets), "bucket bigint, hashes binary, rows binary")
     key = F.when(F.col("bucket") < 0, F.xxhash64("hashes")).otherwise(F.col("bucket"))
-    blobs = blobs.withColumn("key", key).repartition(buckets, "key").sortWithinPartitions("bucket").drop("key")
+    blobs = blobs.withColumn("key", key).repartition(min(buckets, max(parts, PARTITIONS)), "key").sortWithinPartitions("bucket").drop("key")
     found = stage(blobs.mapInArrow(_shared, "row bigint, h bigint"), "anchors")
     del blobs
     _free(spark)

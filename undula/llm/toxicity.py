@@ -46,16 +46,31 @@ def grams(data: bytes) -> Iterator[np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, toxic, ordinary) counts of a task's texts."""
-    total = np.zeros((2, 1 << (ORDER * BITS)), np.int32)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # (2 * key + label, count), merged when they grow
+    size = 0
+
+    def merge() -> None:
+        nonlocal held, size
+        if held:
+            k, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            u, at = np.unique(k, return_inverse=True)
+            held = [(u, np.bincount(at, weights=n).astype(np.int64))]
+            size = 0
+
     for b in batches:
         for text, y in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
             for k in grams(text.as_py() or b""):
                 u, n = np.unique(k, return_counts=True)
-                total[y, u] += n.astype(np.int32)
-    keys = np.flatnonzero(total.any(axis=0))
-    for i in range(0, len(keys), 100_000):
-        k = keys[i : i + 100_000]
-        yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(total[1, k].astype(np.int64)), pa.array(total[0, k].astype(np.int64))], names=["key", "toxic", "ordinary"])
+                held.append((u * 2 + y, n))
+                size += len(u)
+            if size > 1_000_000:
+                merge()
+    merge()
+    for k, n in held:
+        for i in range(0, len(k), 100_000):
+            key, toxic = k[i : i + 100_000] >> 1, (k[i : i + 100_000] & 1).astype(bool)
+            c = n[i : i + 100_000]
+            yield pa.record_batch([pa.array(key.astype(np.int32)), pa.array(np.where(toxic, c, 0)), pa.array(np.where(toxic, 0, c))], names=["key", "toxic", "ordinary"])
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
