@@ -49,7 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target and taken."""
     m = mixing.mixed(docs).filter("taken > 0").withColumnRenamed("doc_id", "__d")
     m = m.groupBy("__d").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    return docs.join(m, F.col("doc_id").eqNullSafe(F.col("__d"))).drop("__d")
+    # one row per document: it grows with the documents and is never broadcast
+    return docs.join(m.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d"))).drop("__d")
 
 
 STAGES = [
