@@ -45,6 +45,23 @@ def test_held_out_rows_are_told_apart(spark):
     assert by[9001] == by[9002] and len([r for r in got if r.doc_id == 5]) == 2
 
 
+def test_the_counts_are_of_all_labelled_rows(spark):
+    docs, labels = corpus()
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    counts = Counter()
+    for (i, text, *_), (_, y) in zip(docs, labels, strict=True):
+        if 0 < zlib.crc32(str(i).encode()) % 5 < 4:
+            for k in toxicity.grams(text.encode()):
+                counts.update((int(x), y) for x in k)
+    keys = {k for k, _ in counts}
+    rows = [(k, counts[k, 1], counts[k, 0]) for k in sorted(keys)]
+    want = toxicity.Model(toxicity.log_ratios(spark.createDataFrame(rows, "key int, toxic bigint, ordinary bigint")))
+    got = toxicity.fit(d, lab, rows=60)[0].value
+    contexts = np.flatnonzero(want.row)
+    assert (np.flatnonzero(got.row) == contexts).all()
+    assert np.allclose(got.table[got.row[contexts]], want.table[want.row[contexts]], atol=1e-5)
+
+
 def test_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     d = spark.createDataFrame([(1, "abc", None, None)], DOCS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from undula.session import stage
 
-SAMPLE_ROWS = 200_000  # most labelled rows that a classifier is fitted on (16 bytes each when broadcast)
+SAMPLE_ROWS = 200_000  # most labelled rows that a classifier's curve is fitted on (16 bytes each when broadcast)
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -15,6 +15,15 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0)).cast("int")
 
 
+def labelled(labels: DataFrame, label: str, keep: Column, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, y): every labelled id for which ``keep`` holds, as a written table.
+
+    Null ids and labels are left out; of repeated ids the largest label counts.
+    """
+    d = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & keep)
+    return stage(d.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y")), "labelled")
+
+
 def sample(labels: DataFrame, label: str, keep: Column, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, y): at most about ``rows`` labelled ids for which ``keep`` holds, chosen by a hash of the id.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm.batches import bound_batches
-from undula.llm.labelled import SAMPLE_ROWS, fold, sample
+from undula.llm.labelled import SAMPLE_ROWS, fold, labelled, sample
 from undula.session import ship_package, stage
 
 ORDER, BITS = 5, 5
@@ -161,19 +161,24 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS):
-    """(broadcast Model, curve) from the labelled rows whose fold is not 0, at most ``rows`` of them.
+    """(broadcast Model, curve) from the labelled rows whose fold is not 0.
 
-    Only the raw scores of the last fold, three numbers a row, come to the driver. The labelled ids go to the texts, never the texts to the labels: a scan with one broadcast join.
+    The model counts every labelled row but those of the last fold, which are for the curve: at most ``rows``
+    of them, whose raw scores, three numbers a row, are all that comes to the driver. The counted texts meet
+    their labels in a shuffled join, since labels grow with the input; the curve's ids are bounded and go to
+    the texts.
     """
     spark = docs.sparkSession
     ship_package(spark)
     bound_batches(spark)
-    ids = F.broadcast(sample(labels, label, fold(F.col("doc_id"), FOLDS) != 0, rows))
-    seen = docs.select("doc_id", "text").join(ids, "doc_id").select("text", "y", fold(F.col("doc_id"), FOLDS).alias("fold"))
-    counted = seen.filter(F.col("fold") < FOLDS - 1).select("text", "y").mapInArrow(_count, "key int, toxic bigint, ordinary bigint")
+    texts, part = docs.select("doc_id", "text"), fold(F.col("doc_id"), FOLDS)
+    counting = (part > 0) & (part < FOLDS - 1)
+    counted = texts.filter(counting).join(labelled(labels, label, counting).hint("merge"), "doc_id").select("text", "y")
+    counted = counted.mapInArrow(_count, "key int, toxic bigint, ordinary bigint")
     counts = stage(counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
     model = spark.sparkContext.broadcast(Model(log_ratios(counts)))
-    rest = with_raw(seen.filter(F.col("fold") == FOLDS - 1).select("text", "y"), model).toArrow()
+    ids = F.broadcast(sample(labels, label, part == FOLDS - 1, rows))
+    rest = with_raw(texts.join(ids, "doc_id").select("text", "y"), model).toArrow()
     x = np.array(rest["raw"].to_pylist()).reshape(-1, 1 + len(STRETCHES))
     order = np.lexsort(x.T)  # rows come in any order; sums must not depend on it
     return model, fit_curve(x[order], rest["y"].to_numpy()[order].astype(float))
