@@ -5,10 +5,16 @@
 3. repeated_passages: bytes that repeat an earlier document go; so does a document of which nothing is left.
 4. decontamination: documents that hold a passage of the benchmark go.
 5. mixing: documents that the mix takes, with the words taken from each (repeats counted).
+
+Documents may have other columns of any name: they pass through all stages unchanged. Where mixing adds a
+column that a document has, the document's is renamed with ``doc_`` before it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +26,44 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+READ = ("doc_id", "text", "source", "n_chars")  # columns that the stages read
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def beside(names: list[str], added: list[str]) -> list[str]:
+    """``names`` with ``doc_`` before those that ``added`` has too, as often as it takes to be unlike all others."""
+    clash, used, out = {c.lower() for c in added}, {c.lower() for c in [*names, *added]}, []
+    for c in names:
+        if c.lower() in clash:
+            while c.lower() in used:
+                c = f"doc_{c}"
+            used.add(c.lower())
+        out.append(c)
+    return out
+
+
+def whole_rows(fn: Stage) -> Stage:
+    """A stage inside which the columns that no stage reads have reserved names, so that operators cannot touch them."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = [c if c.lower() in READ else f"__column_{i}" for i, c in enumerate(docs.columns)]
+        out = fn(spark, docs.toDF(*held), sf_dir)
+        added = out.columns[len(held) :]
+        return out.toDF(*beside(docs.columns, added), *added)
+
+    return run
+
+
+@whole_rows
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are predicted ordinary."""
     fitted = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.with_scores(docs, fitted).filter("predicted = 0").select(*docs.columns)
 
 
+@whole_rows
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document that its component is named after; rows that repeat an id stay together, and rows
     without an id stay."""
@@ -33,6 +71,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(stage(gone, "near_duplicates"), "doc_id", "left_anti").select(*docs.columns)
 
 
+@whole_rows
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated bytes out of the texts; what is left of a character that was cut through goes too."""
     d = substrings.without_repeats(docs, as_text=True).filter("n_removed = 0 OR n_removed < n_bytes")
@@ -40,11 +79,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return d.select(*docs.columns)
 
 
+@whole_rows
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents without a word inside a benchmark window."""
     return decontaminate.annotated(docs, _table(spark, sf_dir, "benchmark")).filter("n_hit = 0").select(*docs.columns)
 
 
+@whole_rows
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target and taken."""
     m = mixing.mixed(docs).filter("taken > 0").withColumnRenamed("doc_id", "__d")

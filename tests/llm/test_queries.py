@@ -55,3 +55,24 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert cp.mix(spark, docs, str(tmp_path)).count() <= len(data)
     assert cp.drop_toxic(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).count() == len(rows)
     assert cp.drop_contaminated(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).count() == len(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = "raw Score predicted kept n_bytes n_removed n_spans items n_words n_hit spans size source_size target taken doc_size fp row h __d __r __row __text __spans __bits __s __column_4".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat_ws("-", F.lit(c), "doc_id", F.lit(i)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    of = lambda d, cols: {r.doc_id: [r[c] for c in cols] for r in d.select("doc_id", *cols).collect()}
+    want = of(docs, names)
+    for n, (name, stage) in enumerate(cp.STAGES, 1):
+        out = stage(spark, docs, SF)
+        out.write.parquet(f"{tmp_path}/{n}")
+        out = spark.read.parquet(f"{tmp_path}/{n}")
+        there = names if name != "mixing" else ["doc_doc_size" if c == "size" else f"doc_{c}" if c in ("source_size", "target", "taken") else c for c in names]
+        got = of(out, there)
+        assert got and all(got[i] == want[i] for i in got), name
+    assert [c for c in out.columns if c not in docs.columns] == ["doc_doc_size", "doc_source_size", "doc_target", "doc_taken"]
+    plain = of(cp.mix(spark, docs.drop(*names), SF), ["size", "source_size", "target", "taken"])
+    assert of(out, ["size", "source_size", "target", "taken"]) == plain
