@@ -25,3 +25,14 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_training_rows_read_every_interval(spark):
+    from undula.plans.bindings import iv
+    from undula.plans.q_tag import KINDS, blocked_spans
+
+    spans = blocked_spans(spark, SF)
+    assert spans.count() == iv(spark, SF).count()
+    assert {r.kind for r in spans.select("kind").distinct().collect()} == set(KINDS)
+    rows = entry.queries()["m6_all_intervals"](spark, SF).collect()
+    assert any(r.clear_pt for r in rows) and any(r.clear_sp for r in rows)

@@ -31,6 +31,10 @@ THIN = (
     "(kind = 'transition' AND floor(floor(t0) / 24) % 2 = 0) OR (kind = 'no_transition' AND floor(floor(t0) / 24) % 2 = 1) "
     "OR (kind = 'ambiguous' AND floor(t0) % 16 = 3)"
 )
+# All intervals, each of the kind of the block of 32 samples that it starts in, few undecided: so clear windows appear.
+BLOCK_KIND = (
+    "CASE WHEN floor(t0) % 64 = 3 THEN 'ambiguous' WHEN floor(floor(t0) / 32) % 2 = 0 THEN 'transition' ELSE 'no_transition' END"
+)
 GAUSS = """, gs AS (SELECT e.rec_id, e.idx, coalesce(max(exp(-0.5::DOUBLE * ((idx - (t0 + t1) / 2) / greatest((t1 - t0) * 0.4::DOUBLE, 1.0)) ** 2)), 0) AS g
   FROM ev e LEFT JOIN iv i ON i.rec_id = e.rec_id AND i.kind = 'transition' AND e.idx >= t0 AND e.idx <= t1 GROUP BY e.rec_id, e.idx),
 gw AS (SELECT st.rec_id, start, avg(g) AS g_mean, max(g) AS g_max, max(CASE WHEN idx = start + 8 THEN g END) AS g_mid, quantile_cont(g, 0.8) AS g_q
@@ -139,6 +143,25 @@ def m6_training_rows(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.clear_rows(c, WIN, "q").select("rec_id", "start", "clear_pt", "clear_sp")
 
 
+def blocked_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Every interval, with the kind of its block."""
+    return spans_of(spark, sf).withColumn("kind", F.expr(BLOCK_KIND))
+
+
+@query(
+    "m6_all_intervals",
+    with_(EV, IV)
+    + GRID_STARTS
+    + MARKS.replace("SELECT rec_id, kind,", f"SELECT rec_id, {BLOCK_KIND} AS kind,", 1)
+    + """, c AS (SELECT rec_id, start, qt >= 0.5 AND qn <= 0.05 AND am / 16.0::DOUBLE <= 0.1 AS clear_pt, qn >= 0.6 AND qt <= 0.05 AND am / 16.0::DOUBLE <= 0.1 AS clear_sp FROM cov WHERE y = 2)
+SELECT * FROM c WHERE clear_pt OR clear_sp""",
+)
+def m6_all_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    ranges = intervals.sample_ranges(blocked_spans(spark, sf), 1.0)
+    c = intervals.window_coverage(ev_grid(spark, sf).filter("y = 2"), ranges, ["rec_id"], WIN, HOP, KINDS)
+    return jobs.clear_rows(c, WIN, "q").select("rec_id", "start", "clear_pt", "clear_sp")
+
+
 # -- features -----------------------------------------------------------------------------------
 
 PADDED = MR_LEN + PAD_SQL + """, s AS (SELECT pst.rec_id, start, p - start AS i, c0::DOUBLE AS a0, c1::DOUBLE AS a1, c2::DOUBLE AS a2, c3::DOUBLE AS b0, c4::DOUBLE AS b1, c5::DOUBLE AS b2
