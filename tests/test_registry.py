@@ -36,3 +36,11 @@ def test_training_rows_read_every_interval(spark):
     assert {r.kind for r in spans.select("kind").distinct().collect()} == set(KINDS)
     rows = entry.queries()["m6_all_intervals"](spark, SF).collect()
     assert any(r.clear_pt for r in rows) and any(r.clear_sp for r in rows)
+
+
+def test_the_resample_grid_comes_from_the_resampler(spark, monkeypatch):
+    from undula.plans import q_window
+
+    real = q_window.resample.resample_windows
+    monkeypatch.setattr(q_window.resample, "resample_windows", lambda df, i, o, *a: real(df, i, o // 2, *a))
+    assert {r.g for r in entry.queries()["r2_resample_grid"](spark, SF).collect()} == set(range(160))

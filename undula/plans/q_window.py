@@ -232,13 +232,19 @@ def up_long(df: DataFrame) -> DataFrame:
     with_(WN) + GRID + """SELECT g, lo, hi, a AS alpha, count(*) AS windows FROM wn, ga GROUP BY g, lo, hi, a""",
 )
 def r2_resample_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The grid read off a resampled ramp that every window carries along."""
-    from undula.operators.kernels import output_grid
-
-    t = output_grid(64, 320)
-    rows = [(g, int(v), min(int(v) + 1, 63), float(v) - int(v)) for g, v in enumerate(t)]
-    grid = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(a).cast("float").alias("alpha")) for g, lo, hi, a in rows])
-    return wn(spark, sf).select(F.explode(grid).alias("p")).groupBy("p.g", "p.lo", "p.hi", "p.alpha").agg(F.count(F.lit(1)).alias("windows"))
+    """The grid read off each window's own resampled ramp of sample numbers.
+
+    Beside the ramp run two saw-tooth channels that rise by 1 from even or from odd samples: after the lower
+    sample of a grid point, one of them gives alpha without rounding.
+    """
+    n = F.size(F.col("x")[0])
+    ramp = F.sequence(F.lit(0), n - 1)
+    channels = [F.transform(ramp, f) for f in (lambda i: i.cast("float"), lambda i: (i % 2).cast("float"), lambda i: (1 - i % 2).cast("float"))]
+    up = resample.resample_windows(wn(spark, sf).select(n.alias("n"), F.array(*channels).alias("x")), 64, 320)
+    p = up.select("n", F.posexplode(F.arrays_zip(F.col("x")[0].alias("at"), F.col("x")[1].alias("even"), F.col("x")[2].alias("odd"))).alias("g", "p"))
+    p = p.withColumn("lo", F.floor("p.at").cast("int"))
+    p = p.withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1)).withColumn("alpha", F.when(F.col("lo") % 2 == 0, F.col("p.even")).otherwise(F.col("p.odd")))
+    return p.groupBy("g", "lo", "hi", "alpha").agg(F.count(F.lit(1)).alias("windows"))
 
 
 @query("r3_linear_resample", with_(WN) + GRID + "SELECT win_id, CAST(g AS INT) AS g, v FROM up")
