@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES} and "pipeline" in entry.queries()
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES} and "pipeline" in entry.queries()
 
 
 def test_pipeline_stages(spark):
