@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from undula.operators import kernels as K
 from undula.operators.sequence import Run, explode_range, prefixes
-from undula.session import ship_package
+from undula.operators.spline import segment_value, spline_segments
+from undula.session import ship_package, stage
 
 METHODS = ("linear", "zoh", "cubic")
 
@@ -56,12 +57,16 @@ def at_times(
     """Value of ``source`` at the times of ``target``; ``target``'s columns plus ``value``.
 
     ``linear`` interpolates between the neighbours and holds the ends; ``zoh`` takes the last sample
-    at or before t and the first sample for earlier times. Ties are ordered by ``seq``. Times are cut
-    into spans of ``width``, so one key's timeline is spread over many tasks.
+    at or before t and the first sample for earlier times. Ties are ordered by ``seq``. ``cubic`` follows the
+    spline through a key's samples, also outside them (straight lines under four samples), and needs times
+    that differ. Times are cut into spans of ``width``, so one key's timeline is spread over many tasks.
     """
-    if method not in ("linear", "zoh"):
-        raise ValueError("method must be linear or zoh")
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
     point = F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))
+    if method == "cubic":
+        # written once: the lookup reads it twice, and it must not be solved twice
+        source, point = stage(spline_segments(source, keys, t, value, seq, width), "spline"), F.col("segment")
     src = source.select(*keys, F.col(t), F.lit(0).alias("__kind"), F.col(seq).cast("bigint").alias("__seq"), point.alias("__pt"))
     extra = [c for c in target.columns if c not in {*keys, t}]
     dst = target.select(
@@ -75,6 +80,9 @@ def at_times(
         "__b": Run("last", F.col("__pt"), inclusive=False, descending=True),
     }
     line = prefixes(line, keys, order, F.floor(F.col(t) / width), runs)
+    if method == "cubic":
+        at = segment_value(F.coalesce("__a", "__b"), F.col(t).cast("double"))
+        return line.filter("__kind = 1").select(*keys, t, *extra, at.alias(value))
     held = F.coalesce(F.col("__a.v"), F.col("__b.v"))
     if method == "linear":
         slope = (F.col("__b.v") - F.col("__a.v")) / (F.col("__b.t") - F.col("__a.t"))
