@@ -314,17 +314,23 @@ cv AS (SELECT rec_id, target, (1 - b) * v0 + b * v1 + (((1 - b) * (1 - b) * (1 -
     "r6_at_times",
     with_(EV)
     + AT_SQL
-    + SPLINE_SQL
-    + """SELECT rec_id, target, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 ELSE (v1 - v0) / (t1 - t0) * (t - t0) + v0 END, 6) AS v,
-  round(sign(cubic) * ln(1 + abs(cubic)), 4) + 0 AS cubic_log FROM nxt JOIN cv USING (rec_id, target)""",
+    + """SELECT rec_id, target, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 ELSE (v1 - v0) / (t1 - t0) * (t - t0) + v0 END, 6) AS v FROM nxt""",
 )
 def r6_at_times(spark: SparkSession, sf: str) -> DataFrame:
     src, dst = times(spark, sf)
     out = resample.at_times(src, dst, ["rec_id"], "t", "v", "idx", width=86_400.0)
-    cubic = resample.at_times(src, dst, ["rec_id"], "t", "v", "idx", width=86_400.0, method="cubic")
-    log = F.round(F.signum("v") * F.log1p(F.abs("v")), 4) + 0.0  # values beyond the samples grow with the cube of the time
-    out = out.join(cubic.select("rec_id", "target", log.alias("cubic_log")), ["rec_id", "target"])
-    return out.select("rec_id", "target", F.round("v", 6).alias("v"), "cubic_log")
+    return out.select("rec_id", "target", F.round("v", 6).alias("v"))
+
+
+@query(
+    "r6_cubic_at_times",
+    with_(EV) + AT_SQL + SPLINE_SQL + "SELECT rec_id, target, round(sign(cubic) * ln(1 + abs(cubic)), 4) + 0 AS log_v FROM cv",
+)
+def r6_cubic_at_times(spark: SparkSession, sf: str) -> DataFrame:
+    """On a log scale, since values outside the samples grow with the cube of the time."""
+    src, dst = times(spark, sf)
+    out = resample.at_times(src, dst, ["rec_id"], "t", "v", "idx", width=86_400.0, method="cubic")
+    return out.select("rec_id", "target", (F.round(F.signum("v") * F.log1p(F.abs("v")), 4) + 0.0).alias("log_v"))
 
 
 @query("j8_as_of_lookup", with_(EV) + AT_SQL + "SELECT rec_id, target, coalesce(v0, v1) AS v FROM nxt")
