@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from undula.llm.batches import bound_batches
 from undula.session import ship_package, stage
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM, HEAD = 50, 16, 8
 SPAN = WINDOW - GRAM + 1  # anchors that compete in a window
 PIECE = 1 << 19  # bytes of a text that are hashed at once
 FLUSH = 500_000  # anchors that a task gathers before it sends them
@@ -224,7 +224,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Suffixes:
-    """Windows of contexts laid end to end, compared through prefix polynomial hashes."""
+    """Windows of contexts laid end to end, compared through prefix polynomial hashes. Groups to sort are windows that
+    begin with the same HEAD bytes."""
 
     def __init__(self, data: np.ndarray, offset: np.ndarray):
         self.data = data
@@ -233,21 +234,27 @@ class Suffixes:
         self.prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POW[self.place], out=self.prefix[1:])
         self.shift = _IPOW[self.place]
+        wide = np.concatenate((data, np.zeros(HEAD, np.uint8)))
+        self.head = np.zeros(len(data), np.uint64)  # the first HEAD bytes from each place on, as a number in byte order
+        for k in range(HEAD):
+            self.head |= wide[k : k + len(data)].astype(np.uint64) << np.uint64(8 * (HEAD - 1 - k))
 
     def hash(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         return (self.prefix[at + n] - self.prefix[at]) * self.shift[at]
 
     def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Is the window at ``a`` smaller than that at ``b``? Six probes find their common extension."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), WINDOW, np.int64)
-        while True:
+        """Is the window at ``a`` smaller than that at ``b``, which begins with the same HEAD bytes? Equal ones show in
+        one probe; else a binary search over the hashes finds the common extension, behind which they differ."""
+        out = np.zeros(len(a), bool)
+        i = np.flatnonzero(self.hash(a, WINDOW) != self.hash(b, WINDOW))
+        a, b = a[i], b[i]
+        lo, hi = np.full(len(a), HEAD, np.int64), np.full(len(a), WINDOW - 1, np.int64)
+        while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
             same = self.hash(a, mid) == self.hash(b, mid)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-            if not (lo < hi).any():
-                break
-        end = np.minimum(lo, WINDOW - 1)
-        return (lo < WINDOW) & (self.data[a + end] < self.data[b + end])
+        out[i] = self.data[a + lo] < self.data[b + lo]
+        return out
 
     def sort(self, at: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Order of the windows ``at`` within their groups, which begin at ``start``: a mergesort of all groups
@@ -288,21 +295,44 @@ class Suffixes:
         return out
 
 
-def repeated_windows(h: np.ndarray, doc: np.ndarray, d: np.ndarray, data: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ramp(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def first_equal(s: Suffixes, offset: np.ndarray, h: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """For each context the first one with the same anchor, place and bytes: by hash, then verified byte by byte."""
+    size = np.diff(offset)
+    whole = s.prefix[offset[1:]] - s.prefix[offset[:-1]]
+    key = _mixed(_mixed(whole ^ h.view(np.uint64)) + (d.astype(np.uint64) << np.uint64(32)) + size.astype(np.uint64))
+    order = np.argsort(key)
+    start = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    rep = np.empty(len(h), np.int64)
+    rep[order] = np.repeat(np.minimum.reduceat(order, start), np.diff(np.append(start, len(h))))
+    same = (h == h[rep]) & (d == d[rep]) & (size == size[rep])
+    i = np.flatnonzero(same & (rep != np.arange(len(h))))
+    if len(i):
+        step = _ramp(size[i])
+        equal = s.data[np.repeat(offset[i], size[i]) + step] == s.data[np.repeat(offset[rep[i]], size[i]) + step]
+        same[i] = np.logical_and.reduceat(equal, np.cumsum(size[i]) - size[i])
+    return np.where(same, rep, np.arange(len(h)))
+
+
+def repeated_windows(s: Suffixes, begin: np.ndarray, size: np.ndarray, h: np.ndarray, doc: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(context, window) of all windows that a context of a smaller document has too, contexts distinct."""
-    many = np.diff(offset) - WINDOW + 1
-    owner = np.repeat(np.arange(len(h)), many)
-    t = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    at, place = offset[:-1][owner] + t, d[owner] - t
-    order = np.lexsort((place, h[owner]))
-    owner, t, at, place = owner[order], t[order], at[order], place[order]
-    new = np.concatenate(([True], (h[owner][1:] != h[owner][:-1]) | (place[1:] != place[:-1])))
+    many = size - WINDOW + 1
+    owner, t = np.repeat(np.arange(len(h)), many), _ramp(many)
+    at, place = begin[owner] + t, d[owner] - t
+    # equal windows have the same anchor at the same place and the same head; windows alone with theirs are no repeats
+    group = _mixed(_mixed(s.head[at] ^ h[owner].view(np.uint64)) + place.astype(np.uint64))
+    order = np.argsort(group)
+    owner, t, at, group = owner[order], t[order], at[order], group[order]
+    new = np.concatenate(([True], group[1:] != group[:-1]))
     size = np.diff(np.append(np.flatnonzero(new), len(at)))
     keep = np.repeat(size > 1, size)
     owner, t, at, new = owner[keep], t[keep], at[keep], new[keep]
     if not len(at):
         return owner, t
-    s = Suffixes(data, offset)
     order = s.sort(at, np.flatnonzero(new))
     owner, t, at = owner[order], t[order], at[order]  # groups stay where they were
     joined = np.concatenate(([False], ~new[1:]))
@@ -331,18 +361,15 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(c.buffers()[2], np.uint8)[offset[0] : offset[-1]]
         offset = offset - offset[0]
         size = np.diff(offset)
-        # equal contexts: same hash, anchor, place and bytes; the first row of each has the smallest document
-        text = c.to_pylist()
-        place: dict[tuple, int] = {}
-        rep = np.fromiter((place.setdefault((a, b, x), i) for i, (a, b, x) in enumerate(zip(h.tolist(), d.tolist(), text, strict=True))), np.int64, len(h))
+        s = Suffixes(data, offset)
+        rep = first_equal(s, offset, h, d)  # it has the smallest document
         reps = np.unique(rep)
         whole = np.flatnonzero(doc > doc[rep])
         out = [(doc[whole], row[whole], first[whole], first[whole] + size[whole])]
         _, many = np.unique(h[reps], return_inverse=True)
         pick = reps[np.bincount(many)[many] > 1]
         if len(pick):
-            sub = np.concatenate([data[offset[i] : offset[i + 1]] for i in pick])
-            owner, win = repeated_windows(h[pick], doc[pick], d[pick], sub, np.concatenate(([0], np.cumsum(size[pick]))))
+            owner, win = repeated_windows(s, offset[pick], size[pick], h[pick], doc[pick], d[pick])
             order = np.lexsort((win, owner))
             owner, win = pick[owner[order]], win[order]
             if len(owner):
@@ -353,9 +380,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 twins = np.flatnonzero((doc == doc[rep]) & (rep != np.arange(len(h))))
                 by = np.argsort(o, kind="stable")
                 left, right = np.searchsorted(o[by], rep[twins], "left"), np.searchsorted(o[by], rep[twins], "right")
-                for i, x, y in zip(twins, left, right, strict=True):
-                    k = by[x:y]
-                    out.append((np.full(len(k), doc[i]), np.full(len(k), row[i]), first[i] + a[k], first[i] + b[k]))
+                many = right - left
+                k, i = by[np.repeat(left, many) + _ramp(many)], np.repeat(twins, many)
+                out.append((doc[i], row[i], first[i] + a[k], first[i] + b[k]))
                 fresh = o >= old
                 out.append((doc[o[fresh]], row[o[fresh]], (first[o] + a)[fresh], (first[o] + b)[fresh]))
         return spans(*(np.concatenate(x) for x in zip(*out, strict=True))), reps
