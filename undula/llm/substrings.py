@@ -224,8 +224,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Suffixes:
-    """Windows of contexts laid end to end, compared through prefix polynomial hashes. Groups to sort are windows that
-    begin with the same HEAD bytes."""
+    """Windows of contexts laid end to end, compared through prefix polynomial hashes."""
 
     def __init__(self, data: np.ndarray, offset: np.ndarray):
         self.data = data
@@ -243,10 +242,11 @@ class Suffixes:
         return (self.prefix[at + n] - self.prefix[at]) * self.shift[at]
 
     def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Is the window at ``a`` smaller than that at ``b``, which begins with the same HEAD bytes? Equal ones show in
-        one probe; else a binary search over the hashes finds the common extension, behind which they differ."""
-        out = np.zeros(len(a), bool)
-        i = np.flatnonzero(self.hash(a, WINDOW) != self.hash(b, WINDOW))
+        """Is the window at ``a`` smaller than that at ``b``? Their heads tell if they differ; else equal windows show
+        in one probe, and a binary search over the hashes finds the common extension of the others."""
+        x, y = self.head[a], self.head[b]
+        out = x < y
+        i = np.flatnonzero((x == y) & (self.hash(a, WINDOW) != self.hash(b, WINDOW)))
         a, b = a[i], b[i]
         lo, hi = np.full(len(a), HEAD, np.int64), np.full(len(a), WINDOW - 1, np.int64)
         while (lo < hi).any():
