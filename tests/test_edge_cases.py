@@ -17,12 +17,12 @@ INF, NAN = float("inf"), float("nan")
 SPECIAL = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, NAN], [1.0, 2.0, 3.0, INF], [-INF, 1.0, 2.0, 3.0], [-INF, INF], [INF, INF, NAN, NAN], [0.0, -0.0, 5e-324, -5e-324], [1.7e308, -1.7e308, 2.0**1023], [NAN], [1.0] * 9 + [None]]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 2, None])
-def test_quantiles_do_not_depend_on_the_group_size(spark, hot_rows):
+@pytest.mark.parametrize("bits", [quantiles.BITS, (1, 10, 41), (16, 36)])
+def test_quantiles_do_not_depend_on_the_rounds(spark, bits):
     df = spark.createDataFrame([(g, v) for g, vs in enumerate(SPECIAL) for v in vs], "g int, v double")
     probs = {"p0": 0.0, "p25": 0.25, "p5": 0.5, "p9": 0.9, "p1": 1.0}
     want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs.values()])).alias("q")).collect()}
-    got = {r.g: [r[k] for k in probs] for r in quantiles.exact_quantiles(df, ["g"], "v", probs, hot_rows=hot_rows).collect()}
+    got = {r.g: [r[k] for k in probs] for r in quantiles.exact_quantiles(df, ["g"], "v", probs, bits).collect()}
     assert got.keys() == want.keys()
     for g in want:
         assert [str(x) for x in got[g]] == [str(x) for x in want[g]] or np.array_equal(got[g], want[g], equal_nan=True)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from undula.operators.quantiles import exact_quantiles
+from undula.operators.quantiles import exact_quantiles, value_cells
 from undula.operators.sequence import Run, explode_range, framed, prefixes, sequence_number
 
 
@@ -62,8 +62,8 @@ def test_explode_range(spark, spread):
     assert sorted((r.k, r.v) for r in got.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("hot", [None, 100, 200_000])
-def test_exact_quantiles(spark, hot):
+@pytest.mark.parametrize("bits", [(8, 22, 22), (2, 3, 47), (4, 48)])
+def test_exact_quantiles(spark, bits):
     rng = np.random.default_rng(0)
     groups = {
         0: rng.normal(size=2001), 1: np.full(50, 3.5), 2: np.array([7.0]), 3: np.array([-1e-300, 0.0, 1e300, -2.0]),
@@ -71,9 +71,21 @@ def test_exact_quantiles(spark, hot):
     }
     df = spark.createDataFrame([(k, float(v)) for k, a in groups.items() for v in a] + [(0, None)], "k int, v double")
     probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p1": 1.0}
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, hot).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, bits).collect()}
     assert set(got) == set(groups)
     for k, a in groups.items():
         assert got[k].n == len(a)
         for name, p in probs.items():
             assert np.isclose(got[k][name], np.quantile(a, p), rtol=1e-12, atol=0), (k, name)
+
+
+def test_quantiles_of_a_million_values_in_one_cell(spark):
+    """All values share sign, exponent and the first bits; no later cell holds more than a round's share of them."""
+    df = spark.range(1_000_000).select(F.lit(1).alias("k"), (1 + F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(2.0**52)).alias("v"))
+    probs = {"p1": 0.001, "p50": 0.5, "p99": 0.99}
+    got = exact_quantiles(df, ["k"], "v", probs).first()
+    want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs.values()])).alias("q")).first().q
+    assert [got[p] for p in probs] == want and got.n == 1_000_000
+    cells = df.select(*[c.alias(f"c{i}") for i, c in enumerate(value_cells(F.col("v")))])
+    assert cells.select("c0").distinct().count() == 1
+    assert cells.groupBy("c0", "c1").count().agg(F.max("count")).first()[0] < 2000

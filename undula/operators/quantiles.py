@@ -9,103 +9,83 @@ from pyspark.sql import functions as F
 
 from undula.session import stage
 
-HOT_ROWS = 200_000  # rows of one group that a single task may hold
-_CELLS = 65_536
+BITS = (8, 22, 22)  # bits of the significand that each round of the selection looks at; 52 in all
 
 
-def value_cell(v: Column) -> Column:
-    """Integer that never decreases with ``v``: sign, power of two, and 65,536 steps inside it.
-
-    The infinities have the end cells and NaN, which sorts above all numbers, the one after them.
+def value_cells(v: Column, bits: Sequence[int] = BITS) -> list[Column]:
+    """Integers that in this order never decrease with ``v``: sign, power of two and ``bits[0]`` bits, then the next
+    bits each. The infinities have the end cells and NaN, which sorts above all numbers, the one after them.
     """
     v = v.cast("double")
     a = F.abs(v)
-    end = 4 * _CELLS * 4096
     e = F.floor(F.log2(a))
-    m = F.floor(a / F.pow(F.lit(2.0), e) * _CELLS)
-    c = (e + 1100) * (4 * _CELLS) + m
+    sign = F.when(v < 0, -1).otherwise(1)
+    steps = 1 << bits[0]
+    m = a / F.pow(F.lit(2.0), e) * steps
+    end = 4 * steps * 4096
     special = F.when(F.isnan(v), end + 1).when(v == float("inf"), end).when(v == float("-inf"), -end).when(a == 0, 0)
-    return special.when(v < 0, -c.cast("bigint")).otherwise(c.cast("bigint")).cast("bigint")
-
+    cells = [special.otherwise(sign * ((e + 1100) * (4 * steps) + F.floor(m))).cast("bigint")]
+    for b in bits[1:]:
+        m = (m - F.floor(m)) * (1 << b)  # exact: a power of two times the bits that are left
+        cells.append(special.otherwise(sign * F.floor(m)).cast("bigint"))
+    return cells
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
-    """One row per group: ``keys``, ``n`` and one column per entry of ``probs`` (name -> probability).
 
-    Groups of at most ``hot_rows`` rows use the built-in exact ``percentile``, which holds a group in
-    memory; larger ones use ``selected_quantiles``, whose results are the same for every value, NaN and
-    infinities included. ``hot_rows=None`` sends every group there. Nulls are ignored.
-    """
-    keys = list(keys)
-    if hot_rows is None:
-        return selected_quantiles(df, keys, value, probs)
-    small, hot = df, None
-    if keys:
-        large = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        large = stage(large.filter(F.col("__n") > hot_rows).select(*keys), "hot_groups")
-        if not large.isEmpty():
-            small, hot = df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
-    elif df.count() > hot_rows:
-        return selected_quantiles(df, keys, value, probs)
-    v = F.col(value).cast("double")
-    every = F.percentile(v, F.array(*[F.lit(float(p)) for p in probs.values()]))
-    out = (
-        small.groupBy(*keys)
-        .agg(F.count(v).alias("n"), every.alias("__q"))
-        .filter("n > 0")
-        .select(*keys, "n", *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)])
-    )
-    return out if hot is None else out.unionByName(selected_quantiles(hot, keys, value, probs))
+def value_cell(v: Column, bits: int = 16) -> Column:
+    """One integer that never decreases with ``v`` (see ``value_cells``)."""
+    return value_cells(v, (bits,))[0]
 
 
-def selected_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """The same result by rank selection, for groups of any size.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], bits: Sequence[int] = BITS) -> DataFrame:
+    """One row per group: ``keys``, ``n`` and one column per entry of ``probs`` (name -> probability).
 
-    Pass 1 counts rows per (group, cell) with map-side combining. The cell counts tell which cells
-    hold the wanted ranks; pass 2 looks only at rows of those cells, counted by distinct value.
+    Ranks are selected in rounds. A round counts rows per cell with map-side combining and finds the cells that hold
+    the ranks; the next one looks at the finer cells inside these only. A cell whose least and greatest value are
+    equal is settled, which most are after two rounds; the last round settles all. No task ever holds more of a group
+    than the cells of a round. Results are those of the built-in percentile for every value, NaN and infinities
+    included. Nulls are ignored. ``df`` is read once a round: pass a table or a cheap plan.
     """
-    keys = list(keys)
+    keys, names = list(keys), [f"__c{i}" for i in range(len(bits))]
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
-    rows = rows.withColumn("__cell", value_cell(F.col("__v")))
-    w = Window.partitionBy(*keys)
-    upto = w.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (
-        rows.groupBy(*keys, "__cell")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__end", F.sum("__c").over(upto))
-        .withColumn("n", F.sum("__c").over(w))
-    )
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("q"),
-                side.alias("side"),
-                fn(F.lit(float(p)) * (F.col("n") - 1)).cast("bigint").alias("rank"),
-            )
-            for name, p in probs.items()
-            for side, fn in ((F.lit(0), F.floor), (F.lit(1), F.ceil))
-        ]
-    )
-    hit = (
-        cells.withColumn("__begin", F.col("__end") - F.col("__c"))
-        .withColumn("__w", F.explode(F.filter(wanted, lambda s: (s.rank >= F.col("__begin")) & (s.rank < F.col("__end")))))
-        .select(*keys, "__cell", "n", "__w.q", "__w.side", (F.col("__w.rank") - F.col("__begin")).alias("__local"))
-    )
-    near = Window.partitionBy(*keys, "q", "side").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        rows.join(hit, [*keys, "__cell"])
-        .groupBy(*keys, "q", "side", "n", "__local", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__end", F.sum("__c").over(near))
-        .filter("__local < __end AND __local >= __end - __c")
-    )
+    rows = rows.select(*keys, "__v", *[c.alias(n) for c, n in zip(value_cells(F.col("__v"), bits), names, strict=True)])
+
+    def cells(of: DataFrame, known: list[str], cell: str, *carry: Column) -> DataFrame:
+        """Cells with their counts, ends and extremes, numbered within what is ``known``."""
+        w = Window.partitionBy(*known)
+        upto = w.orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+        counted = of.groupBy(*known, cell).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        counted = counted.withColumns({"__end": F.sum("__n").over(upto), **{f"__{i}": c.over(w) for i, c in enumerate(carry)}})
+        return counted.withColumn("__begin", F.col("__end") - F.col("__n"))
+
+    first = cells(rows, keys, names[0], F.sum("__n")).withColumnRenamed("__0", "n")
+    ranks = [
+        F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), fn(F.lit(float(p)) * (F.col("n") - 1)).cast("bigint").alias("rank"))
+        for name, p in probs.items()
+        for side, fn in ((0, F.floor), (1, F.ceil))
+    ]
+    inside = F.filter(F.array(*ranks), lambda s: (s.rank >= F.col("__begin")) & (s.rank < F.col("__end")))
+    wanted = first.withColumn("__w", F.explode(inside))
+    kept = ["n", "q", "side", "__rank", "__lo", "__hi"]
+    wanted = stage(wanted.select(*keys, names[0], "n", "__w.q", "__w.side", (F.col("__w.rank") - F.col("__begin")).alias("__rank"), "__lo", "__hi"), "ranks")
+    settled = None
+    for i in range(1, len(bits)):
+        done = wanted.filter("__lo <=> __hi").select(*keys, *kept)
+        settled = done if settled is None else settled.unionByName(done)
+        wanted = wanted.filter("NOT (__lo <=> __hi)").drop("__lo", "__hi")
+        if wanted.isEmpty():
+            break
+        known = [*keys, *names[:i]]
+        finer = cells(rows.join(wanted.select(*known).distinct(), known), known, names[i])
+        found = wanted.join(finer, known).filter("__rank >= __begin AND __rank < __end").withColumn("__rank", F.col("__rank") - F.col("__begin"))
+        wanted = stage(found.select(*known, names[i], *kept), "ranks")
+    else:
+        settled = wanted.select(*keys, *kept) if settled is None else settled.unionByName(wanted.select(*keys, *kept))
     out = []
     for name, p in probs.items():
         h = F.lit(float(p)) * (F.first("n") - 1)
-        v0 = F.max(F.when((F.col("q") == name) & (F.col("side") == 0), F.col("__v")))
-        v1 = F.max(F.when((F.col("q") == name) & (F.col("side") == 1), F.col("__v")))
+        v0 = F.max(F.when((F.col("q") == name) & (F.col("side") == 0), F.col("__lo")))
+        v1 = F.max(F.when((F.col("q") == name) & (F.col("side") == 1), F.col("__lo")))
         # weights as in the built-in percentile, which never subtracts the two values
         between = (F.ceil(h) - h) * v0 + (h - F.floor(h)) * v1
         out.append(F.when((F.floor(h) == F.ceil(h)) | (v0 == v1), v0).otherwise(between).alias(name))
-    return picked.groupBy(*keys).agg(F.first("n").alias("n"), *out)
+    return settled.groupBy(*keys).agg(F.first("n").alias("n"), *out)

@@ -127,7 +127,7 @@ def theta_ceiling(
         rows = [(i, float(v)) for i, v in enumerate(override)]
         return values.sparkSession.createDataFrame(rows, "channel int, theta_max double")
     t0 = F.element_at(F.array(*[F.lit(float(t)) for t in theta0]), F.col("channel") + 1)
-    amp = exact_quantiles(values, ["channel"], "a", {"amp": pct / 100.0}, hot_rows=None)
+    amp = exact_quantiles(values, ["channel"], "a", {"amp": pct / 100.0})
     return amp.select("channel", F.greatest(F.lit(float(floor)), scale * F.col("amp"), margin * t0).alias("theta_max"))
 
 
