@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from undula.operators.quantiles import exact_quantiles, value_cells
-from undula.operators.sequence import Run, explode_range, framed, prefixes, sequence_number
+from undula.operators.sequence import Run, explode_range, framed, global_number, prefixes, sequence_number
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +89,17 @@ def test_quantiles_of_a_million_values_in_one_cell(spark):
     cells = df.select(*[c.alias(f"c{i}") for i, c in enumerate(value_cells(F.col("v")))])
     assert cells.select("c0").distinct().count() == 1
     assert cells.groupBy("c0", "c1").count().agg(F.max("count")).first()[0] < 2000
+
+
+def test_global_number(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, 0.0, 1.0, -1.0, float("nan"), rng.random()])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, v double")
+    order = [F.col("v").asc_nulls_last(), F.col("i").asc()]
+    out = global_number(df, order)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert all("windowspecdefinition(__bucket" in w for w in plan.split("\n") if "Window [" in w)
+    got = {r.i: r.place for r in out.collect()}
+    want = {r.i: n for n, r in enumerate(df.orderBy(*order).collect())}
+    assert got == want
+    assert global_number(df.limit(0), order).collect() == []

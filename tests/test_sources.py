@@ -57,6 +57,24 @@ def test_rejects(spark, folder):
     assert report.filter("reject = 'ignored'").count() == 2 and report.count() == 8
 
 
+def test_unreadable_files_are_reported_and_left_out(spark, tmp_path):
+    rows = [(f"F0{i}_SA01_R01.txt", ", ".join(["7"] * 9)) for i in range(1, 4) for _ in range(300)]
+    spark.createDataFrame(rows, "name string, value string").repartition(1, "name").write.partitionBy("name").text(f"{tmp_path}/rec")
+    (tmp_path / "rec" / "F09_SA01_R01.txt").write_bytes(b"\xff\xfe 1 2 3 4 5 6 7 8 9\r\n" * 5)
+    (tmp_path / "rec" / "F08_SA01_R01.txt").write_text("\n")
+    part = next(f for f in (tmp_path / "rec" / "name=F02_SA01_R01.txt").iterdir() if f.suffix == ".txt")
+    part.write_bytes(part.read_bytes().replace(b"7", b"8"))  # the check sums beside it no longer fit
+    report = text.file_report(spark, str(tmp_path / "rec"))
+    assert {r.file: (r.samples, r.reject) for r in report.collect()} == {
+        "F01_SA01_R01.txt": (300, None), "F02_SA01_R01.txt": (None, "unreadable"), "F03_SA01_R01.txt": (300, None),
+        "F08_SA01_R01.txt": (0, "empty"), "F09_SA01_R01.txt": (5, None),
+    }
+    with pytest.raises(Exception, match="[Cc]heck ?sum"):
+        text.read_recordings(spark, str(tmp_path / "rec")).count()
+    got = text.read_recordings(spark, str(tmp_path / "rec"), report=report).groupBy("code").count().collect()
+    assert {r.code: r["count"] for r in got} == {"F01": 300, "F03": 300, "F09": 5}
+
+
 def matrices(root, split, n, short=None):
     for s in text.SIGNALS:
         rows = ["  ".join(f"{i + k / 10:.7e}" for k in range(4)) for i in range(n - (s == short))]

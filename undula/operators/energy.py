@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undula.operators.sequence import global_number
+
 # Energy per operation, in units of one dense multiply-accumulate.
 DENSE_MAC = 1.000
 SPIKE_ACCUMULATE = 0.175
@@ -80,8 +82,9 @@ def energy_report(layers: DataFrame, samples: DataFrame, run: str = "run") -> Da
 
 
 def ranked_runs(report: DataFrame, by: str = "energy_compute_per_sample") -> DataFrame:
-    """Runs by energy per sample, missing values last."""
-    return report.orderBy(F.when(F.isnan(by), None).otherwise(F.col(by)).asc_nulls_last(), "run")
+    """Adds ``place``: runs by energy per sample from 1 on, missing values last, equal ones by name."""
+    energy = F.when(F.isnan(by), None).otherwise(F.col(by)).asc_nulls_last()
+    return global_number(report, [energy, F.col("run").asc()]).withColumn("place", F.col("place") + 1)
 
 
 def run_comparison(

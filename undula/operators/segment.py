@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undula.operators.sequence import _CHUNK, explode_range, with_halo
+from undula.session import stage
 
 # Class ids and default strides in samples per class.
 FALL, DYNAMIC, STATIC = 0, 1, 2
@@ -71,18 +73,30 @@ def _amplitude(channels: Sequence[str]) -> Column:
     return F.greatest(*a) if len(a) > 1 else a[0]
 
 
+def peak_grid(win: int, strides: dict[int, int] = DEFAULT_STRIDES) -> int:
+    """The longest blocks that every window is made up of."""
+    return math.gcd(win, *strides.values())
+
+
 def global_peak_starts(
-    samples: DataFrame, recordings: DataFrame, keys: Sequence[str], channels: Sequence[str], win: int, stride: Column
+    samples: DataFrame, recordings: DataFrame, keys: Sequence[str], channels: Sequence[str], win: int, stride: Column, grid: int = 1
 ) -> DataFrame:
     """Starts whose window covers any sample that attains the largest |value| of the recording.
 
-    Ties all count; a recording whose peaks lie behind the last window keeps none.
+    Ties all count; a recording whose peaks lie behind the last window keeps none. Windows are made up of whole
+    blocks of ``grid`` samples, which divides ``win`` and every stride, so the blocks' maxima say all: they
+    combine before the only shuffle of samples, and only blocks that reach the top are looked at again.
     """
-    amp = samples.select(*keys, "idx", _amplitude(channels).alias("__amp"))
-    top = amp.groupBy(*keys).agg(F.max("__amp").alias("__top"))
-    rec = recordings.withColumn("__s", stride).filter(F.col("__s").isNotNull() & (F.col("n") >= win)).join(top, list(keys))
-    at = amp.join(rec, list(keys)).filter("__amp = __top").withColumnRenamed("idx", "peak").drop("__amp", "__top")
-    return _covering_starts(at, win).drop("peak", "__s").distinct()
+    if win % grid:
+        raise ValueError("grid must divide win")
+    keys = list(keys)
+    amp = samples.select(*keys, F.floor(F.col("idx") / grid).alias("__block"), _amplitude(channels).alias("__amp"))
+    blocks = stage(amp.groupBy(*keys, "__block").agg(F.max("__amp").alias("__amp")), "peaks")
+    top = blocks.groupBy(*keys).agg(F.max("__amp").alias("__top"))
+    peaks = blocks.join(top, keys).filter("__amp = __top").select(*keys, (F.col("__block") * grid).alias("peak"))
+    fits = F.when(F.col("__s") % grid == 0, F.col("__s")).otherwise(F.raise_error(F.lit("grid must divide every stride")).cast("bigint"))
+    rec = recordings.withColumn("__s", stride).filter(F.col("__s").isNotNull() & (F.col("n") >= win)).withColumn("__s", fits)
+    return _covering_starts(peaks.join(rec, keys), win).drop("peak", "__s").distinct()
 
 
 def first_peak_starts(

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.session import stage
 
 _B, _OFF, _CHUNK = "__bucket", "__offset", "__chunk"
 
@@ -46,6 +47,23 @@ def sequence_number(
     )
 
 
+def global_number(df: DataFrame, order: Sequence[str | Column], name: str = "place") -> DataFrame:
+    """Zero-based row number of the whole table in ``order``, without a window over the whole table.
+
+    Rows are cut into ranges by sampled splitters and numbered inside their range; the ranges' sizes, one number for
+    each shuffle partition, are added up in one row. Rows of equal ``order`` share a range: end it with a unique column.
+    The cut is written once, since splitters sampled anew could cut elsewhere.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stage(df.repartitionByRange(n, *order).withColumn(_B, F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy(_B).agg(F.count(F.lit(1)).alias("__n"))
+    every = sizes.agg(F.sort_array(F.collect_list(F.struct(_B, "__n"))).alias("__all"))
+    before = F.aggregate(F.slice("__all", 1, F.col("__i")), F.lit(0).cast("bigint"), lambda s, x: s + x["__n"])
+    offsets = every.select("__all", F.posexplode("__all").alias("__i", "__one")).select(F.col("__one")[_B].alias(_B), before.alias(_OFF))
+    inside = F.row_number().over(Window.partitionBy(_B).orderBy(*order))
+    return cut.join(offsets, _B).withColumn(name, inside - 1 + F.col(_OFF)).drop(_B, _OFF)
+
+
 @dataclass(frozen=True)
 class Run:
     """A running ``sum``, ``max``, ``min`` or ``last`` of ``value``; nulls are ignored.

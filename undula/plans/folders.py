@@ -75,7 +75,8 @@ def tag_folder(
         return store.read_json(spark, f"{out}/summary")
     # a recording is its path; annotations name files, and go to every recording of that name
     keys = ["path"]
-    samples = stage(text.read_recordings(spark, data, acc), "samples")
+    report = stage(text.file_report(spark, data), "files")
+    samples = stage(text.read_recordings(spark, data, acc, report), "samples")
     docs = stage(annotations.read_annotations(spark, labels), "labels")
     rec = stage(segment.recording_lengths(samples, keys, "file", "code", "subject", "trial", "y"), "recordings")
     spans = stage(annotations.intervals(docs).join(rec.select("path", "file"), "file").drop("file"), "spans")
@@ -89,7 +90,7 @@ def tag_folder(
 
     both = result.tags.withColumn("kind", F.lit("auto")).unionByName(manual.withColumn("kind", F.lit("manual")), allowMissingColumns=True)
     named = both.join(rec.select("path", "file", "code", "subject", "trial"), "path")
-    rejects = text.reject_counts(text.file_report(spark, data))
+    rejects = text.reject_counts(report)
     reasons = matched.filter("reject IS NOT NULL").groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
     summary = {
         "config_id": store.config_id(config),
@@ -119,7 +120,7 @@ def recording_events_folder(
     config = {"events": settings, "fractions": fractions, "seed": seed, "acc": acc, "data": data, "tags": tags}
 
     def build() -> DataFrame:
-        samples = stage(text.read_recordings(spark, data, acc), "samples")
+        samples = stage(text.read_recordings(spark, data, acc, text.file_report(spark, data)), "samples")
         seen = store.load_splits(spark, tags).select("path", "start", "y_win", "kind").withColumn("seq", F.lit(0))
         kind = lambda k: seen.filter(F.col("kind") == k).drop("kind")
         merged = fusion.merge_tags(kind("auto"), kind("manual"), ["path"])
@@ -266,7 +267,8 @@ def energy_folder(
     samples = c.filter("layer = ''").groupBy("run").agg(F.sum("n_samples").alias("n_samples"))
     layers = stage(energy.with_energy(energy.layer_totals(c.filter("layer <> ''")), data_movement), "layers")
     report = stage(energy.energy_report(layers, samples), "report")
-    comparison = stage(energy.ranked_runs(energy.run_comparison(report, config, test, CONFIG_KEYS)), "comparison")
+    comparison = energy.ranked_runs(energy.run_comparison(report, config, test, CONFIG_KEYS, layers=layers))
+    comparison = stage(comparison.orderBy("place"), "comparison")
     store.save_csv([layers], f"{out}/{prefix}_layers")
     store.save_csv([comparison], f"{out}/{prefix}_summary")
     store.save_rows_json(comparison, f"{out}/{prefix}_summary_json")

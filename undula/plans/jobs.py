@@ -140,7 +140,7 @@ def event_starts(samples: DataFrame, keys: Sequence[str], channels: Sequence[str
         return segment.window_starts(rec, keys, win, stride)
     fall: Column = F.col(label) == segment.FALL
     plain = segment.window_starts(rec.filter(~fall), keys, win, stride)
-    peaks = segment.global_peak_starts(samples.filter(fall), rec.filter(fall), keys, channels, win, stride)
+    peaks = segment.global_peak_starts(samples.filter(fall), rec.filter(fall), keys, channels, win, stride, segment.peak_grid(win))
     return plain.unionByName(peaks)
 
 

@@ -513,15 +513,9 @@ def a24_activation_rates(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT run, round(compute / n, 4) AS energy, row_number() OVER (ORDER BY compute / n NULLS LAST, run) AS place FROM rep WHERE level = 'run'",
 )
 def t3_ranked_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """The place is the global row number over value ranges, so the ranking is not one task."""
-    from undula.operators.quantiles import value_cell
-    from undula.operators.sequence import sequence_number
-
     r = energy.energy_report(layers(spark, sf), run_samples(spark, sf)).filter("level = 'run'")
-    r = stage(r.select("run", "energy_compute_per_sample"), "report")
-    ranked = sequence_number(r, [], ["energy_compute_per_sample", "run"], value_cell(F.col("energy_compute_per_sample")), "place")
-    out = energy.ranked_runs(ranked)
-    return out.select("run", F.round("energy_compute_per_sample", 4).alias("energy"), (F.col("place") + 1).alias("place"))
+    out = energy.ranked_runs(r.select("run", "energy_compute_per_sample"))
+    return out.select("run", F.round("energy_compute_per_sample", 4).alias("energy"), "place")
 
 
 HISTORY = """, lg AS (SELECT rec_id AS run, idx AS epoch, value AS val_loss FROM ev),

@@ -80,18 +80,36 @@ def s2_filename_decode(spark: SparkSession, sf: str) -> DataFrame:
     return text.decode_name(sp(spark, sf), F.col("path")).select("event_id", "file", "code", "subject", "trial", "y")
 
 
+def spoil(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """Changes files behind the back of their check sums, so that reading them breaks off."""
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/name={name}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for f in fs.listStatus(path):
+            out = fs.getRawFileSystem().create(f.getPath())
+            out.write(bytearray(b"1, 2, 3\n" * 40))
+            out.close()
+
+
 @query(
     "s3_reject_counts",
-    with_(SP)
-    + _DECODE
-    + """SELECT reject, count(*) AS n FROM (
-  SELECT CASE WHEN code IS NULL THEN 'bad_name' WHEN y IS NULL THEN 'unknown_code'
-              WHEN k % 10 = 0 THEN 'empty' END AS reject
-  FROM g WHERE lower(file) LIKE '%.txt' AND lower(file) <> 'desktop.ini') WHERE reject IS NOT NULL GROUP BY 1""",
+    """WITH f AS (SELECT user_id % 60 AS k, count(*) AS n FROM events GROUP BY 1),
+r AS (SELECT CASE WHEN k % 10 = 9 THEN 'bad_name' WHEN k % 10 = 8 THEN 'unknown_code' WHEN k % 10 = 7 THEN 'empty' WHEN k % 10 = 6 THEN 'unreadable' END AS reject, n FROM f)
+SELECT coalesce(reject, 'used') AS reject, count(*) AS n, CAST(sum(CASE WHEN reject IS NULL THEN n ELSE 0 END) AS BIGINT) AS samples FROM r GROUP BY 1""",
 )
 def s3_reject_counts(spark: SparkSession, sf: str) -> DataFrame:
-    d = text.decode_name(sp(spark, sf), F.col("path"))
-    return text.reject_counts(d.withColumn("reject", text.reject_reason(d, F.col("k") % 10)))
+    """A folder of files that are good, badly named, of an unknown code, without samples and unreadable."""
+    path = scratch(spark, "files")
+    k = (F.col("user_id") % 60).cast("string")
+    named = F.concat(F.when(k.endswith("9"), "note_").when(k.endswith("8"), "D77_").otherwise("F01_"), F.lit("SA"), F.lpad(k, 2, "0"), F.lit("_R01.txt"))
+    line = F.when(k.endswith("7"), F.lit("nothing")).otherwise(F.concat_ws(", ", *[F.col("event_id")] * 9))
+    table(spark, sf, "events").select(named.alias("name"), line.alias("value")).repartition("name").write.partitionBy("name").text(path)
+    spoil(spark, path, [f"F01_SA{i:02}_R01.txt" for i in range(6, 60, 10)])
+    report = text.file_report(spark, path)
+    return report.groupBy(F.coalesce("reject", F.lit("used")).alias("reject")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("reject").isNull(), F.col("samples")).otherwise(0)).alias("samples")
+    )
 
 
 @query(

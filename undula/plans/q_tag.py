@@ -26,11 +26,6 @@ cov AS (SELECT st.rec_id, st.y, start, count_if(tr) AS tr, count_if(no) AS no, c
     max(CASE WHEN idx = start + 8 AND tr THEN 1 ELSE 0 END) AS mid, quantile_cont(CASE WHEN tr THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 0.8) AS qt,
     quantile_cont(CASE WHEN no THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 0.8) AS qn
   FROM st JOIN mk ON mk.rec_id = st.rec_id AND idx >= start AND idx < start + 16 GROUP BY st.rec_id, st.y, start)"""
-# Transitions and stable spans in alternating blocks of 24 samples, few undecided ones.
-THIN = (
-    "(kind = 'transition' AND floor(floor(t0) / 24) % 2 = 0) OR (kind = 'no_transition' AND floor(floor(t0) / 24) % 2 = 1) "
-    "OR (kind = 'ambiguous' AND floor(t0) % 16 = 3)"
-)
 # All intervals, each of the kind of the block of 32 samples that it starts in, few undecided: so clear windows appear.
 BLOCK_KIND = (
     "CASE WHEN floor(t0) % 64 = 3 THEN 'ambiguous' WHEN floor(floor(t0) / 32) % 2 = 0 THEN 'transition' ELSE 'no_transition' END"
@@ -133,14 +128,19 @@ def m5_manual_labels(spark: SparkSession, sf: str) -> DataFrame:
     "m6_training_rows",
     with_(EV, IV)
     + GRID_STARTS
-    + MARKS.replace("FROM iv)", "FROM iv WHERE " + THIN + ")", 1)
-    + """, c AS (SELECT rec_id, start, qt >= 0.5 AND qn <= 0.05 AND am / 16.0::DOUBLE <= 0.1 AS clear_pt, qn >= 0.6 AND qt <= 0.05 AND am / 16.0::DOUBLE <= 0.1 AS clear_sp FROM cov WHERE y = 2)
-SELECT * FROM c WHERE clear_pt OR clear_sp""",
+    + MARKS.replace("SELECT rec_id, kind,", f"SELECT rec_id, {BLOCK_KIND} AS kind,", 1)
+    + """, c AS (SELECT rec_id, start, tr, no, am, am / 16.0::DOUBLE <= 0.1 AS sure, tr / 16.0::DOUBLE AS pt, no / 16.0::DOUBLE AS sp FROM cov WHERE y = 2)
+SELECT rec_id, count(*) AS windows, count_if(pt >= 0.5 AND sp <= 0.05 AND sure) AS transitions, count_if(sp >= 0.6 AND pt <= 0.05 AND sure) AS stable
+FROM c GROUP BY rec_id""",
 )
 def m6_training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    ranges = intervals.sample_ranges(spans_of(spark, sf).filter(THIN), 1.0)
-    c = intervals.window_coverage(ev_grid(spark, sf).filter("y = 2"), ranges, ["rec_id"], WIN, HOP, KINDS)
-    return jobs.clear_rows(c, WIN, "q").select("rec_id", "start", "clear_pt", "clear_sp")
+    """Per static recording all windows, and those that clearly are of a kind by their mean coverage."""
+    ranges = intervals.sample_ranges(blocked_spans(spark, sf), 1.0)
+    c = stage(intervals.window_coverage(ev_grid(spark, sf).filter("y = 2"), ranges, ["rec_id"], WIN, HOP, KINDS), "covered")
+    clear = jobs.clear_rows(c, WIN, "mean").select("rec_id", "start", "clear_pt", "clear_sp")
+    return c.join(clear, ["rec_id", "start"], "left").groupBy("rec_id").agg(
+        F.count(F.lit(1)).alias("windows"), F.count_if("clear_pt").alias("transitions"), F.count_if("clear_sp").alias("stable")
+    )
 
 
 def blocked_spans(spark: SparkSession, sf: str) -> DataFrame:

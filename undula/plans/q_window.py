@@ -45,7 +45,7 @@ SELECT rec_id, start FROM st WHERE y = 0 AND EXISTS (SELECT 1 FROM pk WHERE pk.r
 )
 def w2_global_peak_windows(spark: SparkSession, sf: str) -> DataFrame:
     e = stage(ev(spark, sf).filter("y = 0"), "ev")
-    return segment.global_peak_starts(e, ev_lengths(e), ["rec_id"], ["c0", "c1"], 16, ev_stride()).select("rec_id", "start")
+    return segment.global_peak_starts(e, ev_lengths(e), ["rec_id"], ["c0", "c1"], 16, ev_stride(), segment.peak_grid(16, EV_STRIDES)).select("rec_id", "start")
 
 
 @query(

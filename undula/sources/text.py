@@ -43,10 +43,15 @@ def logical_path(path: Column) -> Column:
     return F.when(path.contains("/part-"), whole).otherwise(path)
 
 
-def text_lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.[tT][xX][tT]") -> DataFrame:
-    """Lines with ``path``, ``block`` (part file and offset of the file block) and ``__id`` (order inside it)."""
+def text_lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.[tT][xX][tT]", tolerant: bool = False) -> DataFrame:
+    """Lines with ``path``, ``block`` (part file and offset of the file block) and ``__id`` (order inside it).
+
+    With ``tolerant``, a file that cannot be read on gives the lines before that place and the others go on.
+    """
     return (
         spark.read.option("recursiveFileLookup", True)
+        .option("ignoreCorruptFiles", tolerant)
+        .option("ignoreMissingFiles", tolerant)
         .option("pathGlobFilter", glob)
         .text(path)
         .select(
@@ -76,13 +81,15 @@ def decode_name(df: DataFrame, path: Column) -> DataFrame:
     return out.withColumn("y", y)
 
 
-def reject_reason(df: DataFrame, samples: Column) -> Column:
-    """Why a listed file is not used: ignored, bad_name, unknown_code, empty, or null when it is."""
+def reject_reason(df: DataFrame, samples: Column, unread: Column | None = None) -> Column:
+    """Why a listed file is not used: ignored, bad_name, unknown_code, unreadable (where ``unread`` holds), empty, or
+    null when it is."""
     low = F.lower("file")
     return (
         F.when((low == "desktop.ini") | ~low.endswith(".txt"), "ignored")
         .when(F.col("code").isNull(), "bad_name")
         .when(F.col("y").isNull(), "unknown_code")
+        .when(F.lit(False) if unread is None else unread, "unreadable")
         .when(F.coalesce(samples, F.lit(0)) == 0, "empty")
     )
 
@@ -103,12 +110,15 @@ def pick_channels(df: DataFrame, v: str = "v", acc: str = "ADXL345") -> DataFram
     return df.withColumns({c: F.col(v)[i] for c, i in zip(CHANNELS, cols)}).drop(v)
 
 
-def read_recordings(spark: SparkSession, path: str, acc: str = "ADXL345") -> DataFrame:
+def read_recordings(spark: SparkSession, path: str, acc: str = "ADXL345", report: DataFrame | None = None) -> DataFrame:
     """Samples of all valid recordings: path, file, code, subject, trial, y, idx, c0..c5.
 
-    The parsed lines are written once: numbering reads them twice, and text is costly to parse.
+    The parsed lines are written once: numbering reads them twice, and text is costly to parse. A file that
+    cannot be read stops the job, unless the ``file_report`` of the folder is given: then unreadable files are left out.
     """
-    lines = decode_name(text_lines(spark, path), F.col("path")).filter("y IS NOT NULL")
+    lines = decode_name(text_lines(spark, path, tolerant=report is not None), F.col("path")).filter("y IS NOT NULL")
+    if report is not None:
+        lines = lines.join(report.filter("reject = 'unreadable'").select("path"), "path", "left_anti")
     parsed = pick_channels(parse_samples(lines), "v", acc)
     return number_lines(stage(parsed, "parsed_lines"))
 
@@ -121,10 +131,17 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_report(spark: SparkSession, path: str) -> DataFrame:
-    """Every file with its number of samples and its reject reason."""
-    got = parse_samples(text_lines(spark, path)).groupBy("path").agg(F.count(F.lit(1)).alias("samples"))
+    """Every file with its number of samples and its reject reason.
+
+    A file is unreadable if reading it breaks off: then its lines, with two bytes for the end of each and three for a
+    byte order mark, cannot make up its length. Bytes that are no UTF-8 do not make a file unreadable.
+    """
+    lines = text_lines(spark, path, tolerant=True)
+    full = F.size(F.regexp_extract_all("value", F.lit(INTEGER), 1)) >= 9
+    got = lines.groupBy("path").agg(F.count_if(full).alias("samples"), F.sum(F.octet_length("value") + 2).alias("__read"))
     joined = list_files(spark, path).join(got, "path", "left")
-    return joined.withColumn("reject", reject_reason(joined, F.col("samples")))
+    unread = F.col("length") > F.coalesce("__read", F.lit(0)) + 3
+    return joined.withColumn("reject", reject_reason(joined, F.coalesce("samples", F.lit(0)), unread)).drop("__read")
 
 
 def reject_counts(report: DataFrame) -> DataFrame:
