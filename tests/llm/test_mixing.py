@@ -72,3 +72,20 @@ def test_empty_and_wordless(spark):
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).collect() == []
     got = mixing.mixed(spark.createDataFrame([(1, "a", "  ", 1, ""), (2, None, None, 1, "")], SCHEMA)).collect()
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in got) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_lanes_spread_ids_at_any_step(spark):
+    rows = [(1024 * i, "s", "w " * (1 + i % 50), 1, "") for i in range(300)] + [(None, "s", "w " * (1 + i % 50), 1, "") for i in range(300)]
+    sizes = mixing.sized(spark.createDataFrame(rows, SCHEMA))
+    placed = mixing.laid_out(sizes, mixing.targets(sizes)).orderBy("first_word").collect()
+    assert [r.first_word for r in placed] == [sum(x.size for x in placed[:i]) for i in range(len(placed))]
+    ids = [r.doc_id for r in placed if r.doc_id is not None]
+    assert ids != sorted(ids)  # many lanes
+    runs = sum((a.doc_id is None) != (b.doc_id is None) for a, b in zip(placed, placed[1:]))
+    assert runs > 60  # rows without an id lie in many lanes
+
+
+def test_columns_are_carried(spark):
+    d = spark.createDataFrame([(7, "s", "w " * 30, 1, "long"), (7, "s", "w", 2, "short"), (None, "s", "x y", 3, "none")], SCHEMA).withColumnRenamed("taken", "mark").drop("size")
+    got = {r.mark: (r.doc_id, r.size) for r in mixing.mixed(d, carry=["mark"]).collect()}
+    assert got == {"long": (7, 30), "short": (7, 1), "none": (None, 2)}

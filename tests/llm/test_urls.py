@@ -84,3 +84,35 @@ def test_components(spark, seed):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_all_links_of_a_page_count(spark):
+    canonical = '<link rel="{}" href="{}">'.format
+    refresh = '<meta http-equiv=refresh content="0;url={}">'.format
+    pages = [
+        (1, "http://a.org/1", canonical("canonical", "http://a.org/1") + canonical("canonical", "http://b.net/fr/1")),  # itself first, then a blocked page
+        (2, "http://a.org/2", canonical("alternate canonical", "/1")), (3, "http://a.org/3", canonical("nofollow  canonical  x", "http://a.org/2")),
+        (4, "http://a.org/4", canonical("canonical-not", "http://b.net/fr/1") + "<link rel='alternate' href='http://b.net/fr/1'>"),
+        (5, "http://a.org/5", refresh("http://a.org/6") + refresh("http://a.org/7")), (6, "http://a.org/6", refresh("http://a.org/5")),
+        (7, "http://a.org/7", "<link rel='x canonical' href='//c.org/8'/><link href=http://a.org/3 rel=canonical>"), (8, "https://c.org/8", None), (9, "http://b.net/fr/1", ""),
+    ]
+    got = {k: v[3] for k, v in judge(spark, pages).items()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "block", 8: "block", 9: "block"}
+
+
+def test_links_equal_the_sql(spark, tmp_path):
+    from undula.llm.queries import ORACLES, QUERIES
+
+    rng = random.Random(7)
+    url = lambda: rng.choice(["http://a.org/{}", "https://b.com/x/{}", "http://c.net/fr/{}", "http://www.example.com/en/{}", "http://x.example.com/en/{}"]).format(rng.randrange(40))
+    link = lambda: rng.choice(['<link rel="canonical" href="{}">', "<LINK href='{}' rel='a canonical b'>", '<meta http-equiv="refresh" content="1; url={}">', '<link rel="alternate" href="{}">', "<link rel=canonical href={}>"]).format(url())
+    rows = [(i, url(), rng.choice([None, "", "<p>"] + ["".join(link() for _ in range(rng.randrange(4)))] * 3)) for i in range(120)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    want = sorted(map(str, con.execute(ORACLES["op3_urls"]).fetchall()))
+    got = QUERIES["op3_urls"](spark, str(tmp_path))
+    assert sorted(str(tuple(r)) for r in got.collect()) == want and len(set(r.verdict for r in got.collect())) == 2

@@ -25,6 +25,7 @@ LANES = 1024  # parts in which a source's documents are laid out
 PIECE = 16_384  # slots that one row unfolds to
 ROUNDS = 8
 PRIME = 2_147_483_647
+LANE_KEY = 1_103_515_245
 #: Multiplier and offset of each round's bit, multiplier and offset of each round's pivot.
 ROUND_KEYS = tuple(((i * 7_368_787 + 48_271) % PRIME, (i * 15_485_863 + 11) % PRIME, (i * 32_452_843 + 69_621) % PRIME, (i * 49_979_687 + 7) % PRIME) for i in range(1, ROUNDS + 1))
 
@@ -45,9 +46,9 @@ def permuted(x: str, n: str, key: str) -> Column:
     return F.expr(f"aggregate(array({rounds}), {x}, (x, r) -> CASE WHEN ({bit}) * ({bit}) % {PRIME} % 2 = 1 THEN {other} ELSE x END)")
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, size): one scan of the texts."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size) and the columns ``carry``: one scan of the texts."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *carry)
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, block: int = BLOCK) -> DataFrame:
@@ -94,10 +95,12 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, piece: int = PIECE
 def laid_out(sizes: DataFrame, sources: DataFrame, lanes: int = LANES) -> DataFrame:
     """Each document's first word in its source: (doc_id, source, size, first_word, sidx, source_size, target).
 
-    Documents of a source are ordered by (doc_id mod lanes, doc_id, size). A lane is summed first and numbered
-    inside afterwards, so a source that holds a third of all rows is spread over ``lanes`` tasks.
+    Documents of a source are ordered by (lane, doc_id, size), the lane by a hash of id and size, which spreads ids at
+    any step and rows without an id. A lane is summed first and numbered inside afterwards, so a source that holds
+    a third of all rows is spread over ``lanes`` tasks.
     """
-    d = sizes.withColumn("lane", F.coalesce(F.pmod(F.col("doc_id"), F.lit(lanes)), F.lit(0)))
+    key = f"(coalesce(pmod(doc_id, {PRIME}L), 0L) * {LANE_KEY}L + size % {PRIME}) % {PRIME} * {LANE_KEY}L % {PRIME}"
+    d = sizes.withColumn("lane", F.expr(f"{key} % {lanes}"))
     d = d.join(sources.select("sidx", F.col("source").alias("__s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     before = Window.partitionBy("sidx").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lane = d.groupBy("sidx", "lane").agg(F.sum("size").alias("n")).select("sidx", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lane_first"))
@@ -116,20 +119,20 @@ def block_parts(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return b.withColumn("words", F.expr(f"least(first_word + size, (block + 1) * {block}) - greatest(first_word, block * {block})"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id, source, text).
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, block: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id, source, text), and its columns ``carry``.
 
     ``taken`` counts the words of the document in all drawn blocks, repeats counted; it never exceeds
     ``cap`` times the size. A source's taken words differ from its target by less than two blocks.
     Null or empty texts have size 0 and are never taken; a null source is a source of its own, the last;
     a null doc_id is laid out first; repeated rows are separate documents; an empty table gives no rows.
     """
-    sizes = stage(sized(docs), "sizes")
+    sizes = stage(sized(docs, carry=carry), "sizes")
     sources = stage(targets(sizes, weights, cap, block), "sources")
     placed = stage(laid_out(sizes, sources), "placed")
     used = slots(sources).groupBy("sidx", "block").agg(F.count(F.lit(1)).alias("times"))
-    keys = ["sidx", "first_word", "doc_id", "size", "source_size", "target"]
+    keys = ["sidx", "first_word", "doc_id", "size", "source_size", "target", *carry]
     taken = block_parts(placed, block).join(used.hint("merge"), ["sidx", "block"], "left").groupBy(*keys).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-    out = ["doc_id", "size", "source_size", "target", "taken"]
+    out = ["doc_id", "size", "source_size", "target", "taken", *carry]
     none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return taken.select(*out).unionByName(none.select(*out))

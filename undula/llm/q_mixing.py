@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from undula.llm import mixing
 from undula.llm.catalogue import query, table
-from undula.llm.mixing import BLOCK, LANES, PRIME, ROUND_KEYS
+from undula.llm.mixing import BLOCK, LANE_KEY, LANES, PRIME, ROUND_KEYS
 
 
 def _permuted(src: str, x: str, n: str, key: str, name: str) -> str:
@@ -35,7 +35,7 @@ j0 AS (SELECT sidx, blocks, j % blocks AS i, sidx * 4 + j // blocks AS k FROM (S
 j1 AS ({_permuted("j0", "i", "blocks", "k", "block")}),
 used AS (SELECT sidx, block, count(*) AS times FROM j1 GROUP BY ALL),
 placed AS (SELECT rid, doc_id, size, source_size, target, sidx,
-       CAST(coalesce(sum(size) OVER (PARTITION BY sidx ORDER BY coalesce((doc_id % {LANES} + {LANES}) % {LANES}, 0), doc_id NULLS FIRST, size
+       CAST(coalesce(sum(size) OVER (PARTITION BY sidx ORDER BY (coalesce((doc_id % {PRIME} + {PRIME}) % {PRIME}, 0) * {LANE_KEY} + size % {PRIME}) % {PRIME} * {LANE_KEY} % {PRIME} % {LANES}, doc_id NULLS FIRST, size
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_word
        FROM sizes z JOIN s6 ON z.source IS NOT DISTINCT FROM s6.source),
 parts AS (SELECT *, unnest(range(first_word // {BLOCK}, (first_word + size - 1) // {BLOCK} + 1)) AS block FROM placed WHERE size > 0)

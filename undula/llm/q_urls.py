@@ -34,8 +34,8 @@ p AS (SELECT row_number() OVER () AS rid, page_id, url, html, {_host('url')} AS
 fit AS (SELECT rid, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(kind, length(rhost || rpath)) AS own
         FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid),
 pf AS (SELECT p.*, rule, own FROM p LEFT JOIN fit USING (rid)),
-found AS (SELECT url, host, path, replace(unnest([regexp_extract(regexp_extract(html, {_quoted(urls.CANONICAL)}), {_quoted(urls.HREF)}, 1),
-                 regexp_extract(regexp_extract(html, {_quoted(urls.REFRESH)}), {_quoted(urls.TARGET)}, 1)]), '&amp;', '&') AS link FROM p),
+found AS (SELECT url, host, path, replace(unnest(list_concat(list_transform(regexp_extract_all(html, {_quoted(urls.CANONICAL)}), lambda t: regexp_extract(t, {_quoted(urls.HREF)}, 1)),
+                 list_transform(regexp_extract_all(html, {_quoted(urls.REFRESH)}), lambda t: regexp_extract(t, {_quoted(urls.TARGET)}, 1)))), '&amp;', '&') AS link FROM p),
 ab AS (SELECT url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN 'http://' || host || link
               ELSE 'http://' || host || CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || link END AS to_url
        FROM found WHERE link <> ''),

@@ -19,7 +19,8 @@ from undula.llm.components import components
 from undula.session import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+#: ``canonical`` may stand anywhere among the values of rel.
+CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical[\s/>])[^>]*>?"""
 REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
@@ -101,9 +102,10 @@ def absolute(link: Column, host: Column, path: Column) -> Column:
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): alias keys that a redirect or a canonical link of a page joins, each once."""
+    """(a, b): alias keys that a redirect or a canonical link of a page joins, each once. All links of a page count."""
     h = F.col(html)
-    found = F.array(F.regexp_extract(F.regexp_extract(h, CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract(h, REFRESH, 0), TARGET, 1))
+    tags = lambda tag, link: F.transform(F.regexp_extract_all(h, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, link, 1))
+    found = F.concat(tags(CANONICAL, HREF), tags(REFRESH, TARGET))
     e = pages.select(F.col(url).alias("u"), F.explode(found).alias("link")).filter("link <> ''")
     here = url_parts(F.col("u"))
     to = _let(here, lambda p: absolute(F.replace("link", F.lit("&amp;"), F.lit("&")), p["host"], p["path"]))
