@@ -76,17 +76,22 @@ def test_ratios_equal_plain_kneser_ney(spark):
         for k in toxicity.grams(t.encode()):
             counts[y].update(k.tolist())
     keys = sorted(set(counts[0]) | set(counts[1]))
-    low = Counter(k & 0xFFFFF for k in keys)
-    mid, kinds = Counter(), Counter()
-    for k, n in low.items():
-        mid[k >> 5] += n
-        kinds[k >> 5] += 1
-    shared = {k: (max(n - 0.75, 0) + 0.75 * kinds[k >> 5] / 32) / mid[k >> 5] for k, n in low.items()}
+    types = {5: set(keys)}
+    for m in (4, 3, 2, 1):
+        types[m] = {k & ((1 << 5 * m) - 1) for k in types[m + 1]}
+
+    def shared(k, m):
+        if not m:
+            return 1 / 32
+        count = lambda g: sum(x & ((1 << 5 * m) - 1) == g for x in types[m + 1])
+        beside = [g for g in types[m] if g >> 5 == k >> 5]
+        return (max(count(k) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(beside) * shared(k & ((1 << 5 * (m - 1)) - 1), m - 1)) / sum(map(count, beside))
 
     def p(y, k):
         total = sum(n for g, n in counts[y].items() if g >> 5 == k >> 5)
-        types = sum(1 for g in counts[y] if g >> 5 == k >> 5)
-        return (max(counts[y][k] - 0.75, 0) + 0.75 * types * shared[k & 0xFFFFF]) / total if total else shared[k & 0xFFFFF]
+        after = sum(1 for g in counts[y] if g >> 5 == k >> 5)
+        low = shared(k & 0xFFFFF, 4)
+        return (max(counts[y][k] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * after * low) / total if total else low
 
     want = {k: math.log(p(1, k) / p(0, k)) for k in keys}
     df = spark.createDataFrame([(k, counts[1][k], counts[0][k]) for k in keys], "key int, toxic bigint, ordinary bigint")
@@ -101,6 +106,43 @@ def test_ratios_equal_plain_kneser_ney(spark):
     assert model.raw(text)[0] == pytest.approx(plain, abs=1e-5)
 
 
+def plain_excess(v, n):
+    """The mean excess of a text's stretches over their median and three median deviations."""
+    s = np.array([int(sum(v[i : i + n])) * toxicity.STEPS // (n * toxicity.UNIT) for i in range(len(v) - n + 1)] or [int(sum(v)) * toxicity.STEPS // (len(v) * toxicity.UNIT)])
+    usual = np.median(s)
+    return np.maximum(s - usual - 3 * np.median(np.abs(s - usual)), 0).mean() / toxicity.STEPS
+
+
+def test_scores_do_not_depend_on_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = rng.choice(1 << 25, 4000, replace=False)
+    df = spark.createDataFrame([(int(k), int(a), int(b)) for k, a, b in zip(keys, rng.integers(0, 9, 4000), rng.integers(1, 9, 4000))], "key int, toxic bigint, ordinary bigint")
+    model = toxicity.Model(toxicity.log_ratios(df))
+    model.table = rng.integers(-3_000_000, 3_000_000, model.table.shape).astype(np.int32)
+    long = bytes(rng.integers(97, 123, 3_000_000).tolist())
+    whole = model.raw(long)
+    for text in (b"", b"a", b"abc def", b"x" * 15, b"y" * 16, b"hello world, hello", long[:4000], "é à ü ".encode() * 200):
+        want = model.raw(text)
+        if text:
+            v = np.concatenate([model.table[model.row[k >> 5], k & 31] for k in toxicity.grams(text)])
+            assert want.tolist() == pytest.approx([v.mean() / toxicity.UNIT, *(plain_excess(v, n) for n in toxicity.STRETCHES)], abs=1e-9)
+        for piece in (1, 7, 1000):
+            monkeypatch.setattr(toxicity, "PIECE", piece)
+            assert (model.raw(text) == want).all()
+    for piece in (1 << 16, 99_999):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert (model.raw(long) == whole).all()
+
+
+def test_columns_of_any_name_stay(spark):
+    docs, labels = corpus(60)
+    d = spark.createDataFrame([(i, t, "r", "t", (1,), "s") for i, t, *_ in docs], "doc_id bigint, text string, raw string, __text string, `a b` struct<`c d`: int>, Score string")
+    lab = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    out = toxicity.with_scores(d, toxicity.fit(d, lab))
+    assert out.columns == ["doc_id", "text", "raw", "__text", "a b", "score", "predicted"]
+    assert {(r.raw, r["__text"], r["a b"]["c d"]) for r in out.collect()} == {("r", "t", 1)}
+
+
 def test_pieces_of_long_texts_join(monkeypatch):
     text = ("Some Words é, and others. " * 40).encode()
     whole = np.concatenate(list(toxicity.grams(text)))

@@ -2,12 +2,15 @@
 
 Texts are sequences of 32 symbols: the letters a-z in either case, five classes of other bytes from 0x80,
 and one symbol for all that separates words. Two models of order 5, one of toxic and one of ordinary
-labelled texts, share their backoff: below the highest order, continuation counts come from both classes
-together, so an expression that one class has rarely or never seen is smoothed alike in both. A text is
+labelled texts, share their backoff: below the highest order, continuation counts of orders 4 down to 1 come from
+both classes together, so an expression that one class has rarely or never seen is smoothed alike in both. A text is
 compared by the difference of the two log-likelihoods divided by its length: over the whole text, and over
 stretches of 8 and 16 symbols by how far they exceed what is usual in that text (its median and three median
 deviations), which takes out what a language or a style does to all of a text. A logistic curve, fitted on
 labelled rows that were not counted, makes a probability of the three.
+
+Ratios are whole multiples of 1 / UNIT, so sums are exact and a text's score does not depend on the pieces in which
+it is read; of each piece only the counts of its stretches' values are kept.
 """
 
 from __future__ import annotations
@@ -18,16 +21,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undula.llm.batches import bound_batches
 from undula.llm.labelled import SAMPLE_ROWS, fold, labelled, sample
+from undula.llm.rows import held, released, with_fields
 from undula.session import ship_package, stage
 
 ORDER, BITS = 5, 5
-DISCOUNT = 0.75
+DISCOUNT = 0.85
 PIECE = 1 << 20  # bytes of a text in memory at once
 FOLDS = 5  # fold 0 is held out, the last is for the curve, the others are counted
 STRETCHES = (8, 16)  # symbols
+UNIT, STEPS = 1 << 20, 1024  # parts of 1 in a symbol's ratio, and in the value of a stretch
+FAR = 16  # ratios end here
 CODE = np.array([b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 + b % 5 if b >= 128 else 0 for b in range(256)], np.int32)
 
 
@@ -73,14 +80,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(key.astype(np.int32)), pa.array(np.where(toxic, c, 0)), pa.array(np.where(toxic, 0, c))], names=["key", "toxic", "ordinary"])
 
 
+def shared_backoff(keys: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, shared): Kneser-Ney probabilities of the grams one symbol shorter than the distinct ``keys`` of ``order``.
+
+    A gram's continuation count is the number of different symbols before it; orders go down to single symbols, whose
+    backoff is even. Tables have at most a row for each gram.
+    """
+    short = keys.select(F.expr(f"key & {(1 << (order - 1) * BITS) - 1}").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    short = short.withColumns({"before": F.expr(f"shiftright(key, {BITS})"), "low": F.expr(f"key & {(1 << max(0, order - 2) * BITS) - 1}")})
+    sums = short.groupBy("before").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+    short = short.join(sums, "before")
+    if order > 2:
+        short = short.join(shared_backoff(short.select("key"), order - 1).select(F.col("key").alias("low"), F.col("shared").alias("lower")), "low")
+    else:
+        short = short.withColumn("lower", F.lit(1.0 / (1 << BITS)))
+    shared = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("lower")) / F.col("all")
+    return short.select("key", shared.alias("shared"))
+
+
 def log_ratios(counts: DataFrame) -> DataFrame:
     """(context, unseen, seen): per context the log ratio of the two models for each symbol seen after it,
     as (code, ratio), and for symbols never seen after it."""
     g = counts.withColumns({"context": F.expr(f"shiftright(key, {BITS})"), "low": F.expr(f"key & {(1 << (ORDER - 1) * BITS) - 1}")})
-    low = g.groupBy("low").agg(F.count(F.lit(1)).alias("n")).withColumn("mid", F.expr(f"shiftright(low, {BITS})"))
-    mid = low.groupBy("mid").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
-    shared = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") / (1 << BITS)) / F.col("all")
-    low = low.join(mid, "mid").select("low", shared.alias("shared"))
+    low = shared_backoff(g.select("key")).withColumnRenamed("key", "low")
     sums = [F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")] + [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "ordinary")]
     context = g.groupBy("context").agg(*sums)
 
@@ -104,46 +126,73 @@ class Model:
         rows = ratios.select("context", "unseen", "seen.code", "seen.ratio").toArrow()
         n = rows.num_rows
         self.row = np.zeros(1 << (ORDER - 1) * BITS, np.int32)
-        self.table = np.zeros((n + 1, 1 << BITS), np.float32)
+        self.table = np.zeros((n + 1, 1 << BITS), np.int32)
+        whole = lambda x: np.rint(np.clip(x, -FAR, FAR) * UNIT)
         if n:
             rows = rows.combine_chunks()
             self.row[rows["context"].to_numpy()] = np.arange(1, n + 1)
-            self.table[1:] = rows["unseen"].to_numpy()[:, None]
+            self.table[1:] = whole(rows["unseen"].to_numpy())[:, None]
             code = rows["code"].chunk(0)
             at = np.repeat(np.arange(1, n + 1), np.diff(code.offsets.to_numpy()))
-            self.table[at, code.flatten().to_numpy()] = rows["ratio"].chunk(0).flatten().to_numpy()
+            self.table[at, code.flatten().to_numpy()] = whole(rows["ratio"].chunk(0).flatten().to_numpy())
 
     def raw(self, data: bytes) -> np.ndarray:
         """Log-likelihood ratio per symbol: of the whole text, then the excess of each length of stretches."""
-        total = np.zeros(1 + len(STRETCHES))
+        if not data:
+            return np.zeros(1 + len(STRETCHES))
+        total, last = 0, np.zeros(0, np.int32)
+        values: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in STRETCHES]  # (value, count) of each length
         for k in grams(data):
-            v = self.table[self.row[k >> BITS], k & ((1 << BITS) - 1)]
-            sums = np.concatenate(([0.0], np.cumsum(v, dtype=np.float64)))
-            total[0] += sums[-1]
-            for i, n in enumerate(STRETCHES, 1):
-                s = ((sums[n:] - sums[:-n]) / n if len(v) >= n else np.array([v.mean()])).astype(np.float32)
-                usual = np.median(s)
-                s -= usual + 3 * np.median(np.abs(s - usual))
-                total[i] += float(np.maximum(s, 0).mean(dtype=np.float64)) * len(v)
-        return total / max(1, len(data))
+            v = np.concatenate((last, self.table[self.row[k >> BITS], k & ((1 << BITS) - 1)]))
+            sums = np.concatenate(([0], np.cumsum(v, dtype=np.int64)))
+            total += int(sums[-1] - sums[len(last)])
+            for n, held in zip(STRETCHES, values, strict=True):
+                begin = max(0, len(last) - n + 1)  # stretches that end in this piece
+                held.append(np.unique((sums[begin + n :] - sums[begin:-n]) * STEPS // (n * UNIT), return_counts=True))
+                if len(held) > 8:
+                    held[:] = [_merged(held)]
+            last = v[-max(STRETCHES) + 1 :]
+        short = np.array([total * STEPS // (len(data) * UNIT)])  # of a text shorter than a stretch: all of it
+        excess = [_excess(*(_merged(h) if len(data) >= n else (short, np.ones(1, np.int64)))) for n, h in zip(STRETCHES, values, strict=True)]
+        return np.array([total / (UNIT * len(data)), *excess])
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(held) == 1:
+        return held[0]
+    value, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+    return value, np.bincount(at, weights=np.concatenate([h[1] for h in held])).astype(np.int64)
+
+
+def _excess(value: np.ndarray, count: np.ndarray) -> float:
+    """The mean of how far values exceed their median and three median deviations; ``value`` is sorted."""
+
+    def twice_median(v: np.ndarray, c: np.ndarray) -> int:
+        upto, n = np.cumsum(c), int(c.sum())
+        return int(v[np.searchsorted(upto, (n - 1) // 2, "right")] + v[np.searchsorted(upto, n // 2, "right")])
+
+    usual = twice_median(value, count)
+    off = np.abs(2 * value - usual)
+    order = np.argsort(off, kind="stable")
+    over = 4 * value - 2 * usual - 3 * twice_median(off[order], count[order])
+    return float((np.maximum(over, 0) * count).sum()) / (4 * STEPS * int(count.sum()))
 
 
 def _raw_scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            raw = [m.raw(t.as_py() or b"") for t in b.column("__text").cast(pa.binary())]
-            t = pa.Table.from_batches([b]).drop_columns(["__text"]).append_column("raw", pa.array(raw, pa.list_(pa.float64())))
-            yield from t.to_batches()
+            raw = [m.raw(t.as_py() or b"") for t in b.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(raw, pa.list_(pa.float64()))], names=["rest", "raw"])
 
     return run
 
 
-def with_raw(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """``docs`` with the raw scores of each text; ``model`` is a broadcast Model."""
-    d = docs.drop("raw").withColumn("__text", F.col(text))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "__text"] + ["raw array<double>"])
-    return d.mapInArrow(_raw_scores(model), schema)
+def with_raw(docs: DataFrame, model, text: str = "text", replaced: tuple[str, ...] = ()) -> DataFrame:
+    """(rest, raw): the columns of ``docs`` but the ``replaced`` ones, and the raw scores of each text; ``model`` is a
+    broadcast Model."""
+    d = held(docs, replaced, text=text)
+    return d.mapInArrow(_raw_scores(model), with_fields(d, ["text"], [T.StructField("raw", T.ArrayType(T.DoubleType()))]))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -178,19 +227,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     counts = stage(counted.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
     model = spark.sparkContext.broadcast(Model(log_ratios(counts)))
     ids = F.broadcast(sample(labels, label, part == FOLDS - 1, rows))
-    rest = with_raw(texts.join(ids, "doc_id").select("text", "y"), model).toArrow()
+    rest = with_raw(texts.join(ids, "doc_id").select("text", "y"), model).select("rest.y", "raw").toArrow()
     x = np.array(rest["raw"].to_pylist()).reshape(-1, 1 + len(STRETCHES))
     order = np.lexsort(x.T)  # rows come in any order; sums must not depend on it
     return model, fit_curve(x[order], rest["y"].to_numpy()[order].astype(float))
 
 
 def with_scores(docs: DataFrame, fitted) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1, and ``predicted`` (1 from 0.5 on)."""
+    """``docs`` with ``score``, the probability of label 1, and ``predicted`` (1 from 0.5 on), which replace columns of
+    these names."""
     model, curve = fitted
-    d = with_raw(docs.drop("score", "predicted"), model)
+    d = with_raw(docs, model, replaced=("score", "predicted"))
     z = sum((F.col("raw")[i] * float(c) for i, c in enumerate(curve[:-1])), F.lit(float(curve[-1])))
-    d = d.withColumn("score", 1 / (1 + F.exp(-z))).drop("raw")
-    return d.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    d = d.select("rest", (1 / (1 + F.exp(-z))).alias("score"))
+    return released(d, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
