@@ -65,3 +65,13 @@ def test_digests_and_empty_tables(spark):
     assert got == brute(docs, items)
     assert dc.digests(d.limit(0), b).collect() == []
     assert all(not r.contaminated for r in dc.digests(d, b.limit(0)).collect())
+
+
+def test_columns_of_any_name(spark):
+    d = spark.createDataFrame([("x", "one two three", "t", 1, (2,), "i")], "doc_id string, text string, __text string, __bits int, `a b` struct<`c d`: int>, Items string")
+    items = spark.createDataFrame([(1, "two three"), (2, "four")], "item_id bigint, text string")
+    for size in (1 << 20, 70):
+        out = dc.annotated(d, items, slice_bytes=size)
+        assert out.columns == ["doc_id", "text", "__text", "__bits", "a b", "items", "n_words", "n_hit", "spans"]
+        r = out.first()
+        assert (r.items, r.n_hit, r["__text"], r["__bits"], r["a b"]["c d"]) == (["1"], 2, "t", 1, 2)

@@ -76,3 +76,15 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
     assert [c for c in out.columns if c not in docs.columns] == ["doc_doc_size", "doc_source_size", "doc_target", "doc_taken"]
     plain = of(cp.mix(spark, docs.drop(*names), SF), ["size", "source_size", "target", "taken"])
     assert of(out, ["size", "source_size", "target", "taken"]) == plain
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b = "one text of some words that others repeat word by word", "another text with nothing at all in common"
+    rows = [(1, a, "en", "s", 5), (2, a, "en", "s", 5), (2, b, "en", "s", 5), (2, b, "en", "s", 5), (None, a, "en", "s", 5), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    kept = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([(1, a), (2, b), (2, b), (None, a), (3, None)], key=str)
+    rows = [(7, "w " * 30, "en", "s", 5), (7, "v", "en", "s", 5), (None, "x " * 40, "en", "s", 5), (None, "y", "en", None, 5), (8, None, "en", "s", 0)]
+    got = {(r.doc_id, r.text): (r.size, r.taken) for r in cp.mix(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
+    assert got.keys() <= {(i, t) for i, t, *_ in rows}
+    assert all(size == len(t.split()) and 0 < taken <= 3 * size for (_, t), (size, taken) in got.items())
+    assert (7, "w " * 30) in got and (None, "x " * 40) in got

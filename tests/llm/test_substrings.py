@@ -137,3 +137,32 @@ def test_suffix_sort_equals_plain_sort():
         for a, z in zip(start, [*start[1:], len(at)], strict=True):
             assert [raw[i] for i in order[a:z]] == sorted(raw[a:z])
             assert sorted(order[a:z]) == list(range(a, z))
+
+
+ODD = "doc_id string, text string, __spans string, __text int, `a b` struct<`c d`: int>, Kept string"
+
+
+def test_columns_of_any_name_and_ids_of_any_type(spark):
+    passage = "This passage of more than fifty bytes stands in several documents. "
+    rows = [("b", "first " + passage, "s", 1, (2,), "k"), ("a", passage + "second", "s", 1, (2,), "k"), (None, passage, "s", 1, (2,), "k"), ("10", passage, "s", 1, (2,), "k")]
+    out = substrings.without_repeats(spark.createDataFrame(rows, ODD), as_text=True)
+    assert out.columns == ["doc_id", "__spans", "__text", "a b", "kept", "n_bytes", "n_removed", "n_spans"]
+    got = {r.doc_id: (r.kept, r["a b"]["c d"], r["__spans"]) for r in out.collect()}
+    assert {k: v[0] for k, v in got.items()} == {"10": passage, "a": "second", "b": "first ", None: passage} and {v[1:] for v in got.values()} == {(2, "s")}
+
+
+def test_different_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    passage = "This passage of more than fifty bytes stands in several documents. "
+    seeds = []
+
+    def weak(column, seed):
+        seeds.append(seed)
+        return F.lit(7).cast("bigint") if len(seeds) == 1 else hashed(column, seed)
+
+    from pyspark.sql import functions as F
+
+    hashed = F.xxhash64
+    monkeypatch.setattr(substrings.F, "xxhash64", lambda *c: weak(*c) if c[0] == "text" else hashed(*c))
+    rows = [(1, passage + "one"), (2, "two " + passage), (3, passage + "one")]
+    got = {r.doc_id: r.n_removed for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(seeds) == 2 and got == {1: 0, 2: len(passage), 3: len(passage) + 3}

@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undula.llm.batches import bound_batches
+from undula.llm.rows import held, released, with_fields
 from undula.session import ship_package, stage
 
 WIDTH = 10
@@ -97,20 +99,21 @@ def byte_spans(data: bytes, flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[f[:-1] == 1].tolist(), ends[np.flatnonzero(f == -1) - 1].tolist(), strict=True))
 
 
-SPANS = "array<struct<start: bigint, stop: bigint>>"
+NEW = ("items", "n_words", "n_hit", "spans")
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def _pass(key: str, patterns, first: bool, last: bool):
-    """One scan over all texts. Between scans, ``__bits`` holds the flags of the words and ``items`` the items so far."""
+    """One scan over all texts. Between scans, ``bits`` holds the flags of the words and ``items`` the items so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto, some = _automaton(key, patterns)
         for b in batches:
             t = pa.Table.from_batches([b])
-            before = [(None, [])] * b.num_rows if first else list(zip(b.column("__bits").to_pylist(), b.column("items").to_pylist(), strict=True))
+            before = [(None, [])] * b.num_rows if first else list(zip(b.column("bits").to_pylist(), b.column("items").to_pylist(), strict=True))
             n, hit, spans, found, bits = [], [], [], [], []
-            for data, (old, items) in zip(b.column("__text").cast(pa.binary()).to_pylist(), before, strict=True):
+            for data, (old, items) in zip(b.column("text").cast(pa.binary()).to_pylist(), before, strict=True):
                 data = data or b""
                 k, flags, owners = scan(data, auto) if some else (len(data.translate(TABLE).split()), None, set())
                 flags = np.zeros(k, bool) if flags is None else flags
@@ -123,12 +126,12 @@ def _pass(key: str, patterns, first: bool, last: bool):
                     spans.append([{"start": s, "stop": e} for s, e in byte_spans(data, flags)])
                 else:
                     bits.append(np.packbits(flags).tobytes())
-            t = t.drop_columns([c for c in ("__bits", "items") if not first]).append_column("items", pa.array(found, pa.list_(pa.string())))
+            t = t.drop_columns([c for c in ("bits", "items") if not first]).append_column("items", pa.array(found, pa.list_(pa.string())))
             if last:
-                t = t.drop_columns(["__text"]).append_column("n_words", pa.array(n, pa.int64()))
+                t = t.drop_columns(["text"]).append_column("n_words", pa.array(n, pa.int64()))
                 t = t.append_column("n_hit", pa.array(hit, pa.int64())).append_column("spans", pa.array(spans, _SPAN))
             else:
-                t = t.append_column("__bits", pa.array(bits, pa.binary()))
+                t = t.append_column("bits", pa.array(bits, pa.binary()))
             yield from t.to_batches()
 
     return run
@@ -144,29 +147,29 @@ def annotated(docs: DataFrame, items: DataFrame, width: int = WIDTH, slice_bytes
     spark = docs.sparkSession
     ship_package(spark)
     bound_batches(spark)
-    docs = docs.drop("n_words", "n_hit", "spans", "items")
     p = stage(item_patterns(items, width=width), "patterns")
     size = p.agg(F.coalesce(F.sum(F.length("pattern") + 64), F.lit(0))).first()[0]
     slices = max(1, -(-size // slice_bytes))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    df = docs.withColumn("__text", F.col(text))
+    df = held(docs, NEW, text=text)
+    flat = T.StructField("items", T.ArrayType(T.StringType()))
+    end = [flat, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", SPANS)]
     for k in range(slices):
         first, last = k == 0, k == slices - 1
         mine = p.filter(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == k).select("pattern", "item_id").collect()
-        held = spark.sparkContext.broadcast([(bytes(r.pattern), r.item_id) for r in mine])
-        extra = "items array<string>, n_words bigint, n_hit bigint, spans " + SPANS if last else "__text string, items array<string>, __bits binary"
-        df = df.mapInArrow(_pass_of(held, first, last), ", ".join(x for x in (columns, extra) if x))
+        patterns = spark.sparkContext.broadcast([(bytes(r.pattern), r.item_id) for r in mine])
+        schema = with_fields(df, ["text", "items", "bits"], end) if last else with_fields(df, ["items", "bits"], [flat, T.StructField("bits", T.BinaryType())])
+        df = df.mapInArrow(_pass_of(patterns, first, last), schema)
         if not last:
             df = stage(df, "scanned")  # one automaton in memory at a time
-    return df
+    return released(df, *NEW)
 
 
-def _pass_of(held, first: bool, last: bool):
-    """The scan with the slice that ``held``, a broadcast variable, has; workers keep its automaton under ``key``."""
+def _pass_of(patterns, first: bool, last: bool):
+    """The scan with the slice that ``patterns``, a broadcast variable, has; workers keep its automaton under ``key``."""
     key = uuid.uuid4().hex
 
     def run(batches):
-        yield from _pass(key, held.value, first, last)(batches)
+        yield from _pass(key, patterns.value, first, last)(batches)
 
     return run
 

@@ -20,16 +20,21 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undula.llm.batches import bound_batches
+from undula.llm.rows import held, released, with_fields
+from undula.operators.sequence import global_number
 from undula.session import ship_package, stage
 
+NEW = ("kept", "n_bytes", "n_removed", "n_spans")
 WINDOW, GRAM, HEAD = 50, 16, 8
 SPAN = WINDOW - GRAM + 1  # anchors that compete in a window
 PIECE = 1 << 19  # bytes of a text that are hashed at once
@@ -428,8 +433,15 @@ def _free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class SharedName(Exception):
+    """Two different texts have the same ``row``."""
+
+
 def repeats(docs: DataFrame, hot_docs: int = HOT_DOCS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, row, spans) of the documents (doc_id, row, text) that have repeats; spans may overlap."""
+    """(doc_id, row, spans) of the documents (doc_id, row, text) that have repeats; spans may overlap.
+
+    ``row`` names the text: the same for copies, another for other texts, which SHA-256 checks.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     bound_batches(spark)
@@ -437,6 +449,8 @@ def repeats(docs: DataFrame, hot_docs: int = HOT_DOCS, bucket_bytes: int = BUCKE
     d = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
     ids = stage(d.select("doc_id", "row", F.octet_length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("sha")), "texts")
     first = stage(ids.groupBy("sha").agg(F.min("doc_id").alias("first"), F.first("row").alias("row"), F.first("n").alias("n")), "first")
+    if not first.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        raise SharedName
     copies = ids.join(first.select("sha", "first"), "sha").filter("doc_id > first")
     copies = copies.select("doc_id", "row", F.lit(0).cast("bigint").alias("start"), F.col("n").alias("stop"))
     size = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -466,21 +480,28 @@ def _cut(as_text: bool):
 
 def _cut_batch(b: pa.RecordBatch, as_text: bool) -> Iterator[pa.RecordBatch]:
     if b.num_rows:
-        kept, n, removed, count = [], [], [], []
-        for text, spans in zip(b.column("__text").cast(pa.binary()).to_pylist(), b.column("__spans").to_pylist(), strict=True):
+        kept, n, removed, runs = [], [], [], []
+        for text, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
             text = text or b""
             gone = merged([(s["start"], s["stop"]) for s in spans or []])
             edges = [0, *(x for s in gone for x in s), len(text)]
             kept.append(b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if gone else text)
             n.append(len(text))
             removed.append(sum(z - a for a, z in gone))
-            count.append(len(gone))
-        t = pa.Table.from_batches([b]).drop_columns(["__text", "__spans"])
+            runs.append(len(gone))
         if as_text:
             kept = [x.decode("utf-8", "ignore") for x in kept]
-        for name, v, kind in (("kept", kept, pa.string() if as_text else pa.binary()), ("n_bytes", n, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", count, pa.int64())):
-            t = t.append_column(name, pa.array(v, kind))
-        yield from t.to_batches()
+        columns = [b.column("rest"), pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (n, removed, runs))]
+        yield pa.RecordBatch.from_arrays(columns, names=["rest", *NEW])
+
+
+def _named(docs: DataFrame, text: str) -> DataFrame:
+    """(number, text, rest): ids as numbers in their order."""
+    d = held(docs, [*NEW, text], id="doc_id", text=text)
+    if isinstance(d.schema["id"].dataType, T.IntegralType):
+        return d.withColumn("number", F.col("id").cast("bigint"))
+    order = global_number(d.filter("id IS NOT NULL").select("id").distinct(), ["id"], "number")
+    return d.join(order, "id", "left")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", as_text: bool = False, **settings: int) -> DataFrame:
@@ -489,12 +510,17 @@ def without_repeats(docs: DataFrame, text: str = "text", as_text: bool = False,
     With ``as_text``, ``kept`` is a string without what is left of characters that were cut through.
 
     Null and empty texts keep zero bytes; texts under ``WINDOW`` bytes are kept. Repeated rows and rows that share a
-    doc_id never remove each other's bytes; a row with a null doc_id is kept whole and removes nothing.
-    An empty table gives no rows. Columns named like the new ones are replaced.
+    doc_id never remove each other's bytes; a row with a null doc_id is kept whole and removes nothing. Ids may be
+    of any type that has an order. An empty table gives no rows. Columns named like the new ones are replaced.
     """
-    d = docs.drop("kept", "n_bytes", "n_removed", "n_spans").withColumn("__row", F.xxhash64(text))
-    spans = repeats(d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__row").alias("row"), F.col(text).alias("text")), **settings)
-    spans = spans.select(F.col("doc_id").alias("__d"), F.col("row").alias("__r"), F.col("spans").alias("__spans"))
-    d = d.join(spans, (F.col("doc_id") == F.col("__d")) & (F.col("__row") == F.col("__r")), "left").drop("__d", "__r", "__row").withColumnRenamed(text, "__text")
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name not in ("__text", "__spans")]
-    return d.mapInArrow(_cut(as_text), ", ".join([*columns, "kept string" if as_text else "kept binary", "n_bytes bigint", "n_removed bigint", "n_spans bigint"]))
+    named = _named(docs, text)
+    for seed in count():  # texts go by a 64-bit hash; if two different ones share one, by the next
+        d = named.withColumn("row", F.xxhash64("text", F.lit(seed)))
+        try:
+            spans = repeats(d.select(F.col("number").alias("doc_id"), "row", "text"), **settings)
+            break
+        except SharedName:
+            continue
+    d = d.join(spans.select(F.col("doc_id").alias("number"), "row", "spans"), ["number", "row"], "left").select("rest", "text", "spans")
+    new = [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in NEW[1:]]]
+    return released(d.mapInArrow(_cut(as_text), with_fields(d, ["text", "spans"], new)), *NEW)
