@@ -1,7 +1,7 @@
 """A corpus from raw documents: every stage is written as Parquet and reread as the next one's input.
 
 1. toxicity: documents that the toxicity model rejects go.
-2. near_duplicates: of each SimHash component, the document with the smallest id stays.
+2. near_duplicates: of each SimHash component, the document with the smallest id stays (rows of one id: each by its text).
 3. repeated_passages: bytes that repeat an earlier document go; so does a document of which nothing is left.
 4. decontamination: documents that hold a passage of the benchmark go.
 5. mixing: documents that the mix takes, with the words taken from each (repeats counted).
@@ -65,10 +65,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @whole_rows
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document that its component is named after; rows that repeat an id stay together, and rows
-    without an id stay."""
-    gone = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL")).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stage(gone, "near_duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each component, keeps the document with the smallest id; rows without an id stay.
+
+    A document is an id and a text: rows that repeat both stay or go together, and of rows that share an id only,
+    each is judged by its own text (of those in one component, the one with the least SHA-256 counts).
+    """
+    named = docs.withColumn("__key", F.struct("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")))
+    found = simhash.near_duplicates(named.filter("doc_id IS NOT NULL"), "__key")
+    gone = stage(found.filter("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct(), "near_duplicates")
+    return named.join(gone, F.col("__key").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
 
 
 @whole_rows
@@ -87,11 +92,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @whole_rows
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken."""
-    m = mixing.mixed(docs).filter("taken > 0").withColumnRenamed("doc_id", "__d")
-    m = m.groupBy("__d").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
+    """The documents that the mix takes, with size, source_size, target and taken.
+
+    A document is an id, a source and a text: rows that share an id only are taken each on its own; those that repeat
+    all three show the most that was taken of one of them.
+    """
+    named = docs.withColumn("__key", F.struct("doc_id", "source", F.unhex(F.sha2("text", 256)).alias("sha")))
+    m = mixing.mixed(named, carry=["__key"]).filter("taken > 0").groupBy(F.col("__key").alias("__k"))
+    m = m.agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
     # one row per document: it grows with the documents and is never broadcast
-    return docs.join(m.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d"))).drop("__d")
+    return named.join(m.hint("merge"), F.col("__key").eqNullSafe(F.col("__k"))).select(*docs.columns, "size", "source_size", "target", "taken")
 
 
 STAGES = [
