@@ -75,6 +75,20 @@ def test_unreadable_files_are_reported_and_left_out(spark, tmp_path):
     assert {r.code: r["count"] for r in got} == {"F01": 300, "F03": 300, "F09": 5}
 
 
+def test_bundles_of_many_recordings(spark, tmp_path):
+    rows = [(f"F{i:02}_SA01_R01.txt", j, ", ".join([str(i)] + [str(j)] * 8)) for i in range(1, 30) for j in range(20 * i)] + [("x.txt", 0, "1"), ("D77_SA01_R01.txt", 0, "1")]
+    lines = spark.createDataFrame(rows, "name string, idx int, value string").repartition(7)
+    text.write_bundle(lines, f"{tmp_path}/set", files=4)
+    assert len(list((tmp_path / "set").glob("part-*"))) == 4
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")  # several blocks in a file
+    try:
+        assert text.text_lines(spark, f"{tmp_path}/set").select("block").distinct().count() > 8
+        got = text.read_recordings(spark, f"{tmp_path}/set", bundled=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.file, r.idx, r.c0, r.c1) for r in got) == sorted((n, j, int(n[1:3]), j) for n, j, _ in rows if n[0] == "F")
+
+
 def matrices(root, split, n, short=None):
     for s in text.SIGNALS:
         rows = ["  ".join(f"{i + k / 10:.7e}" for k in range(4)) for i in range(n - (s == short))]

@@ -29,19 +29,12 @@ def _name_of(rec: str = "rec_id"):
     )
 
 
-def write_recordings(samples: DataFrame, path: str) -> None:
-    """Recordings as text, one directory per recording; every tenth line is followed by a short one."""
+def recording_lines(samples: DataFrame) -> DataFrame:
+    """Recordings as (name, idx, value); every tenth line is followed by a short one."""
     nine = ["c0", "c1", "c2", "c3", "c4", "c5", "c0", "c1", "c2"]
     line = F.concat(F.concat_ws(",  ", *[F.round(c).cast("int").cast("string") for c in nine]), F.lit(";"))
     short = F.when(F.col("idx") % 10 == 3, F.array(line, F.lit("7, 8, -9"))).otherwise(F.array(line))
-    (
-        samples.withColumn("name", _name_of())
-        .repartitionByRange("name", "idx")
-        .sortWithinPartitions("name", "idx")
-        .select("name", F.explode(short).alias("value"))
-        .write.partitionBy("name")
-        .text(path)
-    )
+    return samples.select(_name_of().alias("name"), "idx", F.posexplode(short).alias("part", "value"))
 
 
 @query(
@@ -53,8 +46,8 @@ FROM mr WHERE rec_id % 39 < 19 OR rec_id % 39 >= 24 GROUP BY rec_id""",
 )
 def s1_text_recordings(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "recordings")
-    write_recordings(stage(mr(spark, sf), "samples"), path)
-    r = text.read_recordings(spark, path)
+    text.write_bundle(recording_lines(mr(spark, sf)), path, order=("idx", "part"))
+    r = text.read_recordings(spark, path, bundled=True)
     n = F.substring("code", 2, 2).cast("bigint")
     code_id = F.when(F.col("code").startswith("D"), n - 1).otherwise(n + 23)
     return r.groupBy("file", code_id.alias("code_id")).agg(

@@ -8,14 +8,16 @@ Spark writes it; parts count in name order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.functions.scalar import base_name
-from undula.operators.sequence import sequence_number
-from undula.session import stage
+from undula.operators.sequence import Run, prefixes, sequence_number
+from undula.session import ship_package, stage
 
 # Sensor columns in a recording line, activity codes per class, class names.
 ACC_COLUMNS = {"ADXL345": (0, 1, 2), "MMA8451Q": (6, 7, 8)}
@@ -34,6 +36,7 @@ ACTIVITY_NAMES = {
     5: "LAYING",
 }
 SIGNALS = ("body_gyro_x_", "body_gyro_y_", "body_gyro_z_", "total_acc_x_", "total_acc_y_", "total_acc_z_")
+MARK = "@ "  # begins the line that names a recording in a bundle
 CHANNELS = ("c0", "c1", "c2", "c3", "c4", "c5")
 
 
@@ -63,6 +66,43 @@ def text_lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.[t
     )
 
 
+def write_bundle(lines: DataFrame, path: str, name: str = "name", order: Sequence[str] = ("idx",), files: int | None = None) -> None:
+    """Many recordings in few files: rows (``name``, ``order``, value) as text below ``path``.
+
+    Rows are cut by ranges of name and order, so recordings stay whole or go on in the next file. Wherever a recording
+    begins or goes on in a file, a line ``@ name`` comes before its lines; values must not begin like that.
+    """
+    n = files or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = lines.repartitionByRange(n, name, *order).sortWithinPartitions(name, *order)
+    ship_package(lines.sparkSession)
+    cut.select(F.col(name).alias("name"), "value").mapInArrow(_marked, "value string").write.text(path)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of a file in order, with a mark wherever the name changes."""
+    last = None
+    for b in batches:
+        names = b.column(0).to_pylist()
+        new = [i for i, n in enumerate(names) if n != (names[i - 1] if i else last)]
+        last = names[-1] if names else last
+        marks = pa.array([MARK + names[i] for i in new], pa.string())
+        place = np.insert(np.arange(len(names)), new, len(names) + np.arange(len(new)))
+        yield pa.record_batch([pa.concat_arrays([b.column(1).cast(pa.string()), marks]).take(pa.array(place))], names=["value"])
+
+
+def bundle_lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.[tT][xX][tT]", tolerant: bool = False) -> DataFrame:
+    """Like ``text_lines`` for bundles: ``path`` is a recording's name below its bundle.
+
+    A file is cut into blocks, and the name that a block goes on with comes from the last mark before it.
+    """
+    lines = text_lines(spark, path, glob, tolerant).withColumn("path", F.regexp_replace("path", "/part-[^/]*$", ""))
+    named = F.when(F.col("value").startswith(MARK), F.substring("value", len(MARK) + 1, 4096))
+    lines = stage(lines.withColumn("__mark", named), "bundle_lines")  # read twice: marks of blocks, then lines
+    lines = prefixes(lines, ["path"], ["__id"], F.col("block"), {"__name": Run("last", F.col("__mark"))})
+    lines = lines.filter("__mark IS NULL AND __name IS NOT NULL")
+    return lines.select(F.concat_ws("/", "path", "__name").alias("path"), "block", "__id", "value")
+
+
 def number_lines(lines: DataFrame, name: str = "idx") -> DataFrame:
     """Zero-based position of the remaining lines in their file."""
     return sequence_number(lines, ["path"], ["__id"], F.col("block"), name).drop("block", "__id")
@@ -110,13 +150,16 @@ def pick_channels(df: DataFrame, v: str = "v", acc: str = "ADXL345") -> DataFram
     return df.withColumns({c: F.col(v)[i] for c, i in zip(CHANNELS, cols)}).drop(v)
 
 
-def read_recordings(spark: SparkSession, path: str, acc: str = "ADXL345", report: DataFrame | None = None) -> DataFrame:
+def read_recordings(spark: SparkSession, path: str, acc: str = "ADXL345", report: DataFrame | None = None, bundled: bool = False) -> DataFrame:
     """Samples of all valid recordings: path, file, code, subject, trial, y, idx, c0..c5.
 
+    ``bundled``: the files are bundles (see ``write_bundle``), not one recording each.
+
     The parsed lines are written once: numbering reads them twice, and text is costly to parse. A file that
     cannot be read stops the job, unless the ``file_report`` of the folder is given: then unreadable files are left out.
     """
-    lines = decode_name(text_lines(spark, path, tolerant=report is not None), F.col("path")).filter("y IS NOT NULL")
+    lines = (bundle_lines if bundled else text_lines)(spark, path, tolerant=report is not None)
+    lines = decode_name(lines, F.col("path")).filter("y IS NOT NULL")
     if report is not None:
         lines = lines.join(report.filter("reject = 'unreadable'").select("path"), "path", "left_anti")
     parsed = pick_channels(parse_samples(lines), "v", acc)
