@@ -1,3 +1,5 @@
+import json
+
 import math
 
 import numpy as np
@@ -245,3 +247,10 @@ def test_search_equals_sequential_descent(spark):
     assert [(h[1], h[2]) for h in got["history"][1:]] == history
     assert got["theta"] == best[1] and got["val"] == pytest.approx(best[0], rel=1e-9)
     assert got["jobs"] < 3 * 2 * len(history) + len(history)
+    states = []
+    again = search.ThetaSearch(frame(tr), frame(va), s).run(save=lambda x: states.append(json.dumps(x)))
+    assert again["history"] == got["history"] and len(states) == len(history)
+    for stopped in (states[0], states[-2], states[-1]):
+        rest = search.ThetaSearch(frame(tr), frame(va), s)
+        on = rest.run(json.loads(stopped))
+        assert on["history"] == got["history"] and on["theta"] == got["theta"] and on["val"] == got["val"]

@@ -197,40 +197,55 @@ class ThetaSearch:
     def _clip(self, c: int, v: float) -> float:
         return clip_theta(v, self.s.theta_min, self.s.theta_max[c], self.s.decimals)
 
-    def run(self) -> dict:
+    def run(self, state: dict | None = None, save: Callable[[dict], None] | None = None) -> dict:
+        """The best thresholds with their history. ``save`` is given the state after every epoch; a search that goes on
+        from such a ``state`` takes the same steps as one that never stopped."""
         s = self.s
-        theta = [self._clip(c, t) for c, t in enumerate(s.theta0)]
-        step = float(np.round(s.init_step, s.decimals))
-        self._load("train", self._near(theta, step))
-        self._load("val", {c: {t} for c, t in enumerate(theta)})
-        train, val = self._score("train", theta), self._score("val", theta)
-        best = {"theta": list(theta), "val": val, "epoch": 0, "train": train}
-        history = [(0, step, list(theta), train, val, val, "initial")]
-        stale = stale_step = 0
-        for epoch in range(1, s.max_epochs + 1):
-            before = train
-            for c in range(len(theta)):
-                tries = [self._clip(c, theta[c] - step), self._clip(c, theta[c] + step)]
-                self._load("train", {c: set(tries)} if any(("train", c, t) not in self.memo for t in tries) else {})
-                pick, low = theta[c], train
-                for t in tries:
-                    cand = self._score("train", [*theta[:c], t, *theta[c + 1 :]])
-                    if cand + s.improve_tol < low:
-                        pick, low = t, cand
-                if low < train:
-                    theta[c], train = pick, low
-            self._load("val", {c: {t} for c, t in enumerate(theta)})
-            val = self._score("val", theta)
-            if val + s.improve_tol < best["val"]:
-                best = {"theta": list(theta), "val": val, "epoch": epoch, "train": train}
-                stale = stale_step = 0
-                status = "improved"
-            else:
-                stale, stale_step, status = stale + 1, stale_step + 1, "no_improvement"
-                if stale_step >= s.patience_step:
-                    step, stale_step = max(s.min_step, float(np.round(step * s.step_shrink, s.decimals))), 0
-            history.append((epoch, step, list(theta), train, val, best["val"], status))
-            if stale >= s.patience_global or (step <= s.min_step and train >= before):
-                break
+        n = len(s.theta0)
+        if state is None:
+            theta = [self._clip(c, t) for c, t in enumerate(s.theta0)]
+            step = float(np.round(s.init_step, s.decimals))
             self._load("train", self._near(theta, step))
-        return {**best, "history": history, "jobs": self.jobs}
+            self._load("val", {c: {t} for c, t in enumerate(theta)})
+            train, val = self._score("train", theta), self._score("val", theta)
+            best = {"theta": list(theta), "val": val, "epoch": 0, "train": train}
+            history = [(0, step, list(theta), train, val, val, "initial")]
+            state = {"epoch": 0, "theta": theta, "step": step, "train": train, "best": best, "history": history, "stale": 0, "stale_step": 0, "done": False}
+        elif not state["done"]:
+            self._load("train", self._near(state["theta"], state["step"]))
+        state = {**state, "theta": list(state["theta"]), "history": [tuple(h) for h in state["history"]]}
+        while not state["done"] and state["epoch"] < s.max_epochs:
+            state = self._epoch(state, n)
+            if save is not None:
+                save(state)
+            if not state["done"] and state["epoch"] < s.max_epochs:
+                self._load("train", self._near(state["theta"], state["step"]))
+        return {**state["best"], "history": state["history"], "jobs": self.jobs}
+
+    def _epoch(self, state: dict, n: int) -> dict:
+        """One pass over the channels, then the validation score and the rules for step and stop."""
+        s, epoch, theta, step, train = self.s, state["epoch"] + 1, list(state["theta"]), state["step"], state["train"]
+        before, best, stale, stale_step = train, state["best"], state["stale"], state["stale_step"]
+        for c in range(n):
+            tries = [self._clip(c, theta[c] - step), self._clip(c, theta[c] + step)]
+            self._load("train", {c: set(tries)} if any(("train", c, t) not in self.memo for t in tries) else {})
+            pick, low = theta[c], train
+            for t in tries:
+                cand = self._score("train", [*theta[:c], t, *theta[c + 1 :]])
+                if cand + s.improve_tol < low:
+                    pick, low = t, cand
+            if low < train:
+                theta[c], train = pick, low
+        self._load("val", {c: {t} for c, t in enumerate(theta)})
+        val = self._score("val", theta)
+        if val + s.improve_tol < best["val"]:
+            best = {"theta": list(theta), "val": val, "epoch": epoch, "train": train}
+            stale = stale_step = 0
+            status = "improved"
+        else:
+            stale, stale_step, status = stale + 1, stale_step + 1, "no_improvement"
+            if stale_step >= s.patience_step:
+                step, stale_step = max(s.min_step, float(np.round(step * s.step_shrink, s.decimals))), 0
+        history = [*state["history"], (epoch, step, list(theta), train, val, best["val"], status)]
+        done = stale >= s.patience_global or (step <= s.min_step and train >= before)
+        return {"epoch": epoch, "theta": theta, "step": step, "train": train, "best": best, "history": history, "stale": stale, "stale_step": stale_step, "done": done}

@@ -247,7 +247,11 @@ def search_folder(spark: SparkSession, data: str, out: str, job: SearchJob, refr
     s = search.SearchSettings(
         theta0, theta_max, v["in_len"], job.steps, job.dead_zone, job.method, job.init, **{k: v[k] for k in names if k in v}
     )
-    result = jobs.run_search(parts, s)
+    # an unfinished search of the same configuration goes on after its last epoch
+    held = store.read_json(spark, f"{out}/state") if not refresh and store.exists(spark, f"{out}/state") else {}
+    state = held.get("state") if held.get("config_id") == store.config_id(config) else None
+    save = lambda now: store.write_json(spark, {"config_id": store.config_id(config), "state": now}, f"{out}/state")
+    result = jobs.run_search(parts, s, state=state, save=save)
     result |= {"config_id": store.config_id(config), "theta_max": theta_max, "out_len": job.steps, "config": config}
     store.write_json(spark, result, f"{out}/result")
     return store.read_json(spark, f"{out}/result")

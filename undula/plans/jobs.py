@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -232,13 +232,16 @@ def recording_search_data(
     return segment.materialise(samples, out, keys, channels, win)
 
 
-def run_search(data: DataFrame, s: search.SearchSettings, names: dict[int, str] | None = None) -> dict:
+def run_search(
+    data: DataFrame, s: search.SearchSettings, names: dict[int, str] | None = None, state: dict | None = None, save: Callable[[dict], None] | None = None
+) -> dict:
     """Search on the parts ``train`` and ``val`` and score the best thresholds on all four parts.
 
-    ``data`` has ``part``, ``y`` and ``x``; it is read by every search job, so pass a table.
+    ``data`` has ``part``, ``y`` and ``x``; it is read by every search job, so pass a table. ``state`` and ``save``: see
+    ``ThetaSearch.run``.
     """
     part = lambda n: data.filter(F.col("part") == n).select("y", "x")
-    result = search.ThetaSearch(part("train"), part("val"), s).run()
+    result = search.ThetaSearch(part("train"), part("val"), s).run(state, save)
     grid = {c: [t] for c, t in enumerate(result["theta"])}
     result |= {"scores": {}, "rel_err": {}, "n_windows": {}, "event_stats": {}}
     for name in ("train", "val", "test_sampled", "test_full"):
