@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -399,6 +400,72 @@ def m9_tagging_counts(spark: SparkSession, sf: str) -> DataFrame:
     return r.summary.select(F.lit(1).alias("job"), "files", "windows").join(judged.withColumn("job", F.lit(1)), "job").drop("job")
 
 
+# One 0/1 input and no penalty: the fit then has a closed form, the log odds of the weighted classes at 0 and at 1.
+_SEEN = "CASE WHEN (event_type IN ('purchase', 'click')) <> (c1 % 4 = 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+_ODDS = f""", sn AS (SELECT rec_id, idx, {_SEEN} AS x, CASE WHEN event_type IN ('purchase', 'view') THEN 1 ELSE 0 END AS pt, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS sp FROM ev),
+od AS (SELECT m.model, x, (SELECT count(*) - sum(CASE WHEN m.model = 'transition' THEN pt ELSE sp END) FROM sn) / ((SELECT sum(CASE WHEN m.model = 'transition' THEN pt ELSE sp END) FROM sn) + 1e-6::DOUBLE)
+    * sum(CASE WHEN m.model = 'transition' THEN pt ELSE sp END)::DOUBLE / (count(*) - sum(CASE WHEN m.model = 'transition' THEN pt ELSE sp END)) AS odds
+  FROM sn, (VALUES ('transition'), ('stable')) m(model) GROUP BY m.model, x)"""
+
+
+def seen_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with one 0/1 input that goes along with their kind."""
+    e = ev(spark, sf)
+    x = F.when(F.col("event_type").isin("purchase", "click") != (F.col("c1") % 4 == 0), 1.0).otherwise(0.0)
+    flag = lambda *kinds: F.col("event_type").isin(*kinds).cast("double")
+    return stage(e.select("rec_id", "idx", F.array(x).alias("f"), flag("purchase", "view").alias("y_pt"), flag("click").alias("y_sp")), "seen")
+
+
+@query(
+    "m1_closed_form_fit",
+    with_(EV) + _ODDS + """SELECT model, round(ln(max(CASE WHEN x = 1 THEN odds END)) - ln(max(CASE WHEN x = 0 THEN odds END)), 3) AS weight,
+  round(ln(max(CASE WHEN x = 0 THEN odds END)), 3) AS bias, (SELECT count(*) FROM sn) AS training_windows FROM od GROUP BY model""",
+)
+def m1_closed_form_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of both models on the raw input, which standardising took apart."""
+    m = tagging.fit_tag_model(seen_events(spark, sf), pca_k=0, l2=0.0)
+    rows = []
+    for name, fit in (("transition", m.pt), ("stable", m.sp)):
+        w = float(fit.coefficients[0]) / (m.sd[0] + 1e-6)
+        rows.append((name, round(w, 3), round(float(fit.intercept) - w * m.mu[0], 3), m.training_windows))
+    return spark.createDataFrame(rows, "model string, weight double, bias double, training_windows bigint")
+
+
+@query(
+    "m2_projected_variance",
+    with_(MR)
+    + """, c AS (SELECT corr(c0::DOUBLE, c1::DOUBLE) AS r, stddev_pop(c0::DOUBLE) AS s0, stddev_pop(c1::DOUBLE) AS s1 FROM mr),
+q AS (SELECT (s0 / (s0 + 1e-6::DOUBLE)) ** 2 AS a, (s1 / (s1 + 1e-6::DOUBLE)) ** 2 AS d, r * s0 / (s0 + 1e-6::DOUBLE) * s1 / (s1 + 1e-6::DOUBLE) AS b FROM c)
+SELECT component, round((a + d) / 2 + CASE component WHEN 0 THEN 1 ELSE -1 END * sqrt(((a - d) / 2) ** 2 + b * b), 6) AS variance FROM q, (VALUES (0), (1)) v(component)""",
+)
+def m2_projected_variance(spark: SparkSession, sf: str) -> DataFrame:
+    """Variance of the samples along each direction of the projection: the eigenvalues of their covariance."""
+    f = stage(mr_rows(spark, sf).select(F.array(F.col("c0").cast("double"), F.col("c1").cast("double")).alias("f"), (F.col("c4") % 2).cast("double").alias("y_pt"), (F.col("c5") % 2).cast("double").alias("y_sp")), "rows")
+    m = tagging.fit_tag_model(f, pca_k=2, steps=1)
+    both = m.features(f).select(F.posexplode(vector_to_array("features")).alias("i", "v")).filter("i >= 2")
+    return both.groupBy((F.col("i") - 2).alias("component")).agg(F.round(F.var_pop("v"), 6).alias("variance"))
+
+
+@query(
+    "m3_scored_events",
+    with_(EV)
+    + _ODDS
+    + """, p AS (SELECT rec_id, idx, max(CASE WHEN model = 'transition' THEN odds / (1 + odds) END) AS a, max(CASE WHEN model = 'stable' THEN odds / (1 + odds) END) AS b FROM sn JOIN od USING (x) GROUP BY rec_id, idx),
+m AS (SELECT rec_id, idx, sum(a) OVER w / 3 AS a, sum(b) OVER w / 3 AS b FROM p WINDOW w AS (PARTITION BY rec_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+h AS (SELECT *, coalesce(last_value(CASE WHEN a >= 0.6 THEN 1 WHEN a <= 0.4 THEN 0 END IGNORE NULLS) OVER u, 0) AS ha, coalesce(last_value(CASE WHEN b >= 0.6 THEN 1 WHEN b <= 0.4 THEN 0 END IGNORE NULLS) OVER u, 0) AS hb
+  FROM m WINDOW u AS (PARTITION BY rec_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT *, (a >= 0.6 AND a - b >= 0.15) OR (ha = 1 AND hb = 0 AND a - b >= 0.05) AS ka, (b >= 0.6 AND b - a >= 0.15) OR (hb = 1 AND ha = 0 AND b - a >= 0.05) AS kb FROM h)
+SELECT rec_id, idx, round(a, 4) AS p_pt, round(b, 4) AS p_sp, CAST(ha AS INT) AS h_pt, CAST(hb AS INT) AS h_sp,
+  CASE WHEN a <= 0.55 AND b <= 0.55 THEN 0.5::DOUBLE WHEN ka AND NOT kb THEN 1.0::DOUBLE WHEN kb AND NOT ka THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS y_win FROM k""",
+)
+def m3_scored_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event scored by the fitted models, smoothed, with states and decision."""
+    e = seen_events(spark, sf)
+    m = tagging.fit_tag_model(e, pca_k=0, l2=0.0)
+    t = tagging.tag_windows(stage(m.score(e).select("rec_id", "idx", "p_pt", "p_sp"), "scores"), ["rec_id"], "idx")
+    return t.select("rec_id", "idx", F.round("p_pt", 4).alias("p_pt"), F.round("p_sp", 4).alias("p_sp"), F.col("h_pt").cast("int"), F.col("h_sp").cast("int"), "y_win")
+
+
 @query("m1_logistic_fit")
 def m1_logistic_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Coefficients of both models, one row per input."""
