@@ -61,3 +61,13 @@ def test_large_components_stay_exact():
     x = np.array([[2**31 + 1, 3], [2**31, 5], [-(2**31), 1]])
     row, vec, score = topk.search(np.arange(3), x, np.array([0]), x[:1], np.array([topk.LOWEST]), 2)
     assert vec.tolist() == [1, 2] and score.tolist() == [int(x[0, 0]) * int(x[1, 0]) + 15, int(x[0, 0]) * int(x[2, 0]) + 3]
+
+
+def test_scores_beyond_64_bits_are_refused():
+    x = np.array([[10**17, 10**17], [10**17, -(10**17)], [3, 4]])
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.search(np.arange(3), x, np.array([0]), x[:1] * 6, np.array([topk.LOWEST]), 2)
+    # only the way to the sum passes 64 bits
+    x = np.array([[2**40, 2**40, 1], [2**40, -(2**40), 5], [2**39, -(2**39), 7]])
+    row, vec, score = topk.search(np.arange(3), x, np.array([0]), x[:1], np.array([topk.LOWEST]), 2)
+    assert vec.tolist() == [2, 1] and score.tolist() == [7, 5]

@@ -61,12 +61,18 @@ def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, kth:
     """(query row, vec_id, score) of each query's k best in the shard among scores of ``kth`` or more.
 
     Round r visits each query's r-th best leaf, and queries that visit the same leaf share one product.
-    Scores are exact: products of integers in float64 while they stay below 2**53, else in int64.
+    Scores are exact: products of integers in float64 while they stay below 2**53, else in int64. A score that does
+    not fit into 64 bits is an error; sums that only pass them on the way come out right.
     """
-    exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2**53
-    x, q = (x.astype(np.float64), q.astype(np.float64)) if exact else (x, q)
-    tree = Tree(x, leaf)
-    bound = tree.bounds(q)
+    most = np.abs(x.astype(np.float64)).max(0, initial=0)
+    exact = float(most.max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * max(1, x.shape[1]) < 2**53
+    real = q.astype(np.float64)
+    tree = Tree(x.astype(np.float64), leaf)
+    bound = tree.bounds(real)
+    if exact:
+        x, q = x.astype(np.float64), real
+    else:
+        bound += 1e-9 * (np.abs(real) @ most)[:, None]  # more than float64 can be off
     order = np.argsort(-bound, axis=1, kind="stable")
     best_s = np.full((len(q), k), LOWEST, np.int64)
     best_i = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
@@ -82,6 +88,8 @@ def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, kth:
         edges = np.flatnonzero(np.diff(at[by])) + 1
         for group in np.split(live[by], edges):
             rows = tree.leaves[order[group[0], r]]
+            if not exact and (np.abs(real[group] @ x[rows].T.astype(np.float64)) >= 2**63 * (1 - 1e-9)).any():
+                raise ValueError("a score does not fit into 64 bits")
             s = (q[group] @ x[rows].T).astype(np.int64)
             s[qids[group][:, None] == ids[rows][None, :]] = LOWEST
             cs = np.concatenate([best_s[group], s], axis=1)
@@ -133,7 +141,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
     """(query_id, rank, vec_id, score) of ``queries`` (vec_id, v) against all ``vectors`` (vec_id, v).
 
     A query's own row never takes part; vectors of another length than the query's do not either. Ties go
-    to the smaller vec_id; fewer than ``k`` candidates give fewer rows. Both sides need distinct ids.
+    to the smaller vec_id; fewer than ``k`` candidates give fewer rows. Both sides need distinct ids. A score beyond
+    64 bits that is met in the search stops the job.
     """
     spark = vectors.sparkSession
     ship_package(spark)
