@@ -33,7 +33,7 @@ from undula.llm.batches import bound_batches
 from undula.session import ship_package, stage
 
 BLOCK = 128
-SHARD_WORDS, SHARD_DOCS = 1 << 22, 1 << 16
+SHARD_WORDS, SHARD_DOCS = 1 << 21, 1 << 16
 QUERY_ITEMS = 1024  # items that are searched together
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _SPACE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
