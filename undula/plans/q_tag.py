@@ -12,7 +12,7 @@ from undula.plans import jobs
 from undula.plans.bindings import CH, EV, IV, MR, PR, WN, ev, iv, mr, mr_rows, pr, with_, wn
 from undula.plans.q_window import EV_LEN, GRID, MR_LEN, PAD_SQL, padded
 from undula.plans.registry import query
-from undula.session import stage
+from undula.session import stage, times_cleared
 
 WIN, HOP = 16, 8
 KINDS = ("transition", "no_transition", "ambiguous")
@@ -330,12 +330,13 @@ def mr_annotations(samples: DataFrame) -> DataFrame:
     return at.select("rec_id", span.alias("s")).select("rec_id", "s.*")
 
 
-_results: dict[tuple[str, str], jobs.TagResult] = {}
+_results: dict[tuple[str, str, int], jobs.TagResult] = {}
 
 
 def tagging_result(spark: SparkSession, sf: str) -> jobs.TagResult:
-    """The whole tagging job; its staged tables serve all queries of one application on the same input."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The whole tagging job; its staged tables serve all queries of one application on the same input until they
+    are cleared."""
+    key = (spark.sparkContext.applicationId, sf, times_cleared(spark))
     if key not in _results:
         m = stage(mr(spark, sf), "samples")
         _results[key] = jobs.tag_recordings(m, mr_annotations(m), ["rec_id"], CH, jobs.TagWindows(), "y")

@@ -33,6 +33,7 @@ def build_session(app: str = "undula", master: str | None = None, **conf: str) -
 _own_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 _staged: dict[str, list[str]] = {}
+_cleared: dict[str, int] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -85,9 +86,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def times_cleared(spark: SparkSession) -> int:
+    """How often ``clear_staged`` has run in this application: what was staged before is gone."""
+    return _cleared.get(spark.sparkContext.applicationId, 0)
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Delete all tables that ``stage`` has written in this application; tables read from them become unusable."""
-    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    app = spark.sparkContext.applicationId
+    _cleared[app] = times_cleared(spark) + 1
+    paths = _staged.pop(app, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
