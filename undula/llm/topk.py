@@ -88,10 +88,11 @@ def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, kth:
         edges = np.flatnonzero(np.diff(at[by])) + 1
         for group in np.split(live[by], edges):
             rows = tree.leaves[order[group[0], r]]
-            if not exact and (np.abs(real[group] @ x[rows].T.astype(np.float64)) >= 2**63 * (1 - 1e-9)).any():
+            own = qids[group][:, None] == ids[rows][None, :]
+            if not exact and ((np.abs(real[group] @ x[rows].T.astype(np.float64)) >= 2**63 * (1 - 1e-9)) & ~own).any():
                 raise ValueError("a score does not fit into 64 bits")
             s = (q[group] @ x[rows].T).astype(np.int64)
-            s[qids[group][:, None] == ids[rows][None, :]] = LOWEST
+            s[own] = LOWEST
             cs = np.concatenate([best_s[group], s], axis=1)
             ci = np.concatenate([best_i[group], np.broadcast_to(ids[rows], s.shape)], axis=1)
             if cs.shape[1] > 4 * k:  # keep all that reach the kth score, ties included
