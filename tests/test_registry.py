@@ -38,6 +38,16 @@ def test_training_rows_read_every_interval(spark):
     assert any(r.clear_pt for r in rows) and any(r.clear_sp for r in rows)
 
 
+def test_training_rows_give_every_window(spark):
+    from undula.plans.q_tag import ev_grid
+
+    r = {(x.rec_id, x.start): x for x in entry.queries()["m6_training_rows"](spark, SF).collect()}
+    assert set(r) == {(x.rec_id, x.start) for x in ev_grid(spark, SF).filter("y = 2").collect()}
+    clear = {(x.rec_id, x.start, x.clear_pt, x.clear_sp) for x in entry.queries()["m6_all_intervals"](spark, SF).collect()}
+    assert {(*k, x.clear_pt, x.clear_sp) for k, x in r.items() if x.clear_pt or x.clear_sp} == clear
+    assert any(x.mean_pt for x in r.values()) and any(x.mean_sp for x in r.values())
+
+
 def test_the_resample_grid_comes_from_the_resampler(spark, monkeypatch):
     from undula.plans import q_window
 
