@@ -134,3 +134,19 @@ def test_resample_arguments_and_times(spark):
         else:
             want = ys[np.clip(np.searchsorted(xs, at, side="right") - 1, 0, 3)].tolist()
         assert got == want
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 16])
+@pytest.mark.parametrize("hop,pad_rep", [(4, 2), (3, 1), (5, 5)])
+def test_padded_windows_are_those_of_padded_samples(spark, recs, chunk, hop, pad_rep):
+    _, df = recs
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # chunks go on in later batches
+    try:
+        rec = segment.long_enough(segment.recording_lengths(df, ["rec"], "y"), 8)
+        want = segment.regular_windows(segment.pad_edges(df, rec, ["rec"], 5, pad_rep), ["rec"], ["a", "b"], 8, F.lit(hop), ["y"], chunk)
+        got = segment.padded_windows(df, rec, ["rec"], ["a", "b"], 8, hop, 5, pad_rep, ["y"], chunk)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
