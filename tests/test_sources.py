@@ -154,3 +154,18 @@ def test_manifest_and_runs(spark, tmp_path):
     h = store.run_files(spark, root, "metrics/history.json")
     assert sorted((r.run_name, r.epoch, r.val.loss) for r in h.collect()) == [("sisa", 1, 2.0), ("sisa", 2, 1.0), ("ucib", 1, 2.0), ("ucib", 2, 1.0)]
     assert store.config_id({"b": 1, "a": (1,)}) == store.config_id({"a": [1], "b": 1})
+
+
+def test_bundled_annotations_read_like_single_files(spark, tmp_path):
+    from undula.sources.annotations import intervals, read_annotations
+
+    docs = {"a.json": {"fs": 50.0, "labels": {"transitions": [{"t0": 1.0, "t1": 2.0}]}}, "b.json": {"stable_posture": [{"t0": 0.5, "t1": 3.0}], "ambiguous": []}, "c.json": {}}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "many").mkdir()
+    for name, d in docs.items():
+        (tmp_path / "one" / name).write_text(json.dumps(d, indent=1))
+    (tmp_path / "many" / "part-0.txt").write_text("\n".join(json.dumps({"name": n, **d}) for n, d in docs.items()))
+    one = read_annotations(spark, str(tmp_path / "one"))
+    many = read_annotations(spark, str(tmp_path / "many"), "*", bundled=True)
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    assert {tuple(r) for r in intervals(many).collect()} == {("a.txt", "transition", 1.0, 2.0), ("b.txt", "no_transition", 0.5, 3.0)}

@@ -18,17 +18,15 @@ _SPANS = "array<struct<t0:double,t1:double>>"
 _BODY = ", ".join(f"{k} {_SPANS}" for keys in KIND_KEYS.values() for k in keys)
 
 
-def read_annotations(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """One row per file: ``file`` (stem + .txt), ``fs`` and one array of intervals per kind."""
-    schema = f"fs double, labels struct<{_BODY.replace(' array', ':array')}>, {_BODY}"
-    raw = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .json(path)
-        .withColumn("file", F.regexp_replace(base_name(logical_path(F.col("_metadata.file_path"))), r"\.json$", ".txt"))
-    )
+def read_annotations(spark: SparkSession, path: str, glob: str = "*.json", bundled: bool = False) -> DataFrame:
+    """One row per document: ``file`` (stem + .txt), ``fs`` and one array of intervals per kind.
+
+    A file is one document, or with ``bundled`` many of them, one a line, each with its own name in ``name``.
+    """
+    schema = f"fs double, labels struct<{_BODY.replace(' array', ':array')}>, {_BODY}" + (", name string" if bundled else "")
+    files = spark.read.schema(schema).option("multiLine", not bundled).option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(path)
+    name = F.col("name") if bundled else logical_path(F.col("_metadata.file_path"))
+    raw = files.withColumn("file", F.regexp_replace(base_name(name), r"\.json$", ".txt"))
     nested = F.col("labels").isNotNull()
     empty = F.array().cast(_SPANS)
 
