@@ -48,6 +48,19 @@ def test_any_chunk_length_gives_the_same_boundaries(counter):
         assert (tokens.starts_of_pretokens(sym, counter.to, counter.new, chunk=chunk) == want).all()
 
 
+def test_merges_go_one_by_one_and_words_are_counted_once(monkeypatch):
+    # a merge that a new token takes part in may come before the next equal pair
+    m = tokens.Merger({(b"b", b"c"): 0, (b"a", b"bc"): 1, (b"a", b"a"): 2, (b"aa", b"a"): 3, (b"x", b"y"): 5, (b"xy", b"x"): 4})
+    assert m.encode(b"aaaabc") == [b"aaa", b"abc"]
+    assert m.encode(b"xyxyxy") == [b"xyx", b"y", b"xy"]
+    assert (m.encode(b""), m.encode(b"q")) == ([], [b"q"])
+    seen, real = [], tokens.Merger.count
+    monkeypatch.setattr(tokens.Merger, "count", lambda self, w: seen.append(w) or real(self, w))
+    long = "z" * (tokens.LONG + 1)
+    assert tokens.Counter([], []).counts([f"{long} {long}", f" {long}"]).tolist() == [99, 50]
+    assert len(seen) == len(set(seen))
+
+
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(tokens, "STATES", 50)
     monkeypatch.setattr(tokens, "KNOWN", 3)

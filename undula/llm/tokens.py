@@ -162,21 +162,18 @@ class Merger:
         return i
 
     def encode(self, data: bytes) -> list[bytes]:
-        """Merges by rank; for short strings."""
+        """Merges by rank, leftmost first; for short strings."""
+        none, rank = 1 << 60, self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False))), default=(1 << 60, 0))
-            if best[0] == 1 << 60:
-                break
-            pair, out, i = (parts[best[1]], parts[best[1] + 1]), [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        order = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]  # of each part with its successor
+        while order and (best := min(order)) < none:
+            i = order.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del order[i]
+            if i:
+                order[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(order):
+                order[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
     def may_follow(self, before: bytes | None, word: bytes) -> bool:
@@ -286,15 +283,17 @@ class Counter:
         width = 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
         offset = np.append((np.cumsum(width) - width)[start], int(width.sum())).tolist()
         data, known, merger = joined.encode(), self.known, self.merger
-        out = []
-        for a, b in zip(offset, offset[1:], strict=False):
-            w = data[a:b]
-            n = known.get(w)
+        words = [data[a:b] for a, b in zip(offset, offset[1:], strict=False)]
+        out = list(map(known.get, words))
+        fresh: dict[bytes, int] = {}  # counted once, also where too long to remember
+        for i, n in enumerate(out):
             if n is None:
-                n = merger.count(w)
-                if b - a <= LONG:
-                    known[w] = n
-            out.append(n)
+                w = words[i]
+                n = fresh.get(w)
+                if n is None:
+                    n = fresh[w] = merger.count(w)
+                out[i] = n
+        known.update((w, n) for w, n in fresh.items() if len(w) <= LONG)
         if len(known) > KNOWN:
             known.clear()
         np.add.at(total, np.asarray(owner), np.add.reduceat(np.array(out, np.int64), np.searchsorted(start, at)))
