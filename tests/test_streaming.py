@@ -135,3 +135,29 @@ def test_counts_per_window_close_with_a_last_row(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00", "a")], "ts string, k string").select(F.to_timestamp("ts").alias("ts"), "k")
     last = stateful.closing_row(df, "ts", "2 hours").collect()
     assert len(last) == 1 and last[0].k is None and last[0].ts.hour == 2
+
+
+@pytest.mark.parametrize("start", [None, (1.0, 9)])
+def test_a_key_reads_and_writes_its_state_once(start):
+    import numpy as np
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return start
+
+        def exists(self):
+            calls.append("exists")
+            return start is not None
+
+        def update(self, value):
+            calls.append(value)
+
+    held = stateful._Encoder(lambda x, before: (x.astype(np.int32), -1.0 if before is None else before), ["rec"], "seq", "out", None, 4)
+    held.carry = State()
+    out = list(held.handleInputRows((7,), iter([pd.DataFrame({"seq": [11, 10], "value": [3.0, 2.0]})]), None))
+    assert calls == ["get", (-1.0 if start is None else 1.0, 11)]
+    assert out[0].to_dict("list") == {"rec": [7, 7], "seq": [10, 11], "out": [2, 3]}

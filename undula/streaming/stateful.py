@@ -58,27 +58,27 @@ class _Encoder(StatefulProcessor):
         self.carry = handle.getValueState("carry", "carry float, last bigint")
         self.parked = handle.getMapState("parked", "part bigint, number int", "seq binary, value binary")
 
-    def _results(self, key: tuple, seq: np.ndarray, value: np.ndarray, floor: int | None) -> pd.DataFrame:
-        """One stretch in order. ``floor``: the last seq of earlier triggers; rows up to it are late."""
+    def _results(self, key: tuple, seq: np.ndarray, value: np.ndarray, floor: int | None, before: float | None) -> tuple[pd.DataFrame, float | None]:
+        """One stretch in order, and the carry after it. ``floor``: the last seq of earlier triggers; rows up to it are late."""
         order = np.lexsort((value, seq))
         seq, value = seq[order], value[order]
         late = np.zeros(len(seq), bool) if floor is None else seq <= floor
-        result = pd.array(np.zeros(len(seq), np.int32), dtype="Int32")
-        result[late] = pd.NA
+        result = np.zeros(len(seq), np.int32)
         if not late.all():
-            before = self.carry.get() if self.carry.exists() else None
-            got, after = self.step(value[~late], None if before is None else np.float32(before[0]))
+            got, before = self.step(value[~late], None if before is None else np.float32(before))
             result[~late] = got
-            self.carry.update((float(after), int(seq[-1])))
-        return pd.DataFrame({**{k: [key[i]] * len(seq) for i, k in enumerate(self.keys)}, self.seq: seq, self.out: result})
+            self.carry.update((float(before), int(seq[-1])))
+        if late.any():
+            result = pd.arrays.IntegerArray(result, late)
+        return pd.DataFrame({**{k: [key[i]] * len(seq) for i, k in enumerate(self.keys)}, self.seq: seq, self.out: result}, copy=False), before
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        floor = self.carry.get()[1] if self.carry.exists() else None
+        before, floor = self.carry.get() or (None, None)  # one call: each goes to the JVM and back
         columns = lambda p: (p[self.seq].to_numpy(np.int64), p["value"].to_numpy(np.float32))
         first = next(rows, None)
         second = next(rows, None)
         if first is not None and second is None and len(first) <= self.piece:
-            yield self._results(key, *columns(first), floor)
+            yield self._results(key, *columns(first), floor, before)[0]
         elif first is not None:
             parts: dict[int, int] = defaultdict(int)
             for piece in (p for some in ([first], [] if second is None else [second], rows) for p in some):
@@ -95,7 +95,8 @@ class _Encoder(StatefulProcessor):
                     self.parked.removeKey((k, i))
                 seq = np.frombuffer(b"".join(bytes(h[0]) for h in held), np.int64)
                 value = np.frombuffer(b"".join(bytes(h[1]) for h in held), np.float32)
-                yield self._results(key, seq, value, floor)
+                out, before = self._results(key, seq, value, floor, before)
+                yield out
         if self.idle is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
@@ -166,9 +167,10 @@ def hysteresis_stream(
         raise ValueError("on must be above off")
 
     def step(x, before):
-        turn = pd.Series(np.where(x >= np.float32(on), 1.0, np.where(x <= np.float32(off), 0.0, np.nan)))
-        state = turn.ffill().fillna(float(before or 0.0)).to_numpy()
-        return state.astype(np.int32), state[-1]
+        up = x >= np.float32(on)
+        last = np.maximum.accumulate(np.where(up | (x <= np.float32(off)), np.arange(len(x)), -1))  # the last turn so far
+        state = np.where(last < 0, np.int32(before or 0.0), up[last]).astype(np.int32)
+        return state, state[-1]
 
     return _keyed(df, keys, seq, step, "state", idle, piece)
 
