@@ -150,3 +150,15 @@ def test_padded_windows_are_those_of_padded_samples(spark, recs, chunk, hop, pad
         assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+@pytest.mark.parametrize("chunk", [1, 16])
+def test_padded_windows_of_positions_that_miss_or_repeat(spark, chunk):
+    rows = [(k, i + k, None if i % 7 == 3 else float(i * k % 5), float(i)) for k in range(4) for i in range(40) if i % 11 != 4 or k < 2]
+    rows += [(3, 20, 1.5, None), (3, 20, None, 2.5)]
+    df = spark.createDataFrame(rows, "rec int, idx bigint, a float, b float").repartition(3).cache()
+    rec = segment.recording_lengths(df, ["rec"])
+    want = segment.regular_windows(segment.pad_edges(df, rec, ["rec"], 5, 2), ["rec"], ["a", "b"], 8, F.lit(3), chunk_windows=chunk)
+    got = segment.padded_windows(df, rec, ["rec"], ["a", "b"], 8, 3, 5, 2, chunk_windows=chunk)
+    plain = lambda d: sorted((r.rec, r.start, str([[float("nan") if v is None else v for v in c] for c in r.x])) for r in d.collect())
+    assert plain(got) == plain(want)
